@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sealtrail.functions.hashing import _col
 from sealtrail.functions.json_text import clean, dumps, loads
-from sealtrail.schema import RULES
+from sealtrail.schema import RULES, flat
 
 DROP, HASH, MASK, NONE = "drop", "hash", "mask", "none"
 
@@ -165,7 +165,7 @@ def redact_one(body: bytes, transforms: dict[str, str]) -> tuple[bytes, bool, st
     return (dumps(members).encode(), True, None) if changed else (body, False, None)
 
 
-_RESULT = "struct<body: binary, changed: boolean, error: string>"
+_RESULT = flat("body BINARY, changed BOOLEAN, error STRING")
 
 
 @F.arrow_udf(_RESULT)

@@ -14,23 +14,23 @@ _TYPES = {
 }
 
 
-def _struct(columns: str) -> T.StructType:
+def flat(columns: str) -> T.StructType:
     """Flat schema from "name TYPE, …"; unlike fromDDL it needs no running session."""
     pairs = (column.split() for column in columns.split(","))
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
-WIRE = _struct(
+WIRE = flat(
     "topic STRING, partition INT, offset BIGINT, key BINARY, value BINARY, kafka_ts TIMESTAMP"
 )
 
-ENVELOPE_FIELDS = _struct(
+ENVELOPE_FIELDS = flat(
     "id STRING, ts TIMESTAMP, ts_ns BIGINT, source_service STRING, actor_id STRING,"
     " action STRING, target_type STRING, target_id STRING, payload_hash STRING,"
     " payload BINARY, error STRING"
 )
 
-AUDIT_EVENTS = _struct(
+AUDIT_EVENTS = flat(
     "id STRING, ts TIMESTAMP, ts_ns BIGINT, source_service STRING, actor_id STRING,"
     " action STRING, target_type STRING, target_id STRING, payload_hash BINARY,"
     " payload_ref STRING, prev_hash BINARY, this_hash BINARY, redacted BOOLEAN,"
@@ -38,34 +38,34 @@ AUDIT_EVENTS = _struct(
     " event_date DATE"
 )
 
-PAYLOADS = _struct(
+PAYLOADS = flat(
     "payload_ref STRING, body BINARY, content_type STRING, storage_class STRING,"
     " retention_days INT, legal_hold BOOLEAN, created_at TIMESTAMP"
 )
 
-DEAD_LETTER = _struct(
+DEAD_LETTER = flat(
     "topic STRING, partition INT, offset BIGINT, key STRING, payload BINARY,"
     " reason STRING, rejected_at TIMESTAMP"
 )
 
-HEADS = _struct(
+HEADS = flat(
     "seg STRING, bucket STRING, last_ts TIMESTAMP, last_ts_ns BIGINT, last_id STRING,"
     " last_hash BINARY, n BIGINT"
 )
 
-ANCHORS = _struct(
+ANCHORS = flat(
     "id STRING, anchored_at TIMESTAMP, root_hash BINARY, last_event_id STRING,"
     " last_event_ts TIMESTAMP, signature BINARY, key_id STRING, event_count BIGINT"
 )
 
-LEGAL_HOLDS = _struct("id STRING, hold BOOLEAN, changed_at TIMESTAMP")
+LEGAL_HOLDS = flat("id STRING, hold BOOLEAN, changed_at TIMESTAMP")
 
-EXPORT_RUNS = _struct(
+EXPORT_RUNS = flat(
     "id STRING, query STRING, format STRING, retention_days INT, status STRING,"
     " row_count BIGINT, payload_ref STRING, chain_root BINARY, anchor_id STRING,"
     " created_at TIMESTAMP, changed_at TIMESTAMP"
 )
 
-RULES = _struct(
+RULES = flat(
     "rule_ord INT, service STRING, action STRING, field STRING, transform STRING"
 )

@@ -133,7 +133,7 @@ def wire_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tampered(chained: DataFrame) -> DataFrame:
-    """Chained sample events, the actor changed where the id's number divides by 1009."""
+    """Chained sample events, the actor changed where the id's number leaves 5 on division by 1009."""
     number = F.conv(F.substring("id", 1, 8), 16, 10).cast("bigint")
-    actor = F.when(number % 1009 == 0, F.lit("tampered")).otherwise(F.col("actor_id"))
+    actor = F.when(number % 1009 == 5, F.lit("tampered")).otherwise(F.col("actor_id"))
     return chained.withColumn("actor_id", actor)
