@@ -10,6 +10,7 @@ import json
 import math
 import re
 from decimal import Decimal
+from json.encoder import encode_basestring
 
 _LONE_SURROGATE = re.compile("[\ud800-\udfff]")
 # Characters a JSON string writes as an HTML-safe escape.
@@ -18,9 +19,12 @@ _HTML_SAFE = str.maketrans(
 )
 
 
+_UNSAFE = re.compile("[<>&\u2028\u2029]")
+
+
 def clean(text: str) -> str:
     """Undecodable bytes and lone surrogates become U+FFFD."""
-    return _LONE_SURROGATE.sub("\ufffd", text)
+    return text if text.isascii() else _LONE_SURROGATE.sub("\ufffd", text)
 
 
 def _reject_constant(name: str):
@@ -45,24 +49,28 @@ def loads(raw: bytes):
 
 
 def number_text(value: float) -> str:
-    if value == 0:
-        return "-0" if math.copysign(1.0, value) < 0 else "0"
+    text = repr(value)
+    if "e" not in text and abs(value) >= 1e-6 or value == 0:
+        return text.removesuffix(".0")
     if 1e-6 <= abs(value) < 1e21:
-        plain = format(Decimal(repr(value)), "f")
-        return plain.rstrip("0").rstrip(".") if "." in plain else plain
-    return repr(value).replace("e-0", "e-")
+        return format(Decimal(text), "f")
+    return text.replace("e-0", "e-")
+
+
+def string_text(value: str) -> str:
+    text = encode_basestring(value if value.isascii() else clean(value))
+    return text.translate(_HTML_SAFE) if _UNSAFE.search(text) else text
 
 
 def dumps(value) -> str:
-    if isinstance(value, str):
-        return json.dumps(clean(value), ensure_ascii=False).translate(_HTML_SAFE)
-    if value is None:
-        return "null"
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, float):
+    kind = value.__class__
+    if kind is str:
+        return string_text(value)
+    if kind is float:
         return number_text(value)
-    if isinstance(value, list):
-        return "[" + ",".join(map(dumps, value)) + "]"
-    pairs = sorted(((clean(k), v) for k, v in value.items()), key=lambda kv: kv[0])
-    return "{" + ",".join(f"{dumps(k)}:{dumps(v)}" for k, v in pairs) + "}"
+    if kind is dict:
+        members = {clean(k): v for k, v in value.items()}
+        return "{" + ",".join([f"{string_text(k)}:{dumps(members[k])}" for k in sorted(members)]) + "}"
+    if kind is list:
+        return "[" + ",".join([dumps(v) for v in value]) + "]"
+    return "null" if value is None else "true" if value else "false"

@@ -21,6 +21,7 @@ UUID_TEXT = (
 
 _RFC3339 = re.compile(RFC3339)
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+_EPOCH_DAY = _EPOCH.toordinal()
 
 
 def parse_rfc3339(c: Column | str) -> Column:
@@ -90,15 +91,21 @@ _JSON_ESCAPES = [
 ]
 
 
+_OTHER_CONTROLS = [
+    (chr(code), f"\\u{code:04x}") for code in range(0x20) if chr(code) not in dict(_JSON_ESCAPES)
+]
+
+
 def json_string(c: Column | str) -> Column:
     """Text as a JSON string literal with HTML-safe escapes."""
     out = _col(c)
-    for raw, escaped in _JSON_ESCAPES:
-        out = F.replace(out, F.lit(raw), F.lit(escaped))
-    named = {ord(raw) for raw, _ in _JSON_ESCAPES}
-    for code in range(0x20):
-        if code not in named:
-            out = F.replace(out, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    # Most text has none or few of these; only text that does is rewritten.
+    for escapes in (_JSON_ESCAPES, _OTHER_CONTROLS):
+        rewritten = out
+        for raw, escaped in escapes:
+            rewritten = F.replace(rewritten, F.lit(raw), F.lit(escaped))
+        present = "[" + "".join(f"\\x{{{ord(raw):x}}}" for raw, _ in escapes) + "]"
+        out = F.when(out.rlike(present), rewritten).otherwise(out)
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 
@@ -114,20 +121,18 @@ def nanos_of(text: str) -> int | None:
     """Strict RFC 3339 text to epoch nanoseconds; None for any other shape."""
     if not _RFC3339.match(text):
         return None
-    zone = 1 if text.endswith("Z") else 6
+    zone = 1 if text[-1] == "Z" else 6
     head, _, fraction = text[:-zone].partition(".")
     try:
         local = datetime.fromisoformat(head)
     except ValueError:  # 31 February and the like, year 0
         return None
+    seconds = (local.toordinal() - _EPOCH_DAY) * 86_400
+    seconds += local.hour * 3600 + local.minute * 60 + local.second
     if zone == 6:
-        minutes = int(text[-5:-3]) * 60 + int(text[-2:])
-        shift = timedelta(minutes=minutes if text[-6] == "+" else -minutes)
-    else:
-        shift = timedelta(0)
-    since = local.replace(tzinfo=timezone.utc) - _EPOCH - shift
-    seconds = since.days * 86_400 + since.seconds
-    return seconds * 1_000_000_000 + int(fraction[:9].ljust(9, "0"))
+        ahead = int(text[-5:-3]) * 3600 + int(text[-2:]) * 60
+        seconds += -ahead if text[-6] == "+" else ahead
+    return seconds * 1_000_000_000 + (int(fraction[:9].ljust(9, "0")) if fraction else 0)
 
 
 def text_of(nanos: int) -> str:

@@ -185,6 +185,10 @@ def _redact(body: pa.Array, spec: pa.Array) -> pa.Array:
     )
 
 
+# Declared nondeterministic so that filters on its result do not evaluate it again.
+_redact = _redact.asNondeterministic()
+
+
 def redact(df: DataFrame, policy: Policy, payload: str = "payload", when: Column | None = None) -> DataFrame:
     """Add ``body``, ``redacted`` and ``redact_error``; ``payload`` keeps the original.
 
