@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 from sealtrail.operators.chain import build_chain, verify_chain
@@ -35,8 +34,6 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, memory="12g")
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
 
     lines = stored(build_chain(samples.line_events(spark, sf_dir), minutes=1440), "lines")
     for prepare in (chained, anchors, judged):

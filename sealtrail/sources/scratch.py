@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=None)
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="sealtrail-")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a local session may do without it."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -15,9 +21,7 @@ def scratch_dir(spark: SparkSession) -> str:
         return shared
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="sealtrail-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder(spark.sparkContext.applicationId)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
