@@ -60,6 +60,10 @@ class Store:
             df = df.where(F.col("ingest_batch") < before_batch)
         return df.select(*schema.names)
 
+    def read_batch(self, spark: SparkSession, table: str, batch: int) -> DataFrame:
+        """The rows one batch wrote, also if there are none."""
+        return spark.read.schema(SCHEMAS[table]).parquet(f"{self.path(table)}/ingest_batch={batch}")
+
     def write_batch(self, df: DataFrame, table: str, batch: int) -> None:
         schema = SCHEMAS[table]
         writer = df.select(*schema.names).write.mode("overwrite")

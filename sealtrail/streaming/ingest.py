@@ -86,8 +86,7 @@ def ingest_batch(decoded: DataFrame, batch: int, store: Store, config: IngestCon
         )
         store.write_batch(chained, "audit_events", batch)
         # Read back: the fold is not run again for the heads.
-        written = spark.read.parquet(f"{store.path('audit_events')}/ingest_batch={batch}")
-        store.write_batch(segment_heads(written, config.minutes), "heads", batch)
+        store.write_batch(segment_heads(store.read_batch(spark, "audit_events", batch), config.minutes), "heads", batch)
     finally:
         new.unpersist()
         judged.unpersist()
