@@ -13,7 +13,7 @@ import sys
 import time
 
 from sealtrail.operators.chain import build_chain, verify_chain
-from sealtrail.operators.ingest import as_events, first_deliveries, judge_messages
+from sealtrail.operators.ingest import accepted, as_events, first_deliveries, judge_messages
 from sealtrail.operators.merkle import merkle_root
 from sealtrail.plans.catalog import ALL
 from sealtrail.plans.inputs import anchors, chained, judged, policy
@@ -23,10 +23,10 @@ from sealtrail.sources.scratch import stored
 
 
 def _ingest(spark, sf_dir):
-    """Messages to chained events: decode, validate, redact, de-duplicate, chain."""
-    wire = samples.wire_messages(spark, sf_dir)
-    accepted = judge_messages(wire, policy()).where("reject_kind IS NULL")
-    return build_chain(as_events(first_deliveries(accepted), None), heads=None)
+    """Messages to chained events: decode, validate, redact, de-duplicate, store, chain."""
+    judged_now = judge_messages(samples.wire_messages(spark, sf_dir), policy())
+    new = stored(first_deliveries(accepted(judged_now)), "new")
+    return build_chain(as_events(new, None))
 
 
 def main() -> None:

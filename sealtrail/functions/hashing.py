@@ -77,10 +77,18 @@ def payload_ok(hash_text: Column | str, payload: Column | str) -> Column:
     return normalize_hash(hash_text) == payload_hash(payload)
 
 
+# Lengths looked up instead of computed: most values are short, and the lookup in a
+# folded literal costs a fraction of hex, lpad and unhex.
+_SHORT = 64
+
+
 def length_prefixed(c: Column | str) -> Column:
     """4-byte big-endian length followed by the bytes."""
     data = _col(c).cast("binary")
-    return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(data)), 8, "0")), data)
+    size = F.octet_length(data)
+    short = F.array(*[F.lit(n.to_bytes(4, "big")) for n in range(_SHORT)])
+    length = F.when(size < _SHORT, F.get(short, size)).otherwise(F.unhex(F.lpad(F.hex(size), 8, "0")))
+    return F.concat(length, data)
 
 
 def big_endian(c: Column | str) -> Column:

@@ -279,9 +279,12 @@ def verify_chain(
     mode="linear"     one chain over all rows; its first row is exempt unless
         ``genesis="zero"``.
     """
+    # Rehash before the shuffle: unless the caller wants more, only the order, the links and
+    # one flag then travel, not the hashed fields.
+    hashed = rehash(chained)
     if mode == "segmented":
         order = W.partitionBy("seg").orderBy("ts", "id")
-        df = chained.withColumn("expected_prev", F.lag("this_hash").over(order))
+        df = hashed.withColumn("expected_prev", F.lag("this_hash").over(order))
         cut = F.lit(False)
         if window_start is not None:
             bucket_start = F.timestamp_micros(time_bucket(minutes) * F.lit(minutes * 60_000_000))
@@ -291,7 +294,7 @@ def verify_chain(
             F.when(F.col("expected_prev").isNull() & ~cut, zero_hash()).otherwise(F.col("expected_prev")),
         )
     elif mode == "linear":
-        df = with_previous(chained, "this_hash", "expected_prev", minutes=minutes, max_rows=max_rows)
+        df = with_previous(hashed, "this_hash", "expected_prev", minutes=minutes, max_rows=max_rows)
         if genesis == "zero":
             df = df.withColumn("expected_prev", F.coalesce("expected_prev", zero_hash()))
     else:
@@ -299,17 +302,17 @@ def verify_chain(
     return judge(df)
 
 
+def rehash(df: DataFrame) -> DataFrame:
+    """Add ``computed``, the hash of the row's stored fields, and ``_broken``."""
+    df = df.withColumn("computed", event_hash(canonical_body(), F.col("prev_hash")))
+    return df.withColumn("_broken", ~F.col("computed").eqNullSafe(F.col("this_hash")))
+
+
 def judge(df: DataFrame) -> DataFrame:
-    """Status of each event against ``expected_prev`` (NULL: only its own hash is checked)."""
-    computed = event_hash(canonical_body(), F.col("prev_hash"))
+    """Status of each rehashed event against ``expected_prev`` (NULL: no link to check)."""
     unlinked = F.col("expected_prev").isNotNull() & ~F.col("prev_hash").eqNullSafe(F.col("expected_prev"))
-    df = df.withColumn("computed", computed)
-    status = (
-        F.when(~F.col("computed").eqNullSafe(F.col("this_hash")), BROKEN)
-        .when(unlinked, GAP)
-        .otherwise(OK)
-    )
-    df = df.withColumn("status", status)
+    status = F.when(F.col("_broken"), BROKEN).when(unlinked, GAP).otherwise(OK)
+    df = df.withColumn("status", status).drop("_broken")
     reason = F.lit(None).cast("string")
     for name, text in REASONS.items():
         reason = F.when(F.col("status") == name, text).otherwise(reason)
@@ -321,7 +324,7 @@ def verify_events(chained: DataFrame, ids: DataFrame, **options) -> DataFrame:
 
     Only the segments that hold them are read into the window.
     """
-    wanted = ids.select("id").distinct()
+    wanted = broadcast_if_small(ids.select("id").distinct())
     segments = chained.join(wanted, "id", "left_semi").select("seg").distinct()
     near = chained.join(broadcast_if_small(segments), "seg", "left_semi")
     return verify_chain(near, **options).join(wanted, "id", "left_semi")

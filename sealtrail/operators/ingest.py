@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sealtrail.functions.envelope import decode_envelope
 from sealtrail.functions.hashing import hash_format_error, hash_to_bytes, payload_hash, payload_ok
 from sealtrail.operators.redact import Policy, redact
+from sealtrail.plans.joins import present
 from sealtrail.schema import ENVELOPE_FIELDS
 
 # Required members in the order they are reported, retention defaults.
@@ -18,6 +19,9 @@ REQUIRED = (
 RETENTION_DAYS = 2555
 STORAGE_CLASS = "STANDARD"
 
+# Ids of one batch that may be broadcast against the store (about 50 bytes each).
+BATCH_IDS = 1_000_000
+
 # Reject kinds, in the order the checks run.
 DECODE, PAYLOAD_HASH, REDACTION, HASH_FORMAT = "decode", "payload_hash", "redaction", "payload_hash_format"
 
@@ -68,29 +72,49 @@ def judge_messages(wire: DataFrame, policy: Policy | None = None, decoded: bool
     ).drop("_decode", "_mismatch", "_format", "redact_error")
 
 
-def first_deliveries(accepted: DataFrame) -> DataFrame:
+# What an accepted message carries on: no raw value, one copy of the body.
+ACCEPTED = (
+    "partition", "offset", "id", "ts", "ts_ns", "source_service", "actor_id", "action",
+    "target_type", "target_id", "payload_hash", "body", "redacted",
+)
+
+
+def accepted(judged: DataFrame) -> DataFrame:
+    """Accepted messages cut to ACCEPTED; ``payload_hash`` becomes the 32 bytes.
+
+    The hash is the original payload's, also for a redacted body, so neither the payload
+    nor the raw message has to travel through the duplicate check.
+    """
+    has_payload = F.coalesce(F.octet_length("payload") > 0, F.lit(False))
+    raw_hash = F.when(has_payload, hash_to_bytes(payload_hash("payload"))).otherwise(
+        hash_to_bytes("payload_hash")
+    )
+    kept = judged.where(F.col("reject_kind").isNull()).withColumn("payload_hash", raw_hash)
+    return kept.select(*ACCEPTED)
+
+
+def first_deliveries(messages: DataFrame) -> DataFrame:
     """One row per id: the delivery with the lowest (partition, offset).
 
     An aggregate, not a window: copies of one id shrink to one row per map task before
     the shuffle, however many there are.
     """
-    row = F.struct(*[F.col(c) for c in accepted.columns])
-    first = accepted.groupBy("id").agg(F.min_by(row, F.struct("partition", "offset")).alias("_first"))
+    row = F.struct(*[F.col(c) for c in messages.columns])
+    first = messages.groupBy("id").agg(F.min_by(row, F.struct("partition", "offset")).alias("_first"))
     return first.select("_first.*")
 
 
-def dedup(accepted: DataFrame, stored: DataFrame) -> DataFrame:
+def dedup(messages: DataFrame, stored: DataFrame) -> DataFrame:
     """New events only: first delivery of each id that is not stored yet."""
-    return first_deliveries(accepted).join(stored.select("id"), "id", "left_anti")
+    known = present(messages, stored, "id", BATCH_IDS)
+    return first_deliveries(messages).join(known, "id", "left_anti")
 
 
 def outcomes(judged: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Add ``outcome`` to every message: rejected, duplicate or ingested."""
     delivery = ["id", "partition", "offset"]
-    accepted = judged.where(F.col("reject_kind").isNull())
-    new = first_deliveries(accepted.select(*delivery))
-    if stored is not None:
-        new = new.join(stored.select("id"), "id", "left_anti")
+    kept = judged.where(F.col("reject_kind").isNull()).select(*delivery)
+    new = first_deliveries(kept) if stored is None else dedup(kept, stored)
     # Joined on the whole delivery, which is unique, so copies of one id spread out.
     joined = judged.join(new.withColumn("_new", F.lit(True)), delivery, "left")
     outcome = (
@@ -102,19 +126,11 @@ def outcomes(judged: DataFrame, stored: DataFrame | None = None) -> DataFrame:
 
 
 def as_events(
-    accepted: DataFrame,
-    ingested_at: datetime | Column,
-    legal_hold: bool = False,
+    messages: DataFrame, ingested_at: datetime | Column | None, legal_hold: bool = False
 ) -> DataFrame:
-    """Accepted messages as event rows, still without chain columns.
-
-    ``payload_hash`` is the original payload's, also for a redacted body.
-    """
+    """Accepted messages (see ``accepted``) as event rows, still without chain columns."""
     has_body = F.coalesce(F.octet_length("body") > 0, F.lit(False))
-    hashed = F.when(
-        F.coalesce(F.octet_length("payload") > 0, F.lit(False)), hash_to_bytes(payload_hash("payload"))
-    ).otherwise(hash_to_bytes("payload_hash"))
-    return accepted.select(
+    return messages.select(
         "id",
         "ts",
         "ts_ns",
@@ -123,7 +139,7 @@ def as_events(
         "action",
         "target_type",
         "target_id",
-        hashed.alias("payload_hash"),
+        "payload_hash",
         F.when(has_body, F.col("id")).otherwise("").alias("payload_ref"),
         "redacted",
         F.lit(legal_hold).alias("legal_hold_initial"),
@@ -133,14 +149,14 @@ def as_events(
 
 
 def as_payloads(
-    accepted: DataFrame,
-    created_at: datetime | Column,
+    messages: DataFrame,
+    created_at: datetime | Column | None,
     retention_days: int = RETENTION_DAYS,
     storage_class: str = STORAGE_CLASS,
     legal_hold: bool = False,
 ) -> DataFrame:
     """Bodies to store, keyed by event id."""
-    return accepted.where(F.octet_length("body") > 0).select(
+    return messages.where(F.octet_length("body") > 0).select(
         F.col("id").alias("payload_ref"),
         "body",
         F.lit("application/json").alias("content_type"),
@@ -164,5 +180,5 @@ def as_dead_letters(judged: DataFrame, rejected_at: datetime | Column) -> DataFr
     )
 
 
-def _moment(at: datetime | Column) -> Column:
+def _moment(at: datetime | Column | None) -> Column:
     return at if isinstance(at, Column) else F.lit(at).cast("timestamp")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sealtrail.functions.hashing import _col
 from sealtrail.functions.json_text import clean, dumps, loads
+from sealtrail.plans.joins import broadcast_if_small
 from sealtrail.schema import RULES, flat
 
 DROP, HASH, MASK, NONE = "drop", "hash", "mask", "none"
@@ -74,7 +75,7 @@ def rules_table(spark: SparkSession, policy: Policy) -> DataFrame:
 
 def resolve_rules(pairs: DataFrame, rules: DataFrame) -> DataFrame:
     """(service, action, field, transform) for each distinct pair; the first rule that
-    names a field wins.  ``rules`` is a policy, a few rows read from one file."""
+    names a field wins."""
     pairs = pairs.select("service", "action").distinct()
     r = rules.select(
         F.col("service").alias("r_service"), F.col("action").alias("r_action"), "rule_ord", "field", "transform"
@@ -83,7 +84,7 @@ def resolve_rules(pairs: DataFrame, rules: DataFrame) -> DataFrame:
         F.col("r_action").isin("*") | (F.col("r_action") == F.col("action"))
     )
     return (
-        pairs.join(F.broadcast(r), matches)
+        pairs.join(broadcast_if_small(r), matches)
         .groupBy("service", "action", "field")
         .agg(F.min_by("transform", "rule_ord").alias("transform"))
     )

@@ -9,6 +9,8 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sealtrail.plans.joins import broadcast_if_small, present
+
 # Default lifecycle steps (age in days, from class, to class).
 LIFECYCLE = ((90, "STANDARD", "GLACIER"), (365, "GLACIER", "DEEP_ARCHIVE"))
 
@@ -57,14 +59,12 @@ def purge_plan(payloads: DataFrame, as_of: datetime) -> DataFrame:
 
 def worm_conflicts(incoming: DataFrame, payloads: DataFrame, as_of: datetime) -> DataFrame:
     """Incoming payload keys that would overwrite a retained payload."""
-    retained = payloads.where(is_retained(as_of)).select("payload_ref")
-    return incoming.select("payload_ref").distinct().join(retained, "payload_ref", "left_semi")
+    return present(incoming, payloads.where(is_retained(as_of)), "payload_ref")
 
 
 def put_payloads(incoming: DataFrame, payloads: DataFrame, as_of: datetime) -> DataFrame:
     """Incoming payloads whose key is free or no longer retained."""
-    retained = payloads.where(is_retained(as_of)).select("payload_ref")
-    return incoming.join(retained, "payload_ref", "left_anti")
+    return incoming.join(worm_conflicts(incoming, payloads, as_of), "payload_ref", "left_anti")
 
 
 def next_class(as_of: datetime, steps=LIFECYCLE) -> Column:
@@ -108,7 +108,7 @@ def with_legal_hold(events: DataFrame, holds: DataFrame) -> DataFrame:
     """Add ``legal_hold``: the latest logged state, else the event's initial one."""
     initial = F.col("legal_hold_initial") if "legal_hold_initial" in events.columns else F.lit(False)
     return (
-        events.join(current_holds(holds), "id", "left")
+        events.join(broadcast_if_small(current_holds(holds)), "id", "left")
         .withColumn("legal_hold", F.coalesce("hold", initial))
         .drop("hold")
     )
@@ -116,7 +116,7 @@ def with_legal_hold(events: DataFrame, holds: DataFrame) -> DataFrame:
 
 def unknown_holds(holds: DataFrame, events: DataFrame) -> DataFrame:
     """Ids in the hold log that no event has."""
-    return holds.select("id").distinct().join(events.select("id"), "id", "left_anti")
+    return holds.select("id").distinct().join(present(holds, events, "id"), "id", "left_anti")
 
 
 def set_holds(spark, ids: list[str], hold: bool, at: datetime) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sealtrail.functions.hashing import hash_to_text
 from sealtrail.functions.text import format_rfc3339, is_uuid, nanos_of, text_of
-from sealtrail.plans.joins import broadcast_if_small
+from sealtrail.plans.joins import broadcast_if_small, present
 from sealtrail.plans.ordering import with_position
 
 # Page sizes.
@@ -162,8 +162,7 @@ def lookup(events: DataFrame, ids: DataFrame) -> DataFrame:
 def missing_ids(events: DataFrame, ids: DataFrame) -> DataFrame:
     """Listed ids without an event; ids that are no UUID are never found."""
     wanted = ids.select("id").distinct()
-    found = lookup(events, wanted.where(is_uuid("id"))).select("id")
-    return wanted.join(found, "id", "left_anti")
+    return wanted.join(present(wanted.where(is_uuid("id")), events, "id"), "id", "left_anti")
 
 
 def event_view(events: DataFrame) -> DataFrame:

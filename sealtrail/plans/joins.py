@@ -11,3 +11,13 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     Without the hint adaptive execution chooses the join and splits skewed partitions.
     """
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def present(few: DataFrame, table: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Distinct keys of ``few`` that ``table`` has.
+
+    ``table`` is the large side: while the keys are few enough to broadcast it is only
+    scanned, one column of it, and never shuffled.
+    """
+    keys = broadcast_if_small(few.select(key).distinct(), limit)
+    return table.select(key).join(keys, key, "left_semi").distinct()

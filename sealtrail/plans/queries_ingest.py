@@ -111,7 +111,7 @@ def ingest_outcomes(spark, sf_dir):
 
 
 def _new_events(spark, sf_dir):
-    return i.first_deliveries(judged(spark, sf_dir).where(F.col("reject_kind").isNull()))
+    return i.first_deliveries(i.accepted(judged(spark, sf_dir)))
 
 
 def ingest_accept(spark, sf_dir):
@@ -124,9 +124,8 @@ def ingest_accept(spark, sf_dir):
 
 def ingest_dedup(spark, sf_dir):
     """Arriving copies against a store that already has every third event."""
-    accepted = judged(spark, sf_dir).where(F.col("reject_kind").isNull())
     stored = chained(spark, sf_dir).where(F.conv(F.substring("id", 1, 8), 16, 10).cast("bigint") % 3 == 0)
-    return i.dedup(accepted, stored).select("id", "partition", "offset")
+    return i.dedup(i.accepted(judged(spark, sf_dir)), stored).select("id", "partition", "offset")
 
 
 def ingest_chain(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sealtrail.operators import export as x, retention as r
 from sealtrail.operators.anchor import with_anchored
-from sealtrail.operators.ingest import as_payloads, first_deliveries
+from sealtrail.operators.ingest import accepted, as_payloads, first_deliveries
 from sealtrail.operators.search import EventQuery, search
 from sealtrail.plans import oracle as q
 from sealtrail.plans.inputs import AS_OF, anchors, chained, hexed, judged, micros
@@ -24,7 +24,7 @@ def _inventory(spark, sf_dir):
 
 def payload_put(spark, sf_dir):
     """Bodies of new events whose key is free or no longer retained."""
-    new = first_deliveries(judged(spark, sf_dir).where(F.col("reject_kind").isNull()))
+    new = first_deliveries(accepted(judged(spark, sf_dir)))
     put = r.put_payloads(as_payloads(new, AS_OF), _inventory(spark, sf_dir), AS_OF)
     return put.select(
         "payload_ref", F.decode("body", "UTF-8").alias("body"), "content_type", "storage_class", "retention_days", "legal_hold"
@@ -32,7 +32,7 @@ def payload_put(spark, sf_dir):
 
 
 def worm_conflicts(spark, sf_dir):
-    new = first_deliveries(judged(spark, sf_dir).where(F.col("reject_kind").isNull()))
+    new = first_deliveries(accepted(judged(spark, sf_dir)))
     return r.worm_conflicts(as_payloads(new, AS_OF), _inventory(spark, sf_dir), AS_OF)
 
 

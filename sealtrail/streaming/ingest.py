@@ -19,6 +19,7 @@ from sealtrail.operators.chain import SEGMENT_MINUTES, build_chain, segment_head
 from sealtrail.operators.ingest import (
     RETENTION_DAYS,
     STORAGE_CLASS,
+    accepted,
     as_dead_letters,
     as_events,
     as_payloads,
@@ -56,10 +57,10 @@ class IngestConfig:
     clock: Callable[[], datetime] = field(default=_now)
 
 
-def _stored_ids(accepted: DataFrame, store: Store, config: IngestConfig, batch: int) -> DataFrame:
-    stored = store.read(accepted.sparkSession, "audit_events", before_batch=batch)
+def _stored_ids(messages: DataFrame, store: Store, config: IngestConfig, batch: int) -> DataFrame:
+    stored = store.read(messages.sparkSession, "audit_events", before_batch=batch)
     if config.duplicates_share_ts:
-        dates = accepted.select(F.to_date("ts").alias("d")).distinct().limit(_MAX_DATES + 1).collect()
+        dates = messages.select(F.to_date("ts").alias("d")).distinct().limit(_MAX_DATES + 1).collect()
         if len(dates) <= _MAX_DATES:
             stored = stored.where(F.col("event_date").isin([r["d"] for r in dates]))
     return stored.select("id")
@@ -71,8 +72,8 @@ def ingest_batch(decoded: DataFrame, batch: int, store: Store, config: IngestCon
     now = config.clock()
     policy = load_policy(config.policy_path)  # re-read: a changed file applies from here on
     judged = judge_messages(decoded, policy, decoded=True).persist(StorageLevel.MEMORY_AND_DISK)
-    accepted = judged.where(F.col("reject_kind").isNull())
-    new = dedup(accepted, _stored_ids(accepted, store, config, batch)).persist(StorageLevel.MEMORY_AND_DISK)
+    messages = accepted(judged)
+    new = dedup(messages, _stored_ids(messages, store, config, batch)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         store.write_batch(as_dead_letters(judged, now), "dead_letter", batch)
         payloads = as_payloads(new, now, config.retention_days, config.storage_class, config.legal_hold)

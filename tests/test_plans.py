@@ -33,6 +33,9 @@ def test_verification_has_one_shuffle_and_no_python(table):
     text = plan(chain.verify_chain(table))
     assert text.count("Exchange ") == 1 and "hashpartitioning(seg" in text
     assert "Python" not in text and "Arrow" not in text and "SinglePartition" not in text
+    counted = plan(chain.verify_chain(table).groupBy("status").count())
+    window = counted.split("Window [")[0]  # everything above the shuffle
+    assert "_broken" in window and "actor_id" not in window and "payload_hash" not in window
 
 
 def test_building_has_one_shuffle(spark):
@@ -70,7 +73,7 @@ def test_flags_join_one_row(spark, table):
 def test_each_udf_runs_once_even_under_filters(spark):
     wire = spark.createDataFrame([("t", 0, 0, None, b"{}", None)], WIRE)
     policy = redact.parse_policy('- service: "*"\n  action: "*"\n  fields:\n    a: drop\n')
-    judged = ingest.judge_messages(wire, policy).where("reject_kind IS NULL AND id <> ''")
+    judged = ingest.accepted(ingest.judge_messages(wire, policy)).where("id <> ''")
     text = plan(ingest.as_events(judged, BASE))
     assert text.count("ArrowEvalPython [_decode") == 1 and text.count("ArrowEvalPython [_redact") == 1
     assert len(text) < 60_000
