@@ -161,10 +161,10 @@ def dead_letters(spark, sf_dir):
 
 
 def dead_letters_recent(spark, sf_dir):
-    # Rejected at distinct times, as in a running system.
-    rejected = i.as_dead_letters(
-        judged(spark, sf_dir), F.timestamp_micros(F.unix_micros("kafka_ts") + F.col("offset") % 1_000_000_000_000)
-    )
+    # Rejected at distinct times, as in a running system: a copy right after its original.
+    original = F.col("offset") % 1_000_000_000_000
+    at = F.unix_micros("kafka_ts") + original * 2 + (F.col("offset") > original).cast("int")
+    rejected = i.as_dead_letters(judged(spark, sf_dir), F.timestamp_micros(at))
     return recent(rejected, "rejected_at").select("partition", "offset", micros("rejected_at"), "reason")
 
 
@@ -343,7 +343,7 @@ SELECT id, seg, pos, prev_hash, this_hash FROM ch WHERE minute(ts) >= 30"""),
         "|| CASE WHEN event_id % 79 = 0 THEN 'sha256:deadbeef' ELSE 'sha256:' || sha256(payload) END || '\"' "
         "|| CASE WHEN event_id % 79 = 0 THEN '' ELSE ', \"payload\": ' || payload END || '}') END AS size, reason")),
     "dead_letters_recent": (dead_letters_recent, f"""WITH {q.WIRE}, d AS (
-  SELECT partition, "offset", epoch_us(ts) + event_id AS rejected_at_us, reason FROM verdicts WHERE outcome = 'rejected')
+  SELECT partition, "offset", epoch_us(ts) + event_id * 2 + CAST("offset" > event_id AS INTEGER) AS rejected_at_us, reason FROM verdicts WHERE outcome = 'rejected')
 SELECT * FROM d ORDER BY rejected_at_us DESC LIMIT 100"""),
     "ingest_counters": (ingest_counters, f"""WITH {q.WIRE}
 SELECT CASE WHEN reject_kind = 'decode' THEN 'unknown' ELSE event_type END AS service, outcome, count(*) AS messages
