@@ -73,21 +73,19 @@ def build_chain(
     named after ``batch``, and leave sealed links alone.
     """
     if heads is None:
-        placed = _place(events, minutes, max_rows, None)
+        placed = _place(events, minutes, max_rows)
     else:
         placed = _place_after_heads(events, minutes, max_rows, heads, batch)
     return _fold(placed)
 
 
-def _place(events: DataFrame, minutes: int, max_rows: int, prefix: str | None) -> DataFrame:
-    bucket = bucket_text(minutes, F.col("_bucket"))
-    if prefix:
-        bucket = F.concat(F.lit(prefix), bucket)
+def _place(
+    events: DataFrame, minutes: int, max_rows: int, prefix: str = "", rows: int | None = None
+) -> DataFrame:
+    bucket = F.concat(F.lit(prefix), bucket_text(minutes, F.col("_bucket")))
     return (
-        with_blocks(events, minutes, max_rows)
+        with_blocks(events, minutes, max_rows, rows=rows)
         .withColumn("seg", segment_name(bucket, F.col("_sub")))
-        .withColumn("_start_hash", F.lit(None).cast("binary"))
-        .withColumn("_start_pos", F.lit(0).cast("bigint"))
         .drop("_bucket", "_sub")
     )
 
@@ -95,6 +93,7 @@ def _place(events: DataFrame, minutes: int, max_rows: int, prefix: str | None) -
 def _place_after_heads(
     events: DataFrame, minutes: int, max_rows: int, heads: DataFrame, batch: str
 ) -> DataFrame:
+    rows = events.count()
     last = (
         heads.where(~F.col("seg").startswith(LATE))
         .groupBy("bucket")
@@ -108,10 +107,12 @@ def _place_after_heads(
         | ((F.col("ts") == F.col("h.last_ts")) & (F.col("id") <= F.col("h.last_id"))),
         F.lit(False),
     )
-    late_rows = _place(
-        joined.where(late).drop("bucket", "h"), minutes, max_rows, f"{LATE}{batch}/"
+    late_rows = (
+        _place(joined.where(late).drop("bucket", "h"), minutes, max_rows, f"{LATE}{batch}/", rows)
+        .withColumn("_start_hash", F.lit(None).cast("binary"))
+        .withColumn("_start_pos", F.lit(0).cast("bigint"))
     )
-    on_time = with_blocks(joined.where(~late), minutes, max_rows)
+    on_time = with_blocks(joined.where(~late), minutes, max_rows, rows=rows)
     arriving = broadcast_if_small(
         on_time.groupBy("bucket").agg(F.count(F.lit(1)).alias("_arriving"))
     )
@@ -130,7 +131,12 @@ def _place_after_heads(
 
 def _fold(placed: DataFrame) -> DataFrame:
     """One shuffle on ``seg``; each segment streams through a constant-memory fold."""
-    ready = placed.withColumn("_body", canonical_body())
+    # The encoded body is made after the shuffle, so it is not shuffled beside its fields.
+    ready = (
+        placed.repartition("seg")
+        .sortWithinPartitions("seg", "ts", "id")
+        .withColumn("_body", canonical_body())
+    )
     kept = [f for f in ready.schema.fields if f.name not in ("_body", "_start_hash", "_start_pos")]
     out = T.StructType(
         kept
@@ -141,15 +147,19 @@ def _fold(placed: DataFrame) -> DataFrame:
         ]
     )
     names = [f.name for f in kept]
+    continued = "_start_hash" in placed.columns
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment, head, position = None, _ZERO, 0
         for batch in batches:
             before, after, positions = [], [], []
-            columns = (batch.column(c).to_pylist() for c in ("seg", "_body", "_start_hash", "_start_pos"))
-            for seg, body, start_hash, start_pos in zip(*columns):
+            segs, bodies = batch.column("seg").to_pylist(), batch.column("_body").to_pylist()
+            for i, (seg, body) in enumerate(zip(segs, bodies)):
                 if seg != segment:
-                    segment, head, position = seg, start_hash or _ZERO, start_pos
+                    segment, head, position = seg, _ZERO, 0
+                    if continued:
+                        head = batch.column("_start_hash")[i].as_py() or _ZERO
+                        position = batch.column("_start_pos")[i].as_py()
                 before.append(head)
                 head = hashlib.sha256(body + _HASH_LENGTH + head).digest()
                 after.append(head)
@@ -165,7 +175,7 @@ def _fold(placed: DataFrame) -> DataFrame:
                 names=names + ["pos", "prev_hash", "this_hash"],
             )
 
-    return ready.repartition("seg").sortWithinPartitions("seg", "ts", "id").mapInArrow(link, out)
+    return ready.mapInArrow(link, out)
 
 
 # --- heads and segments ---

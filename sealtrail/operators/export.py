@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sealtrail.functions.hashing import hash_to_text, zero_hash
 from sealtrail.functions.text import format_rfc3339
@@ -192,11 +192,16 @@ _RUN_COLUMNS = (
 )
 
 
-def _run_row(spark, job: ExportJob, retention: int, status: str, at: datetime, ref: str = "") -> DataFrame:
+def _run_row(spark: SparkSession, job: ExportJob, retention: int, status: str, at: datetime, ref: str = "") -> DataFrame:
     row = (job.id, job.query, job.format, retention, status, 0, ref, None, None, at, at)
     return spark.createDataFrame([row], EXPORT_RUNS)
 
 
+def pending_run(spark: SparkSession, job: ExportJob, at: datetime) -> DataFrame:
+    """The log row of a job that has been asked for but not run."""
+    return _run_row(spark, job, retention_for(job.retention_days), "PENDING", at)
+
+
 def latest_runs(runs: DataFrame) -> DataFrame:
     """Latest logged state of each export run; at equal times a finished state wins."""
     others = [c for c in runs.columns if c != "id"]

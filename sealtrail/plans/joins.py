@@ -6,11 +6,16 @@ BROADCAST_ROWS = 100_000
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if ``df`` has at most ``limit`` (narrow) rows, else ``df`` as it is.
+    """``df`` as a broadcast side if it has at most ``limit`` (narrow) rows, else as it is.
 
-    Without the hint adaptive execution chooses the join and splits skewed partitions.
+    The check fetches up to ``limit`` rows, which a broadcast would fetch as well, and
+    keeps them, so a small side is computed once however often it is joined.  A larger
+    one is left to adaptive execution, which chooses the join and splits skewed partitions.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def present(few: DataFrame, table: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:

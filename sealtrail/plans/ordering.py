@@ -46,15 +46,22 @@ def candidate_threshold(target_rows: int) -> str:
 
 
 def with_blocks(
-    df: DataFrame, minutes: int = 60, max_rows: int = MAX_ROWS, bucket: Column | None = None
+    df: DataFrame,
+    minutes: int = 60,
+    max_rows: int = MAX_ROWS,
+    bucket: Column | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add ``_bucket`` and ``_sub``; blocks ordered by them are ordered by (ts, id).
 
     ``bucket`` must be a BIGINT that never falls as (ts, id) rises.  One narrow
     aggregation looks for oversized buckets; only if there are any does a second
-    narrow job draw splits.
+    narrow job draw splits.  A caller that knows the number of ``rows`` spares small
+    inputs the look.
     """
     df = df.withColumn("_bucket", time_bucket(minutes) if bucket is None else bucket)
+    if rows is not None and rows <= max_rows:
+        return df.withColumn("_sub", F.lit(0))
     oversized = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_rows)
     hot_rows = oversized.agg(F.sum("n")).first()[0]
     if not hot_rows:

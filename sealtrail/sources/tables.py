@@ -7,6 +7,7 @@ else is ever rewritten; flags such as holds and anchors live in tables of their
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -60,6 +61,14 @@ class Store:
             df = df.where(F.col("ingest_batch") < before_batch)
         return df.select(*schema.names)
 
+    def append(self, df: DataFrame, table: str, key: str) -> None:
+        """Add rows outside a stream (holds, anchors, export runs), once per ``key``.
+
+        The same key writes the same place again, so a repeated call adds nothing.
+        """
+        number = int.from_bytes(hashlib.sha256(key.encode()).digest()[:7], "big")
+        self.write_batch(df, table, number)
+
     def read_batch(self, spark: SparkSession, table: str, batch: int) -> DataFrame:
         """The rows one batch wrote, also if there are none."""
         return spark.read.schema(SCHEMAS[table]).parquet(f"{self.path(table)}/ingest_batch={batch}")
@@ -69,6 +78,7 @@ class Store:
         writer = df.select(*schema.names).write.mode("overwrite")
         if table == "audit_events":
             writer = writer.partitionBy("event_date")
+            writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
             for column in _BLOOM:
                 writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         writer.parquet(f"{self.path(table)}/ingest_batch={batch}")

@@ -99,3 +99,20 @@ def test_latest_state(spark):
 
     log = spark.createDataFrame([run("a", "PENDING", 0), run("a", "COMPLETE", 0, 7), run("b", "PENDING", 0), run("c", "PENDING", 0), run("c", "FAILED", 3)], EXPORT_RUNS)
     assert {r["id"]: (r["status"], r["row_count"]) for r in x.latest_runs(log).collect()} == {"a": ("COMPLETE", 7), "b": ("PENDING", 0), "c": ("FAILED", 0)}
+
+
+def test_run_log_in_a_store(spark, flagged, tmp_path):
+    from sealtrail.sources.tables import Store
+
+    store = Store(str(tmp_path / "store"))
+    job = x.ExportJob("exp9", '{"to":"2026-07-13T10:00:10Z"}', "CSV")
+    for _ in range(2):  # asking twice for the same job adds nothing
+        store.append(x.pending_run(spark, job, BASE), "export_runs", "exp9/PENDING")
+    assert store.read(spark, "export_runs").count() == 1
+    run = x.run_export(flagged, job, str(tmp_path), BASE + timedelta(minutes=1))
+    store.append(run, "export_runs", "exp9/COMPLETE")
+    assert store.read(spark, "export_runs").count() == 2
+    latest = x.latest_runs(store.read(spark, "export_runs")).first()
+    assert (latest["status"], latest["row_count"], latest["format"]) == ("COMPLETE", 5, "CSV")
+    store.append(anchor.make_anchors(flagged), "anchors", "first")
+    assert anchor.check_anchors(store.read(spark, "anchors"), flagged).where("mismatch").count() == 0
