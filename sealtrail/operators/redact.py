@@ -12,6 +12,7 @@ from functools import lru_cache, reduce
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sealtrail.functions.hashing import _col
@@ -57,11 +58,21 @@ def _unquoted(text: str) -> str:
     return text[1:-1] if quoted else text
 
 
-def load_policy(path: str | None) -> Policy:
-    """Policy file; no path or no such file means no rules."""
-    if not path or not Path(path).exists():
+def load_policy(path: str | None, spark: SparkSession | None = None) -> Policy:
+    """Policy file; no path or no such file means no rules.
+
+    With a session the path may name any file system Spark reads.
+    """
+    if not path:
         return []
-    return parse_policy(Path(path).read_text())
+    if spark is None:
+        return parse_policy(Path(path).read_text()) if Path(path).exists() else []
+    try:
+        return parse_policy(spark.read.text(path, wholetext=True).first()[0])
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" in str(missing):
+            return []
+        raise
 
 
 def rules_table(spark: SparkSession, policy: Policy) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from sealtrail.operators.anchor import Signer, signature
 from sealtrail.operators.chain import SEGMENT_MINUTES
@@ -42,3 +43,22 @@ def anchor_stream(
         F.col("_signed.key_id").alias("key_id"),
         "event_count",
     )
+
+
+def start_anchors(
+    spark: SparkSession,
+    store: Store,
+    checkpoint: str,
+    delay: str,
+    minutes: int = SEGMENT_MINUTES,
+    signer: Signer | None = None,
+    **trigger,
+) -> StreamingQuery:
+    """Anchor stored events window by window into the store's ``anchors`` table."""
+    anchors = anchor_stream(read_events(spark, store), delay, minutes, signer)
+    return (
+        anchors.writeStream.foreachBatch(lambda df, batch: store.write_batch(df, "anchors", batch))
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )

@@ -70,7 +70,7 @@ def ingest_batch(decoded: DataFrame, batch: int, store: Store, config: IngestCon
     """Ingest one batch of decoded messages.  Sink failures propagate and fail the batch."""
     spark = decoded.sparkSession
     now = config.clock()
-    policy = load_policy(config.policy_path)  # re-read: a changed file applies from here on
+    policy = load_policy(config.policy_path, spark)  # re-read: a changed file applies from here on
     judged = judge_messages(decoded, policy, decoded=True).persist(StorageLevel.MEMORY_AND_DISK)
     messages = accepted(judged)
     new = dedup(messages, _stored_ids(messages, store, config, batch)).persist(StorageLevel.MEMORY_AND_DISK)

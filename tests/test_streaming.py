@@ -13,7 +13,7 @@ from sealtrail.operators.ingest import decode
 from sealtrail.schema import WIRE
 from sealtrail.sources.tables import Store, recent
 from sealtrail.sources.wire import from_text, read_wire
-from sealtrail.streaming.anchors import anchor_stream, read_events
+from sealtrail.streaming.anchors import anchor_stream, read_events, start_anchors
 from sealtrail.streaming.ingest import IngestConfig, ingest_batch, start_ingest
 
 
@@ -160,6 +160,10 @@ def test_anchor_stream_equals_its_batch_twin(spark, place):
     batch = {tuple(r) for r in make_anchors(table(spark, store, "audit_events"), signer=signer).collect()}
     # The newest window stays open until the watermark passes it.
     assert streamed and streamed < batch and len(batch) - len(streamed) == 1
+    start_anchors(spark, store, str(checkpoint) + "-anchors", "10 minutes", signer=signer).awaitTermination()
+    assert {tuple(r) for r in table(spark, store, "anchors").collect()} == streamed
+    report = sweep(table(spark, store, "audit_events"), table(spark, store, "anchors")).first()
+    assert (report["status"], report["anchor_count"], report["anchor_mismatches"]) == ("ok", len(streamed), 0)
 
 
 def test_text_lines_are_messages(spark, tmp_path):
