@@ -1,4 +1,4 @@
-"""Reference-free models in plain Python, and small event frames."""
+"""Models in plain Python to compare with, and small event frames."""
 
 import hashlib
 import struct
