@@ -1,8 +1,9 @@
 """Registered queries of this subpackage: name -> (run, DuckDB twin or None)."""
 
-from sealtrail.llm import decontaminate, secrets
+from sealtrail.llm import decontaminate, secrets, urls
 
 QUERIES = {
+    "op1_url_filter": (urls.query, urls.ORACLE),
     "op9_decontamination": (decontaminate.query, decontaminate.ORACLE),
     "op10_secret_scan": (secrets.query, None),
 }
