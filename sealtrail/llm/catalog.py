@@ -1,9 +1,10 @@
 """Registered queries of this subpackage: name -> (run, DuckDB twin or None)."""
 
-from sealtrail.llm import decontaminate, langid, secrets, urls
+from sealtrail.llm import decontaminate, langid, secrets, toxicity, urls
 
 QUERIES = {
     "op1_url_filter": (urls.query, urls.ORACLE),
+    "op7_toxicity": (toxicity.query, None),
     "op8_language_id": (langid.query, None),
     "op9_decontamination": (decontaminate.query, decontaminate.ORACLE),
     "op10_secret_scan": (secrets.query, None),
