@@ -29,7 +29,9 @@ from sealtrail.llm.sampling import remainder, smallest_hashes
 SAMPLE = 3_000
 ENTRIES = 2_000
 #: A candidate entry needs so many toxic documents, at least, and this share of all of them.
-LEAST_DOCS, LEAST_SHARE = 5, 0.003
+LEAST_DOCS, LEAST_SHARE = 8, 0.02
+#: and must be so many times as frequent in them as in others.
+LEAST_RATIO = 5
 STEMS = (4, 5, 6, 7)
 #: Entries at least this long match with one error.
 FUZZY_FROM = 5
@@ -37,7 +39,9 @@ FUZZY_FROM = 5
 WINDOW = 6
 QUOTED = 0.35
 THRESHOLD = 0.7
+#: Tokens and automaton states that a worker remembers.
 REMEMBERED = 300_000
+MOST_STATES = 100_000
 
 _MARKS = "\"'«»„“”‚‘’‹›"
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -49,47 +53,79 @@ REPORTING = frozenset(
 )
 
 
-class Trie:
-    """Lexicon entries letter by letter; an entry that ends in ``*`` matches beginnings."""
+class Automaton:
+    """The lexicon's trie intersected with the Levenshtein automaton of any token.
+
+    A state is a set of (trie node, errors so far).  Tokens share states, so transitions are
+    made once and remembered; most tokens die after a few letters.  An entry that ends in
+    ``*`` matches beginnings, without errors.
+    """
 
     def __init__(self, entries: list[str]):
-        self.root: dict = {}
+        self.children: list[dict[str, int]] = [{}]
+        self.words: dict[int, int] = {}
+        self.stems: dict[int, int] = {}
         for i, entry in enumerate(entries):
-            node = self.root
+            node = 0
             for c in entry.rstrip("*"):
-                node = node.setdefault(c, {})
-            node["stem" if entry.endswith("*") else "word"] = i
-
-    def best(self, token: str, fuzzy) -> tuple[int, int] | None:
-        """(entry, errors) nearest to ``token``; ``fuzzy(entry)``: whether it may have an error.
-
-        A state of the automaton is (trie node, letters read, errors so far).
-        """
-        found, size = [], len(token)
-        stack, seen = [(self.root, 0, 0)], set()
-        while stack:
-            node, at, errors = stack.pop()
-            if (id(node), at, errors) in seen:
-                continue
-            seen.add((id(node), at, errors))
-            if "stem" in node and errors == 0:
-                found.append((0, node["stem"]))
-            if at == size and "word" in node and (errors == 0 or fuzzy(node["word"])):
-                found.append((errors, node["word"]))
-            if at < size and (nxt := node.get(token[at])) is not None and len(token[at]) == 1:
-                stack.append((nxt, at + 1, errors))
-            if errors == 0:
-                if at < size:
-                    stack.append((node, at + 1, 1))  # a letter too many
-                for c, nxt in node.items():
-                    if len(c) == 1:
-                        stack.append((nxt, at, 1))  # a letter is missing
-                        if at < size and c != token[at]:
-                            stack.append((nxt, at + 1, 1))  # another letter
-        if not found:
-            return None
-        errors, entry = min(found)
-        return entry, errors
+                if c not in self.children[node]:
+                    self.children.append({})
+                    self.children[node][c] = len(self.children) - 1
+                node = self.children[node][c]
+            (self.stems if entry.endswith("*") else self.words)[node] = i
+        self.fuzzy = {i for i, entry in enumerate(entries) if len(entry) >= FUZZY_FROM}
+        self.reset()
+
+    def reset(self) -> None:
+        self.ids: dict[frozenset, int] = {}
+        self.states: list[frozenset] = []
+        self.steps: list[dict[str, int]] = []
+        self.start = self._state({(0, 0)})
+
+    def _state(self, items: set[tuple[int, int]]) -> int:
+        """The state of these items and of what a missing letter leads to; -1 if it is dead."""
+        if not items:
+            return -1
+        closed = frozenset(items | {(child, 1) for node, errors in items if not errors for child in self.children[node].values()})
+        if closed not in self.ids:
+            self.ids[closed] = len(self.states)
+            self.states.append(closed)
+            self.steps.append({})
+        return self.ids[closed]
+
+    def _step(self, state: int, letter: str) -> int:
+        reached = set()
+        for node, errors in self.states[state]:
+            if letter in self.children[node]:
+                reached.add((self.children[node][letter], errors))
+            if not errors:
+                reached.add((node, 1))  # a letter too many
+                reached.update((child, 1) for child in self.children[node].values())  # another letter
+        self.steps[state][letter] = nxt = self._state(reached)
+        return nxt
+
+    def best(self, token: str) -> tuple[int, int] | None:
+        """(entry, errors) nearest to ``token``; of equally near ones whole words win."""
+        if len(self.states) > MOST_STATES:
+            self.reset()
+        state, node, stem = self.start, 0, None
+        for letter in token:
+            node = self.children[node].get(letter) if node is not None else None
+            if node is None and stem is None and state < 0:
+                return None
+            stem = self.stems.get(node, stem)
+            if state >= 0:
+                nxt = self.steps[state].get(letter)
+                state = self._step(state, letter) if nxt is None else nxt
+        ends = [
+            (errors, self.words[at])
+            for at, errors in (self.states[state] if state >= 0 else ())
+            if at in self.words and (not errors or self.words[at] in self.fuzzy)
+        ]
+        nearest = min(ends, default=None)
+        if stem is not None and (nearest is None or nearest[0]):
+            return stem, 0
+        return (nearest[1], nearest[0]) if nearest else None
 
 
 @dataclass
@@ -106,16 +142,11 @@ class Matcher:
     """Finds the lexicon in texts; remembers what tokens matched."""
 
     def __init__(self, model: ToxicityModel):
-        self.model, self.trie, self.known = model, Trie(model.entries), {}
-        self.lengths = [len(e) for e in model.entries]
-        self.longest = max(self.lengths, default=0) + 1
+        self.model, self.automaton, self.known = model, Automaton(model.entries), {}
 
     def _match(self, token: str) -> tuple[int, int] | None:
         core = _EDGES.sub("", token)
-        return self.trie.best(core[: self.longest + 1], self._fuzzy) if core else None
-
-    def _fuzzy(self, entry: int) -> bool:
-        return self.lengths[entry] >= FUZZY_FROM
+        return self.automaton.best(core) if core else None
 
     def features(self, text: str | None) -> list[float]:
         """[1, sum of exact matches, of inexact ones, different entries, share of tokens]."""
@@ -123,8 +154,9 @@ class Matcher:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        for token in set(tokens) - known.keys():
-            known[token] = self._match(token)
+        for token in set(tokens):
+            if token not in known:
+                known[token] = self._match(token)
         plain = erring = 0.0
         kinds, matches = set(), 0
         for i, match in enumerate(map(known.__getitem__, tokens)):
@@ -176,41 +208,42 @@ def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
     return samples[0].unionByName(samples[1])
 
 
+def _beginnings(k: int):
+    return F.transform(F.filter("w", lambda w: F.length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
+
+
 def learn_lexicon(sample: DataFrame) -> ToxicityModel:
     """Words and beginnings of words that toxic documents of the sample have and others lack.
 
-    Weights are smoothed log odds of document frequencies.  A beginning is kept only if it
-    is found in clearly more documents than any one longer entry under it.
+    Weights are smoothed log odds of document frequencies.  Entries are taken by weight times
+    toxic documents, beginnings at a discount; one that a beginning taken before covers, or
+    that is a beginning of one taken before, is left out.  Copies of a text count once.
     """
     of = sample.groupBy().agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")
     ).first()
     bad, good = of["bad"] or 0, of["good"] or 0
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), F.lit(0)))
-    stems = [
-        F.transform(F.filter("w", lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*")))
-        for k in STEMS
-    ]
+    stems = [_beginnings(k) for k in STEMS]
     counts = (
         sample.select("toxic", words.alias("w"))
         .select("toxic", F.explode(F.array_distinct(F.concat("w", *stems))).alias("term"))
         .groupBy("term")
         .agg(F.sum("toxic").cast("long").alias("bad"), F.sum(1 - F.col("toxic")).cast("long").alias("good"))
-        .where((F.col("bad") >= max(LEAST_DOCS, LEAST_SHARE * bad)) & (F.col("good") * max(bad, 1) <= 0.02 * F.col("bad") * max(good, 1)))
+        .where(F.col("bad") >= max(LEAST_DOCS, LEAST_SHARE * bad))
+        .where(F.col("good") * max(bad, 1) * LEAST_RATIO <= F.col("bad") * max(good, 1))
     )
-    rows = counts.orderBy(F.desc("bad"), "term").limit(ENTRIES).collect()
-    found = {r["term"]: (r["bad"], r["good"]) for r in rows}
-
-    def redundant(term: str) -> bool:
-        stem = term.rstrip("*")
-        longer = [n for t, (n, _) in found.items() if t != term and t.startswith(stem)]
-        return term.endswith("*") and max(longer, default=0) >= 0.9 * found[term][0]
-
-    entries = sorted(t for t in found if not redundant(t))
-    weights = [
-        math.log((found[t][0] + 0.5) / (bad + 1)) - math.log((found[t][1] + 0.5) / (good + 1)) for t in entries
-    ]
-    return ToxicityModel(entries, [max(w, 0.1) for w in weights])
+    odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
+    gain = F.col("bad") * F.col("odds") * F.when(F.col("term").endswith("*"), 0.9).otherwise(1.0)
+    ranked = counts.withColumn("odds", odds).orderBy(gain.desc(), F.length("term").desc(), "term")
+    kept: dict[str, float] = {}
+    for row in ranked.limit(ENTRIES).collect():
+        term = row["term"]
+        covered = any(k.endswith("*") and term.startswith(k[:-1]) for k in kept)
+        covers = term.endswith("*") and any(k.startswith(term[:-1]) for k in kept)
+        if not covered and not covers:
+            kept[term] = row["odds"]
+    return ToxicityModel(list(kept), list(kept.values()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fold: int = 3) -> ToxicityModel:
@@ -219,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     Rows without id, text or a label of 0 or 1 teach nothing; of several labels of one id the
     highest counts.  Without examples of both classes every score is one half.
     """
-    sample = _labelled(docs, labels, doc_id, text, label, fold)
+    sample = _labelled(docs, labels, doc_id, text, label, fold).dropDuplicates(["text"])
     model = learn_lexicon(sample)
     shipped = sample.sparkSession.sparkContext.broadcast(model)
 
