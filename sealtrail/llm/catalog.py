@@ -1,10 +1,11 @@
 """Registered queries of this subpackage: name -> (run, DuckDB twin or None)."""
 
-from sealtrail.llm import decontaminate, langid, pieces, secrets, toxicity, urls
+from sealtrail.llm import decontaminate, jaccard, langid, pieces, secrets, toxicity, urls
 
 QUERIES = {
     "op1_url_filter": (urls.query, urls.ORACLE),
     "op4_sentencepiece": (pieces.query, None),
+    "op6_ngram_jaccard": (jaccard.query, None),
     "op7_toxicity": (toxicity.query, None),
     "op8_language_id": (langid.query, None),
     "op9_decontamination": (decontaminate.query, decontaminate.ORACLE),
