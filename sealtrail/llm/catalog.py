@@ -1,11 +1,12 @@
 """Registered queries of this subpackage: name -> (run, DuckDB twin or None)."""
 
-from sealtrail.llm import decontaminate, jaccard, langid, pieces, secrets, substrings, toxicity, urls
+from sealtrail.llm import decontaminate, embeddings, jaccard, langid, pieces, secrets, substrings, toxicity, urls
 
 QUERIES = {
     "op1_url_filter": (urls.query, urls.ORACLE),
     "op2_substring_dedup": (substrings.query, None),
     "op4_sentencepiece": (pieces.query, None),
+    "op5_embedding_dedup": (embeddings.query, None),
     "op6_ngram_jaccard": (jaccard.query, None),
     "op7_toxicity": (toxicity.query, None),
     "op8_language_id": (langid.query, None),
