@@ -1,10 +1,11 @@
 """Registered queries of this subpackage: name -> (run, DuckDB twin or None)."""
 
-from sealtrail.llm import decontaminate, embeddings, jaccard, langid, pieces, secrets, substrings, toxicity, urls
+from sealtrail.llm import decontaminate, embeddings, jaccard, langid, pieces, secrets, substrings, toxicity, urls, warc
 
 QUERIES = {
     "op1_url_filter": (urls.query, urls.ORACLE),
     "op2_substring_dedup": (substrings.query, None),
+    "op3_warc": (warc.query, warc.ORACLE),
     "op4_sentencepiece": (pieces.query, None),
     "op5_embedding_dedup": (embeddings.query, None),
     "op6_ngram_jaccard": (jaccard.query, None),
