@@ -1,8 +1,10 @@
 """Registered queries of this subpackage: name -> (run, DuckDB twin or None)."""
 
+import corpus_pipeline
 from sealtrail.llm import decontaminate, embeddings, jaccard, langid, pieces, secrets, substrings, toxicity, urls, warc
 
 QUERIES = {
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op1_url_filter": (urls.query, urls.ORACLE),
     "op2_substring_dedup": (substrings.query, None),
     "op3_warc": (warc.query, warc.ORACLE),
