@@ -13,7 +13,7 @@ HASH_PREFIX = "sha256:"
 ZERO_HASH_HEX = "0" * 64
 ZERO_HASH_TEXT = HASH_PREFIX + ZERO_HASH_HEX
 
-_HEX64 = "^[0-9a-fA-F]{64}$"
+_HEX64 = r"^[0-9a-fA-F]{64}\z"
 
 # Fields covered by an event hash, in hashing order; payload_hash and prev_hash follow.
 TEXT_FIELDS = ("source_service", "actor_id", "action", "target_type", "target_id")

@@ -12,11 +12,11 @@ from sealtrail.functions.hashing import _col
 # The accepted timestamp and id shapes.
 RFC3339 = (
     r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):[0-5]\d:[0-5]\d"
-    r"(\.\d+)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)$"
+    r"(\.\d+)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)"
 )
 UUID_TEXT = (
     r"(?i)^((urn:uuid:)?[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"
-    r"|\{[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\}|[0-9a-f]{32})$"
+    r"|\{[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\}|[0-9a-f]{32})\z"
 )
 
 _RFC3339 = re.compile(RFC3339)
@@ -32,7 +32,7 @@ def parse_rfc3339(c: Column | str) -> Column:
     """
     c = _col(c)
     micros = F.regexp_replace(c, r"(\.\d{6})\d+", "$1")
-    return F.when(c.rlike(RFC3339), F.try_to_timestamp(micros))
+    return F.when(c.rlike(RFC3339 + r"\z"), F.try_to_timestamp(micros))
 
 
 def rfc3339_nanos(c: Column | str) -> Column:
@@ -119,7 +119,7 @@ def hash_text_field(c: Column | str) -> Column:
 
 def nanos_of(text: str) -> int | None:
     """Strict RFC 3339 text to epoch nanoseconds; None for any other shape."""
-    if not _RFC3339.match(text):
+    if not _RFC3339.fullmatch(text):
         return None
     zone = 1 if text[-1] == "Z" else 6
     head, _, fraction = text[:-zone].partition(".")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sealtrail.functions.hashing import canonical_body, event_hash
-from sealtrail.operators.chain import SEGMENT_MINUTES, bucket_text
+from sealtrail.operators.chain import SEGMENT_MINUTES, bucket_text, build_segments, segment_chain
 from sealtrail.plans.joins import broadcast_if_small
 from sealtrail.plans.ordering import time_bucket
 
@@ -81,6 +81,70 @@ def make_anchors(
     )
 
 
+def anchor_segments(
+    sealed: DataFrame, minutes: int = SEGMENT_MINUTES, signer: Signer | None = None
+) -> DataFrame:
+    """One anchor per time window of sealed segments (schema SEGMENTS), by their first event.
+
+    The root is the hash of the window's last sealed segment, which all segments sealed
+    before it go into, so it commits to every event up to there.
+    """
+    started = sealed.withColumn("ts", F.col("first_ts"))
+    windows = started.groupBy(time_bucket(minutes).alias("_bucket")).agg(
+        F.max_by(F.struct("segment_hash", "last_id", "last_ts"), F.struct("sealed_at", "seg")).alias("last"),
+        F.sum("n").alias("event_count"),
+    )
+    return windows.select(
+        F.concat(F.lit("anchor-"), bucket_text(minutes, F.col("_bucket"))).alias("id"),
+        F.timestamp_micros((F.col("_bucket") + 1) * F.lit(minutes * 60_000_000)).alias("anchored_at"),
+        F.col("last.segment_hash").alias("root_hash"),
+        F.col("last.last_id").alias("last_event_id"),
+        F.col("last.last_ts").alias("last_event_ts"),
+        signature("last.segment_hash", signer).alias("_signed"),
+        "event_count",
+    ).select(
+        "id", "anchored_at", "root_hash", "last_event_id", "last_event_ts",
+        F.col("_signed.signature").alias("signature"), F.col("_signed.key_id").alias("key_id"), "event_count",
+    )
+
+
+def check_segment_anchors(anchors: DataFrame, chained: DataFrame, sealed: DataFrame) -> DataFrame:
+    """Add ``mismatch``: the anchored root does not follow from the events any more.
+
+    The chain over segments is made again from the events, in the order of sealing, so a
+    lost, forged or resized segment changes every root from there on.
+    """
+    order = sealed.select("seg", "sealed_at")
+    again = segment_chain(build_segments(chained).join(order, "seg", "left"), ("sealed_at", "seg"))
+    roots = again.select(F.col("segment_hash").alias("_root")).distinct()
+    return anchors.join(roots, F.col("root_hash") == F.col("_root"), "left").select(
+        *anchors.columns, F.col("_root").isNull().alias("mismatch")
+    )
+
+
+# Tells whether a signature of a root holds under the named key.
+Verifier = Callable[[bytes, bytes, str], bool]
+
+
+def hmac_verifier(keys: dict[str, bytes]) -> Verifier:
+    def verify(root: bytes, sig: bytes, key_id: str) -> bool:
+        key = keys.get(key_id)
+        return key is not None and hmac.compare_digest(hmac.new(key, root, hashlib.sha256).digest(), sig)
+
+    return verify
+
+
+def check_signatures(anchors: DataFrame, verifier: Verifier) -> DataFrame:
+    """Add ``signature_ok``; NULL for unsigned anchors.  A failing verifier fails the job."""
+
+    @F.arrow_udf("boolean")
+    def holds(roots: pa.Array, sigs: pa.Array, keys: pa.Array) -> pa.Array:
+        rows = zip(roots.to_pylist(), sigs.to_pylist(), keys.to_pylist())
+        return pa.array([None if sig is None else bool(root and verifier(root, sig, key)) for root, sig, key in rows], pa.bool_())
+
+    return anchors.withColumn("signature_ok", holds("root_hash", "signature", "key_id"))
+
+
 def anchors_between(
     anchors: DataFrame, from_: datetime | None = None, to: datetime | None = None
 ) -> DataFrame:

@@ -28,8 +28,10 @@ from sealtrail.functions.hashing import (
 )
 from sealtrail.plans.joins import broadcast_if_small
 from sealtrail.plans.ordering import MAX_ROWS, time_bucket, with_blocks, with_previous
+from sealtrail.schema import SEGMENTS
 
 SEGMENT_MINUTES = 60
+SEGMENT_DIGITS = 6
 LATE = "late-"
 
 _HASH_BYTES = 32
@@ -55,7 +57,11 @@ def bucket_text(minutes: int = SEGMENT_MINUTES, bucket: Column | None = None) ->
 
 
 def segment_name(bucket: Column, number: Column) -> Column:
-    return F.concat(bucket, F.lit("/"), F.lpad(number.cast("string"), 6, "0"))
+    digits = number.cast("string")
+    fits = F.when(F.length(digits) <= SEGMENT_DIGITS, F.lpad(digits, SEGMENT_DIGITS, "0")).otherwise(
+        F.raise_error(F.concat(F.lit("too many segments in bucket "), bucket))
+    )
+    return F.concat(bucket, F.lit("/"), fits)
 
 
 def build_chain(
@@ -63,7 +69,7 @@ def build_chain(
     minutes: int = SEGMENT_MINUTES,
     max_rows: int = MAX_ROWS,
     heads: DataFrame | None = None,
-    batch: str = "0",
+    batch: str | None = None,
 ) -> DataFrame:
     """Add ``seg``, ``pos``, ``prev_hash`` and ``this_hash``.
 
@@ -72,6 +78,8 @@ def build_chain(
     one.  Events at or before the head are *late*; they form segments of their own,
     named after ``batch``, and leave sealed links alone.
     """
+    if heads is not None and not batch:
+        raise ValueError("continuing a store needs a batch name of its own, or late segments would merge")
     if heads is None:
         placed = _place(events, minutes, max_rows)
     else:
@@ -225,23 +233,24 @@ def build_segments(chained: DataFrame) -> DataFrame:
     )
 
 
-def segment_chain(segments: DataFrame, order: tuple[str, ...] = ("seg",)) -> DataFrame:
+def segment_chain(
+    segments: DataFrame, order: tuple[str, ...] = ("seg",), start: bytes = _ZERO
+) -> DataFrame:
     """Link segments: SHA-256 over name, size, root and the previous segment's hash.
 
     The input has one row per segment, so it is smaller than the events by the segment
     size; this short chain is the one place where order forces a single task.
-    ``order`` may be ("sealed_at", "seg") for stores that seal late segments later.
+    ``order`` may be ("sealed_at", "seg") for stores that seal late segments later;
+    ``start`` is the last stored segment hash a further part continues from.
     """
-    ready = segments.withColumn(
-        "_body", F.concat(length_prefixed("seg"), big_endian("n"), length_prefixed("root"))
-    )
+    ready = segments.withColumn("_body", _segment_body())
     kept = [f for f in ready.schema.fields if f.name != "_body"]
     names = [f.name for f in kept]
     added = ["prev_segment_hash", "segment_hash"]
     out = T.StructType(kept + [T.StructField(n, T.BinaryType()) for n in added])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = _ZERO
+        head = start
         for batch in batches:
             hashes = [head]
             for body in batch.column("_body").to_pylist():
@@ -256,6 +265,48 @@ def segment_chain(segments: DataFrame, order: tuple[str, ...] = ("seg",)) -> Dat
     return ready.repartition(1).sortWithinPartitions(*order).mapInArrow(link, out)
 
 
+def _segment_body() -> Column:
+    return F.concat(length_prefixed("seg"), big_endian("n"), length_prefixed("root"))
+
+
+def seal_segments(chained: DataFrame, sealed_at: datetime, sealed: DataFrame | None = None) -> DataFrame:
+    """Rows (schema SEGMENTS) to append: segments of ``chained`` that ``sealed`` lacks, linked.
+
+    Hand in events of finished segments only; a sealed segment must not grow.  Segments
+    sealed together are linked in the order of their names, behind all sealed before.
+    """
+    new, start = build_segments(chained).withColumn("sealed_at", F.lit(sealed_at).cast("timestamp")), _ZERO
+    if sealed is not None:
+        new = new.join(sealed.select("seg"), "seg", "left_anti")
+        head = sealed.agg(F.max_by("segment_hash", F.struct("sealed_at", "seg"))).first()[0]
+        start = bytes(head) if head is not None else _ZERO
+    return segment_chain(new, ("sealed_at", "seg"), start).select(*SEGMENTS.names)
+
+
+def check_sealed(chained: DataFrame, sealed: DataFrame) -> DataFrame:
+    """Sealed segments with ``status``: ok, missing, resized, changed, relinked or unlinked.
+
+    The first three compare with the events.  A segment is *relinked* if its own hash does
+    not follow from its row, *unlinked* if no sealed segment has the hash it continues, so
+    a row taken out of the table shows at its successor.  Links are found by hash, without
+    ordering all segments in one task.
+    """
+    now = build_segments(chained).select("seg", F.col("n").alias("n_now"), F.col("root").alias("root_now"))
+    hashes = sealed.select(F.col("segment_hash").alias("_known")).distinct()
+    linked = sealed.join(hashes, F.col("prev_segment_hash") == F.col("_known"), "left")
+    follows = F.col("_known").isNotNull() | (F.col("prev_segment_hash") == zero_hash())
+    own = event_hash(_segment_body(), F.col("prev_segment_hash")).eqNullSafe(F.col("segment_hash"))
+    status = (
+        F.when(F.col("n_now").isNull(), "missing")
+        .when(F.col("n") != F.col("n_now"), "resized")
+        .when(~F.col("root").eqNullSafe(F.col("root_now")), "changed")
+        .when(~own, "relinked")
+        .when(~follows, "unlinked")
+        .otherwise(OK)
+    )
+    return linked.join(now, "seg", "left").select(*sealed.columns, status.alias("status"))
+
+
 def check_segments(chained: DataFrame, sealed: DataFrame) -> DataFrame:
     """Sealed segments that are missing, resized or carry another root."""
     now = build_segments(chained).select("seg", F.col("n").alias("n_now"), F.col("root").alias("root_now"))
@@ -285,7 +336,7 @@ def verify_chain(
 
     mode="segmented"  links inside the stored segments; each starts at the zero hash.
         With ``window_start`` the input begins there, and a segment whose bucket began
-        earlier is exempt from the check on its first row.
+        earlier is exempt from the check on its first row, unless that is the segment's own.
     mode="linear"     one chain over all rows; its first row is exempt unless
         ``genesis="zero"``.
     """
@@ -298,7 +349,7 @@ def verify_chain(
         cut = F.lit(False)
         if window_start is not None:
             bucket_start = F.timestamp_micros(time_bucket(minutes) * F.lit(minutes * 60_000_000))
-            cut = bucket_start < F.lit(window_start)
+            cut = (bucket_start < F.lit(window_start)) & (F.col("pos") > 1)
         df = df.withColumn(
             "expected_prev",
             F.when(F.col("expected_prev").isNull() & ~cut, zero_hash()).otherwise(F.col("expected_prev")),

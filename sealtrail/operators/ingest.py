@@ -74,7 +74,7 @@ def judge_messages(wire: DataFrame, policy: Policy | None = None, decoded: bool
 
 # What an accepted message carries on: no raw value, one copy of the body.
 ACCEPTED = (
-    "partition", "offset", "id", "ts", "ts_ns", "source_service", "actor_id", "action",
+    "topic", "partition", "offset", "id", "ts", "ts_ns", "source_service", "actor_id", "action",
     "target_type", "target_id", "payload_hash", "body", "redacted",
 )
 
@@ -94,13 +94,13 @@ def accepted(judged: DataFrame) -> DataFrame:
 
 
 def first_deliveries(messages: DataFrame) -> DataFrame:
-    """One row per id: the delivery with the lowest (partition, offset).
+    """One row per id: the delivery with the lowest (topic, partition, offset).
 
     An aggregate, not a window: copies of one id shrink to one row per map task before
     the shuffle, however many there are.
     """
     row = F.struct(*[F.col(c) for c in messages.columns])
-    first = messages.groupBy("id").agg(F.min_by(row, F.struct("partition", "offset")).alias("_first"))
+    first = messages.groupBy("id").agg(F.min_by(row, F.struct("topic", "partition", "offset")).alias("_first"))
     return first.select("_first.*")
 
 
@@ -112,7 +112,7 @@ def dedup(messages: DataFrame, stored: DataFrame) -> DataFrame:
 
 def outcomes(judged: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Add ``outcome`` to every message: rejected, duplicate or ingested."""
-    delivery = ["id", "partition", "offset"]
+    delivery = ["id", "topic", "partition", "offset"]
     kept = judged.where(F.col("reject_kind").isNull()).select(*delivery)
     new = first_deliveries(kept) if stored is None else dedup(kept, stored)
     # Joined on the whole delivery, which is unique, so copies of one id spread out.

@@ -150,6 +150,14 @@ def assign_pages(events: DataFrame, query: EventQuery, limit: int = DEFAULT_LIMI
 # --- lookups and views ---
 
 
+def get(events: DataFrame, id: str) -> DataFrame:
+    """The event with this id; no row if there is none.
+
+    A literal, so that files and row groups are skipped by their bounds and Bloom filters.
+    """
+    return events.where(F.col("id") == F.lit(id))
+
+
 def lookup(events: DataFrame, ids: DataFrame) -> DataFrame:
     """Events whose id is listed in column ``id`` of ``ids``."""
     return events.join(broadcast_if_small(ids.select("id").distinct()), "id", "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sealtrail.functions.hashing import HASH_PREFIX
 from sealtrail.operators.anchor import Signer, anchors_between, check_anchors
-from sealtrail.operators.chain import OK, SEGMENT_MINUTES, verify_chain
+from sealtrail.operators.chain import BROKEN, GAP, OK, SEGMENT_MINUTES, check_sealed, verify_chain
 from sealtrail.operators.search import EventQuery, search
 
 
@@ -21,9 +21,14 @@ def sweep(
     signer: Signer | None = None,
     signed_at: datetime | None = None,
     minutes: int = SEGMENT_MINUTES,
+    sealed: DataFrame | None = None,
 ) -> DataFrame:
     """Verify all events in [from_, to) and the anchors in [from_, to]; one row.
 
+    With ``sealed`` (schema SEGMENTS) the segments sealed within the window must be there,
+    whole, unchanged and linked; a lost one is a gap, another change breaks the chain.  The
+    report then ends with ``segment_root``, the last segment's hash.
+
     Verification runs here, in one pass that ends in one row.  Only when it found a
     failure does a second, narrow pass count the rows up to it, with the failure's
     timestamp pushed into the scan.
@@ -40,6 +45,9 @@ def sweep(
         F.max_by("this_hash", key).alias("last"),
     ).first()
     failure = found["first"]
+    segment_root = None
+    if sealed is not None:
+        failure, segment_root = _segment_failure(window, sealed, from_, to, failure)
     root = None if failure else bytes(found["last"] or bytes(32))
     sig, key_id = None, None
     if signer is not None and root is not None:
@@ -74,7 +82,34 @@ def sweep(
         report = report.join(F.broadcast(position), F.lit(True))  # one row each
     else:
         report = report.withColumn("position", F.lit(None).cast("bigint"))
-    return report.select(*REPORT_COLUMNS)
+    if sealed is None:
+        return report.select(*REPORT_COLUMNS)
+    text = None if failure or segment_root is None else HASH_PREFIX + bytes(segment_root).hex()
+    return report.select(*REPORT_COLUMNS, _text(text).alias("segment_root"))
+
+
+def _segment_failure(window: DataFrame, sealed: DataFrame, from_, to, failure):
+    """The earlier of ``failure`` and the first faulty segment, and the last segment's hash."""
+    inside = sealed
+    if from_ is not None:
+        inside = inside.where(F.col("first_ts") >= F.lit(from_))
+    if to is not None:
+        inside = inside.where(F.col("last_ts") < F.lit(to))
+    key = F.struct("first_ts", "first_id")
+    # links are looked up among all sealed segments, events only within the window
+    checked = check_sealed(window, sealed).join(inside.select("seg"), "seg", "left_semi")
+    facts = checked.agg(
+        F.min_by(
+            F.struct(F.unix_micros("first_ts").alias("us"), F.col("first_id").alias("id"), "status"),
+            F.when(F.col("status") != OK, key),
+        ).alias("first"),
+        F.max_by("segment_hash", F.struct("sealed_at", "seg")).alias("root"),
+    ).first()
+    first = facts["first"]
+    if first and (not failure or (first["us"], first["id"]) < (failure["us"], failure["id"])):
+        status = GAP if first["status"] in ("missing", "unlinked") else BROKEN
+        failure = {"us": first["us"], "id": first["id"], "status": status, "reason": f"sealed segment {first['status']}"}
+    return failure, facts["root"]
 
 
 # Report columns in order.

@@ -130,6 +130,59 @@ def segment_check(spark, sf_dir):
     return found.groupBy("status").agg(F.count(F.lit(1)).alias("segments"), F.sum("n").alias("sealed_events"))
 
 
+_LOST = "2024-01-02T07:00/000000"
+_SEALED_AT = datetime(2024, 3, 1, tzinfo=timezone.utc)
+
+
+def _sealed(c):
+    return chain.seal_segments(c, _SEALED_AT)
+
+
+def _forged(c):
+    """One hour rebuilt with another actor: consistent in itself."""
+    hour = c.where(F.col("seg") == _LOST).drop("seg", "pos", "prev_hash", "this_hash")
+    again = chain.build_chain(hour.withColumn("actor_id", F.lit("forged")))
+    return c.where(F.col("seg") != _LOST).unionByName(again)
+
+
+def _segment_report(c, events):
+    r = sweep(events, sealed=_sealed(c))
+    return r.select("event_count", "status", "first_broken_id", "position", "reason", "root_hash", "segment_root")
+
+
+def sweep_sealed(spark, sf_dir):
+    c = chained(spark, sf_dir)
+    return _segment_report(c, c)
+
+
+def sweep_lost_segment(spark, sf_dir):
+    """A whole hour is gone; every link that is left holds."""
+    c = chained(spark, sf_dir)
+    return _segment_report(c, c.where(F.col("seg") != _LOST))
+
+
+def sweep_forged_segment(spark, sf_dir):
+    c = chained(spark, sf_dir)
+    return _segment_report(c, _forged(c))
+
+
+def anchor_lost_segment(spark, sf_dir):
+    """Anchors that sign the chain over segments, against events without one hour."""
+    c = chained(spark, sf_dir)
+    sealed = _sealed(c)
+    a = anchor.anchor_segments(sealed, _DAY)
+    found = anchor.check_segment_anchors(a, c.where(F.col("seg") != _LOST), sealed)
+    return found.select("id", "last_event_id", "event_count", "mismatch")
+
+
+def anchor_signatures(spark, sf_dir):
+    """Signed daily anchors, one of them with a root that was replaced afterwards."""
+    signed = anchor.make_anchors(chained(spark, sf_dir), _DAY, anchor.hmac_signer(b"key", "k1"))
+    forged = F.when(F.col("id") == "anchor-2024-01-05T00:00", zero_hash()).otherwise(F.col("root_hash"))
+    checked = anchor.check_signatures(signed.withColumn("root_hash", forged), anchor.hmac_verifier({"k1": b"key"}))
+    return checked.select("id", "key_id", "signature_ok")
+
+
 def canonical_bytes(spark, sf_dir):
     configure(spark)
     return samples.audit_events(spark, sf_dir).select("id", hex_text(canonical_body()).alias("body"))
@@ -222,6 +275,16 @@ _DAILY = """daily AS (
     max_by(id, (ts, id)) AS last_event_id, max(ts) AS last_event_ts, count(*) AS event_count
   FROM ch GROUP BY date_trunc('day', ts))"""
 
+_SEGMENTS = f""",
+s AS (SELECT seg, count(*) AS n, min_by(id, (ts, id)) AS first_id, max_by(id, (ts, id)) AS last_id,
+    max_by(this_hash, (ts, id)) AS root FROM ch GROUP BY seg),
+b AS (SELECT *, row_number() OVER (ORDER BY seg) AS k,
+    {q.lp('seg')} || unhex(printf('%016x', n)) || unhex('00000020') || unhex(root) AS sbody FROM s),
+sc AS (
+  SELECT k, {q.ZERO} AS prev_segment_hash, {q.link('sbody', q.ZERO)} AS segment_hash FROM b WHERE k = 1
+  UNION ALL
+  SELECT b.k, sc.segment_hash, {q.link('b.sbody', 'sc.segment_hash')} FROM sc JOIN b ON b.k = sc.k + 1)"""
+
 QUERIES = {
     "chain_build": (chain_build, q.CHAIN + " SELECT id, seg, pos, prev_hash, this_hash FROM ch"),
     "chain_build_split_days": (chain_build_split_days, _split_sql(q.EV.replace(
@@ -266,16 +329,33 @@ SELECT seg, max_by(id, (ts, id)) AS id, max(pos) AS pos, max_by(this_hash, (ts,
     "chain_head_overall": (chain_head_overall, q.CHAIN + """
 SELECT id, epoch_us(ts) AS ts_us, this_hash FROM ch ORDER BY ts DESC, id DESC LIMIT 1"""),
     "chain_root": (chain_root, q.CHAIN + " SELECT count(*) AS event_count, max_by(this_hash, (ts, id)) AS root FROM ch"),
-    "segment_chain": (segment_chain, q.CHAIN + f""",
-s AS (SELECT seg, count(*) AS n, min_by(id, (ts, id)) AS first_id, max_by(id, (ts, id)) AS last_id,
-    max_by(this_hash, (ts, id)) AS root FROM ch GROUP BY seg),
-b AS (SELECT *, row_number() OVER (ORDER BY seg) AS k,
-    {q.lp('seg')} || unhex(printf('%016x', n)) || unhex('00000020') || unhex(root) AS sbody FROM s),
-sc AS (
-  SELECT k, {q.ZERO} AS prev_segment_hash, {q.link('sbody', q.ZERO)} AS segment_hash FROM b WHERE k = 1
-  UNION ALL
-  SELECT b.k, sc.segment_hash, {q.link('b.sbody', 'sc.segment_hash')} FROM sc JOIN b ON b.k = sc.k + 1)
+    "segment_chain": (segment_chain, q.CHAIN + _SEGMENTS + """
 SELECT seg, n, first_id, last_id, root, prev_segment_hash, segment_hash FROM b JOIN sc USING (k)"""),
+    "sweep_sealed": (sweep_sealed, q.CHAIN + _SEGMENTS + """
+SELECT (SELECT count(*) FROM ch) AS event_count, 'ok' AS status, CAST(NULL AS VARCHAR) AS first_broken_id,
+  CAST(NULL AS BIGINT) AS position, CAST(NULL AS VARCHAR) AS reason,
+  'sha256:' || (SELECT max_by(this_hash, (ts, id)) FROM ch) AS root_hash,
+  'sha256:' || (SELECT max_by(segment_hash, k) FROM sc) AS segment_root"""),
+    "sweep_lost_segment": (sweep_lost_segment, f"""WITH {q.EV}, lost AS (SELECT * FROM ev WHERE seg = '{_LOST}')
+SELECT (SELECT count(*) FROM ev WHERE seg <> '{_LOST}') AS event_count, 'gap' AS status,
+  min_by(id, (ts, id)) AS first_broken_id,
+  (SELECT count(*) FROM ev WHERE ts < (SELECT min(ts) FROM lost)) AS position,
+  'sealed segment missing' AS reason, CAST(NULL AS VARCHAR) AS root_hash, CAST(NULL AS VARCHAR) AS segment_root
+FROM lost HAVING count(*) > 0
+UNION ALL
+SELECT (SELECT count(*) FROM ev), 'none lost', NULL, NULL, NULL, NULL, NULL FROM lost HAVING count(*) = 0"""),
+    "sweep_forged_segment": (sweep_forged_segment, f"""WITH {q.EV}, lost AS (SELECT * FROM ev WHERE seg = '{_LOST}')
+SELECT (SELECT count(*) FROM ev) AS event_count, 'broken' AS status, min_by(id, (ts, id)) AS first_broken_id,
+  (SELECT count(*) FROM ev WHERE ts < (SELECT min(ts) FROM lost)) + 1 AS position,
+  'sealed segment changed' AS reason, CAST(NULL AS VARCHAR) AS root_hash, CAST(NULL AS VARCHAR) AS segment_root
+FROM lost HAVING count(*) > 0"""),
+    "anchor_lost_segment": (anchor_lost_segment, f"""WITH {q.EV}
+SELECT 'anchor-' || strftime(date_trunc('day', ts), '%Y-%m-%dT%H:%M') AS id, max_by(id, (ts, id)) AS last_event_id,
+  count(*) AS event_count, max(seg) >= '{_LOST}' AS mismatch
+FROM ev GROUP BY date_trunc('day', ts)"""),
+    "anchor_signatures": (anchor_signatures, f"""WITH {q.EV}
+SELECT DISTINCT 'anchor-' || strftime(date_trunc('day', ts), '%Y-%m-%dT%H:%M') AS id, 'k1' AS key_id,
+  date_trunc('day', ts) <> TIMESTAMP '2024-01-05' AS signature_ok FROM ev"""),
     "segment_check": (segment_check, f"""WITH {q.EV}, s AS (SELECT seg, count(*) AS n FROM ev GROUP BY seg)
 SELECT CASE WHEN seg BETWEEN '2024-01-02T00:00/' AND '2024-01-02T12' THEN 'missing' ELSE 'ok' END AS status,
   count(*) AS segments, CAST(sum(n) AS BIGINT) AS sealed_events FROM s GROUP BY 1"""),

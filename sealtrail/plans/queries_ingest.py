@@ -152,7 +152,7 @@ def chain_extend(spark, sf_dir):
     events = samples.audit_events(spark, sf_dir)
     early = F.minute("ts") < 30
     heads = segment_heads(build_chain(events.where(early)))
-    return build_chain(events.where(~early), heads=heads).select("id", "seg", "pos", *hexed("prev_hash", "this_hash"))
+    return build_chain(events.where(~early), heads=heads, batch="1").select("id", "seg", "pos", *hexed("prev_hash", "this_hash"))
 
 
 def dead_letters(spark, sf_dir):

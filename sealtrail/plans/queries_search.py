@@ -59,6 +59,10 @@ def page_assign(spark, sf_dir):
     return s.assign_pages(chained(spark, sf_dir), EventQuery(service="purchase"), 50).select("id", "position", "page")
 
 
+def event_get(spark, sf_dir):
+    return _short(s.get(chained(spark, sf_dir), "00000007-0000-7000-8000-000000000007"))
+
+
 def lookup_ids(spark, sf_dir):
     return _short(s.lookup(chained(spark, sf_dir), samples.hold_log(spark, sf_dir)))
 
@@ -105,6 +109,7 @@ SELECT id, epoch_us(ts) AS ts_us, ts_ns, source_service, actor_id, action, targe
     "page_assign": (page_assign, f"""WITH {q.EV}, p AS (
   SELECT id, row_number() OVER (ORDER BY ts, id) AS position FROM ev WHERE source_service = 'purchase')
 SELECT id, position, (position + 49) // 50 AS page FROM p"""),
+    "event_get": (event_get, _found("n = 7")),
     "lookup_ids": (lookup_ids, _found("n % 20 = 0")),
     "missing_ids": (missing_ids, f"""SELECT {q.uuid('o_orderkey')} AS id FROM orders
 WHERE o_orderkey NOT IN (SELECT event_id FROM events)"""),

@@ -53,6 +53,11 @@ HEADS = flat(
     " last_hash BINARY, n BIGINT"
 )
 
+SEGMENTS = flat(
+    "seg STRING, n BIGINT, first_id STRING, first_ts TIMESTAMP, last_id STRING, last_ts TIMESTAMP,"
+    " root BINARY, sealed_at TIMESTAMP, prev_segment_hash BINARY, segment_hash BINARY"
+)
+
 ANCHORS = flat(
     "id STRING, anchored_at TIMESTAMP, root_hash BINARY, last_event_id STRING,"
     " last_event_ts TIMESTAMP, signature BINARY, key_id STRING, event_count BIGINT"

@@ -28,12 +28,10 @@ from sealtrail.operators.ingest import (
     judge_messages,
 )
 from sealtrail.operators.redact import load_policy
+from sealtrail.plans.joins import broadcast_if_small
 from sealtrail.plans.ordering import MAX_ROWS
 from sealtrail.sources.tables import Store
 
-# Dates a batch may touch before its duplicate check stops listing them one by one.
-_MAX_DATES = 1000
-
 
 def _now() -> datetime:
     return datetime.now(timezone.utc)
@@ -60,9 +58,8 @@ class IngestConfig:
 def _stored_ids(messages: DataFrame, store: Store, config: IngestConfig, batch: int) -> DataFrame:
     stored = store.read(messages.sparkSession, "audit_events", before_batch=batch)
     if config.duplicates_share_ts:
-        dates = messages.select(F.to_date("ts").alias("d")).distinct().limit(_MAX_DATES + 1).collect()
-        if len(dates) <= _MAX_DATES:
-            stored = stored.where(F.col("event_date").isin([r["d"] for r in dates]))
+        dates = messages.select(F.to_date("ts").alias("event_date")).distinct()
+        stored = stored.join(broadcast_if_small(dates), "event_date", "left_semi")
     return stored.select("id")
 
 
@@ -101,8 +98,10 @@ def start_ingest(
     watermark: str | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Start the stream.  ``watermark`` (e.g. "1 hour") drops near-in-time copies of an id
+    """Start the stream.  ``watermark`` (e.g. "1 hour") drops near-in-time copies of a message
     in the stream's state already; the check against stored ids stays exact either way.
+    Only byte-equal messages count as copies there: one that will be rejected must not hide
+    a valid one with the same id.
 
     Message and reject counts appear in the query progress as ``ingest``.
     """
@@ -113,10 +112,11 @@ def start_ingest(
         F.count_if(F.col("error").isNotNull()).alias("undecodable"),
     )
     if watermark:
-        # Only well-formed messages have an id to compare; the others pass untouched.
+        # Messages without an id are dead letters, each of which is kept.
+        told = F.col("error").isNull() & (F.col("id") != "")
         decoded = decoded.withColumn(
-            "_key", F.when(F.col("error").isNull() & (F.col("id") != ""), F.col("id")).otherwise(
-                F.concat_ws("/", "topic", "partition", "offset")
+            "_key", F.when(told, F.concat_ws("/", "id", F.sha2("value", 256))).otherwise(
+                F.concat_ws("/", "topic", "partition", "offset", F.sha2("value", 256))
             )
         )
         decoded = (

@@ -137,7 +137,7 @@ def test_heads_continue_the_same_chain(spark):
     whole = {r["id"]: (r["seg"], r["pos"], bytes(r["this_hash"])) for r in c.build_chain(df).collect()}
     cut = BASE + timedelta(seconds=40 * 130)
     first = c.build_chain(df.where(F.col("ts") < F.lit(cut)))
-    second = c.build_chain(df.where(F.col("ts") >= F.lit(cut)), heads=c.segment_heads(first))
+    second = c.build_chain(df.where(F.col("ts") >= F.lit(cut)), heads=c.segment_heads(first), batch="1")
     pieces = {r["id"]: (r["seg"], r["pos"], bytes(r["this_hash"])) for r in first.unionByName(second).collect()}
     assert pieces == whole
 
@@ -145,7 +145,7 @@ def test_heads_continue_the_same_chain(spark):
 def test_a_full_segment_is_followed_by_a_new_one(spark):
     df = events(spark, 60).cache()
     first = c.build_chain(df.where("id < 'e0030'"), max_rows=40)
-    second = c.build_chain(df.where("id >= 'e0030'"), max_rows=40, heads=c.segment_heads(first))
+    second = c.build_chain(df.where("id >= 'e0030'"), max_rows=40, heads=c.segment_heads(first), batch="1")
     both = first.unionByName(second)
     assert {r["seg"]: r["count"] for r in both.groupBy("seg").count().collect()} == {
         "2026-07-13T10:00/000000": 30, "2026-07-13T10:00/000001": 30}

@@ -25,7 +25,7 @@ def test_chains_continue_the_same_way_without_broadcasts(spark, monkeypatch):
     rest = df.where("id >= 'e0010'")
 
     def links():
-        return sorted((r["id"], r["seg"], r["pos"], bytes(r["this_hash"])) for r in chain.build_chain(rest, heads=heads).collect())
+        return sorted((r["id"], r["seg"], r["pos"], bytes(r["this_hash"])) for r in chain.build_chain(rest, heads=heads, batch="1").collect())
 
     with_broadcast = links()
     monkeypatch.setattr(chain, "broadcast_if_small", lambda frame: frame)
