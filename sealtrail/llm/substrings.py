@@ -9,8 +9,8 @@ from all buckets are then joined, and each is verified: the words at its source
 must be those at its place, so hashes decide nothing.
 
 What is sent: documents with equal words are one class, of which only the smallest id is
-looked at.  Each batch of documents resolves its own repetitions and sends an edge once,
-with its smallest document, so an edge that very many documents have is a few rows per
+looked at.  Each batch of documents resolves its own repetitions and sends an edge with its
+smallest document only, so an edge that very many documents have is a few rows per
 batch, not one per document.
 """
 
@@ -96,13 +96,13 @@ def _paths(doc: np.ndarray, pos: np.ndarray, src: np.ndarray, src_pos: np.ndarra
     return np.stack([doc[start], pos[start], n, src[start], src_pos[start]], axis=1)
 
 
-def _first_sources(edge: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _first_sources(edge: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by edge, document and place; for each row in that order the row of its first source."""
     order = np.lexsort((pos, doc, edge))
     e = edge[order]
     new = np.append(True, e[1:] != e[:-1]) if len(e) else np.zeros(0, dtype=bool)
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return order, order[first], new
+    return order, order[first]
 
 
 def _sent(batch: list[tuple[int, np.ndarray, np.ndarray]], buckets: int) -> pd.DataFrame:
@@ -111,10 +111,10 @@ def _sent(batch: list[tuple[int, np.ndarray, np.ndarray]], buckets: int) -> pd.D
     least = np.concatenate([b for _, _, b in batch])
     doc = np.repeat(np.array([d for d, _, _ in batch], dtype=np.int64), [len(e) for _, e, _ in batch])
     pos = np.concatenate([np.arange(len(e), dtype=np.int64) for _, e, _ in batch])
-    order, source, new = _first_sources(edge, doc, pos)
+    order, source = _first_sources(edge, doc, pos)
     again = doc[order] > doc[source]
     known = _paths(doc[order][again], pos[order][again], doc[source][again], pos[source][again])
-    own = np.sort(order[new])
+    own = np.sort(order[~again])  # every place of the edge in its smallest document
     bucket = (least[own] % np.uint64(buckets)).astype(np.int64)
     own = own[np.argsort(bucket, kind="stable")]
     bucket = np.sort(bucket)
@@ -134,7 +134,7 @@ def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
     edge = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in rows["edge"]])
     doc = np.concatenate([np.cumsum(np.frombuffer(x, dtype=np.int64)) for x in rows["doc"]])
     pos = np.concatenate([np.cumsum(np.frombuffer(x, dtype=np.int32).astype(np.int64)) for x in rows["pos"]])
-    order, source, _ = _first_sources(edge, doc, pos)
+    order, source = _first_sources(edge, doc, pos)
     again = doc[order] > doc[source]
     found = _paths(doc[order][again], pos[order][again], doc[source][again], pos[source][again])
     known = np.frombuffer(b"".join(rows["paths"]), dtype=np.int64).reshape(-1, 5)
