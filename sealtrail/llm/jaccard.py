@@ -13,7 +13,7 @@ such hash is a block.  The order puts hashes that a sample shows to be frequent
 keeps blocks small; it decides speed, never results.
 
 Large groups of near copies would fill a block with all pairs.  So the members of a block are
-first compared with its smallest member alone, and components are formed; then the trees
+first compared with one of them alone, a center, and components are formed; then the trees
 search only for pairs across components.  Blocks still large are searched as pairs of cells.
 Copies (equal sets) are one class from the start.
 """
@@ -33,7 +33,7 @@ from sealtrail.sources.scratch import stored
 
 SHINGLE = 5
 PERCENT = 80
-GROUPS = 64
+GROUPS = 256
 #: Documents in the sample that shows frequent shingles, and the share that makes one frequent.
 SAMPLE = 4_000
 FREQUENT = 0.001
@@ -43,6 +43,8 @@ MOST_FREQUENT = 200_000
 CELL = 1_024
 NODE = 16
 REMEMBERED = 500_000
+#: Pairs of ids (16 bytes each) up to which they are broadcast.
+MOST_PAIRS = 1_000_000
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -81,7 +83,7 @@ def _least_overlap(n: np.ndarray | int) -> np.ndarray | int:
 def _group_counts(shingles: np.ndarray) -> bytes:
     """The point of a set; empty if a count is too large to be kept (then nothing is bounded)."""
     counts = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
-    return counts.astype(np.uint16).tobytes() if counts.max(initial=0) < 65_536 else b""
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
@@ -117,7 +119,8 @@ def _signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             for text in batch["text"]:
                 s = shingler(text)
                 n = len(s)
-                late = np.isin(s, common, assume_unique=True)
+                at = np.searchsorted(common, s)
+                late = common[np.minimum(at, len(common) - 1)] == s if len(common) else np.zeros(n, dtype=bool)
                 ordered = np.concatenate([s[~late], s[late]])
                 out["n"].append(n)
                 out["class"].append(xxhash.xxh128_digest(s.tobytes()) if n else None)
@@ -129,6 +132,17 @@ def _signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.mapInPandas(signed, schema)
 
 
+def _packed(shingles: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes (a collision within a pair is one in ten millions)."""
+    return np.ascontiguousarray((shingles >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) of class representatives whose sets are similar enough, from whole texts."""
     kind = _kind(docs)
@@ -139,24 +153,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for batch in batches:
-            batch["s"] = [shingler(t).tobytes() for t in batch["text"]]
-            own = [xxhash.xxh128_digest(s) == bytes(c) for s, c in zip(batch["s"], batch["class"])]
+            full = [shingler(t) for t in batch["text"]]
+            own = [xxhash.xxh128_digest(s.tobytes()) == bytes(c) for s, c in zip(full, batch["class"])]
+            batch["s"] = [_packed(s) for s in full]
             yield batch.loc[np.array(own, dtype=bool), ["doc", "s"]]
 
-    held = texts.select("doc", "text", "class").mapInPandas(sets, f"doc {kind}, s binary")
-    held = stored(held.groupBy("doc").agg(F.any_value("s").alias("s")), "sets")
+    held = stored(texts.select("doc", "text", "class").mapInPandas(sets, f"doc {kind}, s binary"), "sets")
 
     def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
             for x, y in zip(batch["x"], batch["y"]):
-                p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                p, q = _unpacked(x), _unpacked(y)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= PERCENT * (len(p) + len(q) - both))
             yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
-    joined = pairs.join(held.select(F.col("doc").alias("a"), F.col("s").alias("x")), "a").join(
-        held.select(F.col("doc").alias("b"), F.col("s").alias("y")), "b"
+    # the pairs go to one side's sets while they are few enough; these then meet the other's
+    few = broadcast_if_small(pairs, MOST_PAIRS)
+    joined = held.select(F.col("doc").alias("b"), F.col("s").alias("y")).join(few, "b").join(
+        held.select(F.col("doc").alias("a"), F.col("s").alias("x")), "a"
     )
     return joined.select("a", "b", "x", "y").mapInPandas(similar, f"a {kind}, b {kind}")
 
@@ -200,54 +216,109 @@ class CountTree:
 
 def _points(column: pd.Series) -> np.ndarray:
     """Counts of each row; where they were too large to keep, no count bounds anything."""
-    free = np.full(GROUPS, 1 << 40, dtype=np.int64)
-    return np.stack([np.frombuffer(p, dtype=np.uint16).astype(np.int64) if p else free for p in column])
+    free = np.full(GROUPS, 1 << 20, dtype=np.int32)
+    return np.stack([np.frombuffer(p, dtype=np.uint8).astype(np.int32) if p else free for p in column])
 
 
 def _searched(group: pd.DataFrame) -> pd.DataFrame:
     """Pairs across components, and across cells if the group is of two cells."""
     points, sizes = _points(group["point"]), group["n"].to_numpy()
     reps, component = group["rep"].to_numpy(), group["component"].to_numpy()
-    cell, center = group["cell"].to_numpy(), group["center"].to_numpy()
+    cell = group["cell"].to_numpy()
     two = cell.min() != cell.max()
     found = []
     tree = CountTree(points, sizes)
     for i in range(len(group)):
         near = tree.partners(points[i], int(sizes[i]))
-        near = near[(reps[near] > reps[i]) & (component[near] != component[i]) & (reps[i] != center[near])]
+        near = near[(reps[near] > reps[i]) & (component[near] != component[i])]
         if two:
             near = near[cell[near] != cell[i]]
         found += [(reps[i], reps[j]) for j in near]
     return pd.DataFrame(found, columns=["a", "b"])
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Candidate pairs of different components from blocks of (key, rep, n, point, component, center)."""
+def _across(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """Candidate pairs of different components from blocks of (key, rep, component).
+
+    Blocks that would fill one tree node at most have no tree: their few pairs are made
+    distinct first (a pair has many blocks in common) and bounded then.
+    """
     kind = _kind(members, "rep")
     sizes = members.groupBy("key").agg(
         F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most")
     )
-    open_ = sizes.where("least <> most").withColumn("cells", F.ceil(F.col("size") / CELL).cast("int")).select("key", "cells")
-    rows = members.join(open_, "key").withColumn("cell", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
+    open_ = stored(
+        members.join(sizes.where("least <> most").select("key", "size"), "key"), "open"
+    )
+    few = open_.where(F.col("size") <= NODE)
+    other_few = few.select("key", F.col("rep").alias("b"), F.col("component").alias("b_component"))
+    small = few.join(other_few, "key").where(
+        "rep < b and component <> b_component"
+    ).select(F.col("rep").alias("a"), "b").distinct()
+
+    many = open_.where(F.col("size") > NODE).withColumn("cells", F.ceil(F.col("size") / CELL).cast("int")).join(facts, "rep")
+    rows = many.withColumn("cell", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other")
     spread = rows.select("*", other).withColumns({
         "low": F.least("cell", "other"), "high": F.greatest("cell", "other"),
-    }).select("key", "low", "high", "rep", "n", "point", "component", "center", "cell")
+    }).select("key", "low", "high", "rep", "n", "point", "component", "cell")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for batch in batches:
             batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if not len(batch):
+                continue
             name = batch[["key", "low", "high"]].to_numpy()
             starts = np.concatenate([[0], np.flatnonzero((name[1:] != name[:-1]).any(axis=1)) + 1])
             for begin, end in zip(starts[:-1], starts[1:]):
                 yield _searched(batch.iloc[begin:end])
-            rest = batch.iloc[starts[-1]:] if len(batch) else None  # may go on in the next batch
-        if rest is not None and len(rest):
+            rest = batch.iloc[starts[-1]:]  # may go on in the next batch
+        if rest is not None:
             yield _searched(rest)
 
     grouped = spread.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return grouped.mapInPandas(search, f"a {kind}, b {kind}").distinct()
+    large = grouped.mapInPandas(search, f"a {kind}, b {kind}")
+    return _bounded(small, facts).unionByName(large).distinct()
+
+
+def _shared(classes: DataFrame) -> DataFrame:
+    """(key, rep) of blocks with two members or more; a block is never held, only its last row."""
+    kind = _kind(classes, "rep")
+
+    def repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, told = None, True  # the last row so far, and whether it has been given out
+        for batch in batches:
+            if not len(batch):
+                continue
+            if last is not None and not told:
+                batch = pd.concat([last, batch], ignore_index=True)
+                before = None
+            else:
+                before = None if last is None else last["key"].iloc[0]
+            key = batch["key"].to_numpy()
+            like_next = np.append(key[1:] == key[:-1], False)
+            keep = like_next | np.insert(like_next[:-1], 0, before is not None and before == key[0])
+            yield batch[keep]
+            last, told = batch.iloc[-1:], bool(keep[-1])
+
+    keyed = classes.select(F.explode("keys").alias("key"), "rep")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(repeated, f"key long, rep {kind}")
+
+
+def _with_centers(shared: DataFrame) -> DataFrame:
+    """(key, rep, center): the center of a block is the member that shares most.
+
+    A text that copies were made of shares nearly all of its hashes with them, while copies
+    have hashes of their own where they were changed; so it is the likeliest to be similar to
+    all of them.
+    """
+    sizes = shared.groupBy("key").agg(F.count("*").alias("size"))
+    sharing = shared.join(sizes, "key").groupBy("rep").agg(F.sum("size").alias("shares"))
+    rows = shared.join(sharing, "rep")
+    best = rows.groupBy("key").agg(F.max("shares").alias("shares"))
+    centers = rows.join(best, ["key", "shares"]).groupBy("key").agg(F.min("rep").alias("center"))
+    return shared.join(centers, "key")
 
 
 def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -270,20 +341,21 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         "classes",
     )
 
-    keyed = classes.select("rep", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("center")).where("size > 1")
-    members = stored(keyed.join(shared, "key"), "members")
+    members = stored(_with_centers(stored(_shared(classes), "shared")), "members")
     facts = classes.select("rep", "n", "point")
 
-    # every member against the smallest of its block
-    star = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
+    # every member against one center, that of most of its blocks
+    common = members.where("rep <> center").groupBy("rep", "center").agg(F.count("*").alias("c"))
+    star = common.groupBy("rep").agg(F.max_by("center", F.struct("c", "center")).alias("center")).select(
+        F.least("center", "rep").alias("a"), F.greatest("center", "rep").alias("b")
+    ).distinct()
     links = stored(_verified(_bounded(star, facts), rows, classes), "links")
     first = components(links)
 
     # then pairs that are still apart, in blocks of more than two
-    blocks = members.where("size > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left")
-    blocks = blocks.withColumn("component", F.coalesce("component", "rep")).join(facts, "rep")
-    more = _verified(stored(_across(blocks), "pairs"), rows, classes)
+    blocks = members.join(first.withColumnRenamed("node", "rep"), "rep", "left")
+    blocks = blocks.withColumn("component", F.coalesce("component", "rep"))
+    more = _verified(stored(_across(blocks, facts), "pairs"), rows, classes)
     merged = components(stored(links.union(more), "links"))
 
     least = classes.select("class", "rep").join(merged.withColumnRenamed("node", "rep"), "rep", "left").select(
