@@ -38,8 +38,12 @@ LONGEST_WORD = 2_000
 ABREAST = 48
 #: Lattice nodes (letters of distinct words) that a worker remembers.
 REMEMBERED = 1_500_000
-#: Characters sampled at once.
-CHUNK = 3_000_000
+#: Words filtered and characters sampled at once.
+ABREAST_WORDS = 10_000
+CHUNK = 1_200_000
+
+BATCH_ROWS = 1_000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _WORD = re.compile(" *[^ ]+| +")
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -115,13 +119,13 @@ class Lattice:
     def clear(self) -> None:
         self.ends: dict[str, int] = {}
         self.size = 0
-        self.fresh: tuple[list, list, list] = ([], [], [])
-        self.keys, self.piece, self.back = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.keys, self.piece, self.back = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def add(self, word: str) -> None:
         """Forward filtering of one word."""
         pieces, byte_weight = self.vocabulary.pieces, self.vocabulary.byte_weight
-        keys, piece, back = self.fresh
+        keys, piece, back = [], [], []
         first, size = self.size, len(word)
         into: list[list] = [[] for _ in range(size + 1)]  # (weight of all ways over the edge, piece, from)
         ways = 1.0
@@ -156,6 +160,7 @@ class Lattice:
             piece.append(p)
             back.append(first + b)
         keys[-1] = node + 1.0
+        self.blocks.append((np.array(keys), np.array(piece, np.int32), np.array(back, np.int32)))
         self.ends[word] = node
         self.size += size + 1
 
@@ -204,20 +209,17 @@ class Lattice:
         before = np.concatenate([[0], share[last]])[np.cumsum(last) - last]
         keys = node + (share - before) / _UNITS
         keys[last] = node[last] + 1.0
-        self.keys = np.concatenate([self.keys, keys])
-        self.piece = np.concatenate([self.piece, piece])
-        self.back = np.concatenate([self.back, first[whose] + begin])
+        self.blocks.append((keys, piece.astype(np.int32), (first[whose] + begin).astype(np.int32)))
         self.ends.update(zip(words, (first + lengths).tolist()))
         self.size += int(np.sum(lengths + 1))
 
     def settle(self) -> None:
         """Make the words added since the last call searchable."""
-        keys, piece, back = self.fresh
-        if keys:
-            self.keys = np.concatenate([self.keys, keys])
-            self.piece = np.concatenate([self.piece, np.array(piece, np.int64)])
-            self.back = np.concatenate([self.back, np.array(back, np.int64)])
-            self.fresh = ([], [], [])
+        if not self.blocks:
+            return
+        keys, piece, back = zip((self.keys, self.piece, self.back), *self.blocks)
+        self.keys, self.piece, self.back = np.concatenate(keys), np.concatenate(piece), np.concatenate(back)
+        self.blocks = []
 
 
 class Sampler:
@@ -254,7 +256,9 @@ class Sampler:
         known = lattice.ends
         new = [w for w in set(words) if w not in known]
         if short := [w for w in new if len(w) <= ABREAST]:
-            lattice.add_many(short)
+            short.sort(key=len)  # so that a block of letters has few empty places
+            for k in range(0, len(short), ABREAST_WORDS):
+                lattice.add_many(short[k : k + ABREAST_WORDS])
         for word in new:
             if len(word) > ABREAST:
                 lattice.add(word)
@@ -281,7 +285,7 @@ class Sampler:
             active = active[node[active] > first[active]]
             step += 1
         ends = np.cumsum(n_pieces)
-        ids = np.empty(ends[-1] if len(ends) else 0, dtype=np.int64)
+        ids = np.empty(ends[-1] if len(ends) else 0, dtype=np.int32)
         for step, (which, piece) in enumerate(steps):
             ids[ends[which] - 1 - step] = piece
         row_ends = np.concatenate([[0], ends])[np.cumsum(counts)]
@@ -318,8 +322,13 @@ def encode(
 
     The same key and text give the same ids on every run (a null key counts as a key of its
     own; rows that share a key share random numbers).  A null text gives null, an empty one
-    an empty array.  A column named ``out`` is replaced, all others stay.
+    an empty array.  A column named ``out`` is replaced, all others stay.  Ids take a
+    multiple of the text's memory, so Arrow batches of the session are kept to
+    ``BATCH_ROWS`` rows.
     """
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(_BATCH_CONF, str(BATCH_ROWS))
 
     @F.pandas_udf("array<int>")
     def sampled(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
