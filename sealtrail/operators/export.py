@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -146,13 +147,26 @@ def run_export(
     path: str,
     generated_at: datetime,
     signer: Signer | None = None,
+    log: Callable[[DataFrame], None] | None = None,
     **options,
 ) -> DataFrame:
     """Write ``<path>/exports/<id>/events`` and ``…/manifest``; return the run's log row.
 
     Event files are written by all tasks, sorted by (ts, id) within and across files
-    (``part-00000`` first).  A bad query or format gives a FAILED row and no files.
+    (``part-00000`` first).  A bad query or format gives a FAILED row and no files.  Any
+    other failure is handed to ``log`` as a FAILED row (to append to the run log) and raised.
     """
+    try:
+        return _run_export(events, job, path, generated_at, signer, **options)
+    except Exception:
+        if log is not None:
+            log(_run_row(events.sparkSession, job, retention_for(job.retention_days), "FAILED", generated_at))
+        raise
+
+
+def _run_export(
+    events: DataFrame, job: ExportJob, path: str, generated_at: datetime, signer: Signer | None, **options
+) -> DataFrame:
     spark = events.sparkSession
     base = f"{path.rstrip('/')}/exports/{job.id}"
     retention = retention_for(job.retention_days)

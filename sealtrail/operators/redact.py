@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sealtrail.functions.hashing import _col
 from sealtrail.functions.json_text import clean, dumps, loads
-from sealtrail.plans.joins import broadcast_if_small
-from sealtrail.schema import RULES, flat
+from sealtrail.schema import flat
 
 DROP, HASH, MASK, NONE = "drop", "hash", "mask", "none"
 
@@ -75,32 +74,6 @@ def load_policy(path: str | None, spark: SparkSession | None = None) -> Policy:
         raise
 
 
-def rules_table(spark: SparkSession, policy: Policy) -> DataFrame:
-    rows = [
-        (order, rule.service, rule.action, name, transform)
-        for order, rule in enumerate(policy)
-        for name, transform in rule.fields.items()
-    ]
-    return spark.createDataFrame(rows, RULES)
-
-
-def resolve_rules(pairs: DataFrame, rules: DataFrame) -> DataFrame:
-    """(service, action, field, transform) for each distinct pair; the first rule that
-    names a field wins."""
-    pairs = pairs.select("service", "action").distinct()
-    r = rules.select(
-        F.col("service").alias("r_service"), F.col("action").alias("r_action"), "rule_ord", "field", "transform"
-    )
-    matches = (F.col("r_service").isin("*") | (F.col("r_service") == F.col("service"))) & (
-        F.col("r_action").isin("*") | (F.col("r_action") == F.col("action"))
-    )
-    return (
-        pairs.join(broadcast_if_small(r), matches)
-        .groupBy("service", "action", "field")
-        .agg(F.min_by("transform", "rule_ord").alias("transform"))
-    )
-
-
 def _matches(rule: Rule, service: Column, action: Column) -> Column:
     tests = [c == v for c, v in ((service, rule.service), (action, rule.action)) if v != "*"]
     return reduce(lambda a, b: a & b, tests, F.lit(True))

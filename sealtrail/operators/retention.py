@@ -47,8 +47,16 @@ def retention_state(payloads: DataFrame, as_of: datetime) -> DataFrame:
     )
 
 
-def purge_plan(payloads: DataFrame, as_of: datetime) -> DataFrame:
-    """Decision per payload: purge, or refuse with the reason."""
+def purge_plan(payloads: DataFrame, as_of: datetime, holds: DataFrame | None = None) -> DataFrame:
+    """Decision per payload: purge, or refuse with the reason.
+
+    With the hold log an event's latest entry counts instead of the payload's initial hold.
+    """
+    if holds is not None:
+        now = current_holds(holds).select(F.col("id").alias("payload_ref"), "hold")
+        payloads = payloads.join(broadcast_if_small(now), "payload_ref", "left").withColumn(
+            "legal_hold", F.coalesce("hold", "legal_hold")
+        )
     held = F.when(F.col("legal_hold"), "legal hold")
     return payloads.select(
         "payload_ref",

@@ -190,7 +190,8 @@ def redaction_rule_match(spark, sf_dir):
     configure(spark)
     e = samples.audit_events(spark, sf_dir)
     pairs = e.select(F.col("source_service").alias("service"), "action")
-    return r.resolve_rules(pairs, r.rules_table(spark, policy()))
+    chosen = r.transforms_for(policy(), "service", "action")
+    return pairs.distinct().select("service", "action", F.explode(chosen).alias("field", "transform"))
 
 
 def redact_events(spark, sf_dir):

@@ -57,6 +57,10 @@ def purge_plan(spark, sf_dir):
     return r.purge_plan(_inventory(spark, sf_dir), AS_OF)
 
 
+def purge_plan_held(spark, sf_dir):
+    return r.purge_plan(_inventory(spark, sf_dir), AS_OF, samples.hold_log(spark, sf_dir))
+
+
 _STEPS = ((20, "STANDARD", "GLACIER"), (25, "GLACIER", "DEEP_ARCHIVE"))
 
 
@@ -205,6 +209,11 @@ SELECT payload_ref, {q.RETAINED} AS retained,
     "purge_plan": (purge_plan, f"""WITH {q.INVENTORY}
 SELECT payload_ref, CASE WHEN {q.RETAINED} THEN 'refuse' ELSE 'purge' END AS decision,
   CASE WHEN legal_hold THEN 'legal hold' WHEN {q.RETAINED} THEN 'retention active' END AS reason FROM payloads"""),
+    "purge_plan_held": (purge_plan_held, f"""WITH {q.INVENTORY}, {q.HOLDS},
+h AS (SELECT id, max_by(hold, (changed_at, hold)) AS hold FROM holds GROUP BY id),
+p AS (SELECT payloads.* REPLACE (coalesce(hold, legal_hold) AS legal_hold) FROM payloads LEFT JOIN h ON id = payload_ref)
+SELECT payload_ref, CASE WHEN {q.RETAINED} THEN 'refuse' ELSE 'purge' END AS decision,
+  CASE WHEN legal_hold THEN 'legal hold' WHEN {q.RETAINED} THEN 'retention active' END AS reason FROM p"""),
     "lifecycle_plan": (lifecycle_plan, f"""WITH {q.INVENTORY}, p AS (
   SELECT payload_ref, storage_class,
     CASE WHEN storage_class = 'STANDARD' AND created_at <= {q.AS_OF} - INTERVAL 20 DAY THEN 'GLACIER'

@@ -28,8 +28,8 @@ def nanos(ts):
     return int((ts - datetime(1970, 1, 1, tzinfo=timezone.utc)) / timedelta(microseconds=1)) * 1000
 
 
-def event(id_, ts, service="orch", actor="u1", action="x", target=("t", "i"), payload=b"payload-hash"):
-    return (id_, ts, nanos(ts), service, actor, action, *target, payload, f"s3://{id_}", False)
+def event(id_, ts, service="desk", actor="clerk", action="signed", target=("form", "12"), payload=b"body-digest"):
+    return (id_, ts, nanos(ts), service, actor, action, *target, payload, f"store/{id_}", False)
 
 
 def events(spark, n, step=timedelta(seconds=1), prefix="e", **fields):

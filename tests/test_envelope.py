@@ -9,8 +9,8 @@ from sealtrail.operators.redact import parse_policy
 from sealtrail.schema import WIRE
 
 GOOD = {
-    "id": "evt1", "ts": "2026-07-13T10:00:00Z", "source_service": "orch", "actor_id": "u1",
-    "action": "tx.initiated", "target_type": "transaction", "target_id": "tx1",
+    "id": "msg-7", "ts": "2025-03-04T08:30:00Z", "source_service": "desk", "actor_id": "clerk",
+    "action": "form.signed", "target_type": "form", "target_id": "form-12",
     "payload_hash": "sha256:" + "9f" * 32, "payload": {"amount": "100"},
 }
 
@@ -29,9 +29,9 @@ def message(**changes):
 
 def test_well_formed():
     out = decode_one(json.dumps(GOOD).encode())
-    assert out["id"] == "evt1" and out["target_id"] == "tx1" and "error" not in out
+    assert out["id"] == "msg-7" and out["target_id"] == "form-12" and "error" not in out
     assert out["payload"] == b'{"amount": "100"}'
-    assert out["ts_ns"] == 1_783_936_800_000_000_000
+    assert out["ts_ns"] == 1_741_077_000_000_000_000
 
 
 @pytest.mark.parametrize("raw", [
@@ -85,7 +85,7 @@ def test_first_missing_member_is_named(spark):
     assert [r["m"] for r in got] == [*names, "event: invalid: missing id", None, "event: invalid: missing payload_hash"]
 
 
-POLICY = parse_policy('rules:\n  - service: "orch"\n    action: "*"\n    fields:\n      ssn: mask\n')
+POLICY = parse_policy('rules:\n  - service: "desk"\n    action: "*"\n    fields:\n      ssn: mask\n')
 
 
 def judged(spark, values, policy=POLICY):
@@ -117,7 +117,7 @@ def test_events_keep_the_hash_of_the_original_payload(spark):
     df = ingest.accepted(df)
     e = ingest.as_events(df, None).first()
     assert bytes(e["payload_hash"]) == hashlib.sha256(json.dumps(payload).encode()).digest()
-    assert e["redacted"] and e["payload_ref"] == "evt1" and e["legal_hold_initial"] is False
+    assert e["redacted"] and e["payload_ref"] == "msg-7" and e["legal_hold_initial"] is False
     p = ingest.as_payloads(df, None).first()
     assert (p["retention_days"], p["storage_class"], bytes(p["body"])) == (2555, "STANDARD", b'{"ssn":"1*********9"}')
 
@@ -134,8 +134,8 @@ def test_copies_of_one_id_are_one_event(spark):
     outcome = ingest.outcomes(ingest.judge_messages(wire(spark, values)))
     counts = {r["outcome"]: r["count"] for r in outcome.groupBy("outcome").count().collect()}
     assert counts == {"ingested": 2, "duplicate": 49, "rejected": 1}
-    first = outcome.where("outcome = 'ingested' AND id = 'evt1'").first()
+    first = outcome.where("outcome = 'ingested' AND id = 'msg-7'").first()
     assert first["offset"] == 0
-    stored = outcome.where("id = 'evt1'").select("id").limit(1)
+    stored = outcome.where("id = 'msg-7'").select("id").limit(1)
     again = ingest.dedup(ingest.accepted(ingest.judge_messages(wire(spark, values))), stored)
     assert [r["id"] for r in again.collect()] == ["other"]

@@ -33,12 +33,12 @@ def test_folding_in_pieces_equals_the_flat_tree(n):
 def test_root_of_a_frame(spark, n):
     df = events(spark, n)
     row = m.merkle_root(df, leaf="payload_hash", max_rows=20).first()
-    want = flat_merkle([b"payload-hash"] * n) if n else ZERO
+    want = flat_merkle([b"body-digest"] * n) if n else ZERO
     assert (row["leaves"], bytes(row["root"])) == (n, want)
 
 
 def test_ranges_are_combined(spark, monkeypatch):
     monkeypatch.setattr(m, "RANGE_LEVEL", 4)
     df = events(spark, 101)
-    want = flat_merkle([b"payload-hash"] * 101)
+    want = flat_merkle([b"body-digest"] * 101)
     assert bytes(m.merkle_root(df, leaf="payload_hash", max_rows=7).first()["root"]) == want

@@ -44,10 +44,10 @@ def test_building_has_one_shuffle(spark):
 
 
 def test_search_prunes_dates_and_pushes_filters(table):
-    query = EventQuery(from_=BASE, to=BASE + timedelta(hours=2), actor="u1", service="orch")
+    query = EventQuery(from_=BASE, to=BASE + timedelta(hours=2), actor="u1", service="desk")
     text = plan(search.search(table, query).select("id"))
     assert re.search(r"PartitionFilters: \[[^\]]*event_date", text)
-    for pushed in ("GreaterThanOrEqual(ts", "LessThan(ts", "EqualTo(actor_id,u1)", "EqualTo(source_service,orch)"):
+    for pushed in ("GreaterThanOrEqual(ts", "LessThan(ts", "EqualTo(actor_id,u1)", "EqualTo(source_service,desk)"):
         assert pushed in text
     assert "payload_hash" not in text.split("ReadSchema")[1]
 

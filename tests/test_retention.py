@@ -54,6 +54,6 @@ def test_latest_hold_wins(spark):
 
 
 def test_fetch(spark):
-    p = inventory(spark, ("s3://e0001", 1, False, "STANDARD", 0))
+    p = inventory(spark, ("store/e0001", 1, False, "STANDARD", 0))
     got = {x["id"]: (x["body"], x["payload_found"]) for x in fetch_payloads(events(spark, 2), p).collect()}
     assert got["e0000"] == (None, False) and bytes(got["e0001"][0]) == b"body" and got["e0001"][1]

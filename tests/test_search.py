@@ -12,7 +12,7 @@ from sealtrail.operators.search import EventQuery
 @pytest.fixture(scope="module")
 def five(spark):
     rows = [
-        event(f"00000000-0000-4000-8000-00000000000{i}", BASE + timedelta(seconds=i), service="pay" if i == 3 else "orch", actor=f"u{i % 2}")
+        event(f"00000000-0000-4000-8000-00000000000{i}", BASE + timedelta(seconds=i), service="pay" if i == 3 else "desk", actor=f"u{i % 2}")
         for i in range(5)
     ]
     df = spark.createDataFrame(rows, EVENT).withColumn("event_date", F.to_date("ts"))
@@ -30,8 +30,8 @@ def test_window_is_half_open(five):
 
 def test_filters_are_a_conjunction(five):
     assert ids(s.search(five, EventQuery())) == list("01234")
-    assert ids(s.search(five, EventQuery(service="orch", actor="u1"))) == ["1"]
-    assert ids(s.search(five, EventQuery(action="x", target_type="t", target_id="i", service="pay"))) == ["3"]
+    assert ids(s.search(five, EventQuery(service="desk", actor="u1"))) == ["1"]
+    assert ids(s.search(five, EventQuery(action="signed", target_type="form", target_id="12", service="pay"))) == ["3"]
     assert ids(s.search(five, EventQuery(service="none"))) == []
 
 
@@ -73,8 +73,8 @@ def test_cursor_text():
 
 
 def test_query_objects():
-    q = EventQuery.from_json('{"from":"2026-07-13T10:00:00Z","to":"soon","service":"orch","actor":5,"x":1}')
-    assert q == EventQuery(from_=BASE, service="orch")
+    q = EventQuery.from_json('{"from":"2026-07-13T10:00:00Z","to":"soon","service":"desk","actor":5,"x":1}')
+    assert q == EventQuery(from_=BASE, service="desk")
     assert EventQuery.from_json("") == EventQuery.from_json("null") == EventQuery()
     for bad in ("{", "[]", '"x"'):
         with pytest.raises(ValueError):
@@ -82,7 +82,7 @@ def test_query_objects():
 
 
 def test_page_numbers(five):
-    got = {r["id"][-1]: (r["position"], r["page"]) for r in s.assign_pages(five, EventQuery(service="orch"), 2).collect()}
+    got = {r["id"][-1]: (r["position"], r["page"]) for r in s.assign_pages(five, EventQuery(service="desk"), 2).collect()}
     assert got == {"0": (1, 1), "1": (2, 1), "2": (3, 2), "4": (4, 2)}
 
 

@@ -21,7 +21,7 @@ def message(i, ts=None, **changes):
     payload = json.dumps({"ssn": f"123-45-{i:04d}"})
     members = {
         "id": f"e{i:04d}", "ts": (ts or BASE + timedelta(seconds=40 * i)).isoformat().replace("+00:00", "Z"),
-        "source_service": "orch", "actor_id": "u1", "action": "x", "target_type": "t", "target_id": "i",
+        "source_service": "desk", "actor_id": "clerk", "action": "signed", "target_type": "form", "target_id": "12",
         "payload_hash": "sha256:" + hashlib.sha256(payload.encode()).hexdigest(), **changes,
     }
     return (json.dumps(members)[:-1] + ', "payload": ' + payload + "}").encode()
