@@ -24,6 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from sealtrail.llm.batches import at_most
 from sealtrail.plans.joins import broadcast_if_small
 from sealtrail.sources.scratch import stored
 
@@ -32,8 +33,10 @@ K = 13
 SHORT = 3
 #: Edges in a bucket (on average), and words of a batch that is resolved at once.
 BUCKET = 500_000
-BATCH = 1_000_000
-REMEMBERED = 500_000
+BATCH = 800_000
+REMEMBERED = 300_000
+#: Rows of an Arrow batch: texts, their words and what is kept of them are held at once.
+BATCH_ROWS = 2_000
 #: Ids (8 bytes each) up to which a selection of documents is broadcast.
 MOST_IDS = 1_000_000
 
@@ -250,6 +253,7 @@ def _without(verified: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    at_most(docs.sparkSession, BATCH_ROWS)
     facts = stored(_facts(docs), "facts")
     long_ = facts.where((F.col("n_words") >= K) & F.col("doc").isNotNull())
     first = stored(long_.groupBy("seq").agg(F.min("doc").alias("first"), F.max("n_words").alias("n")), "firsts")
