@@ -27,6 +27,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from sealtrail.llm.batches import at_most
 from sealtrail.llm.components import components
 from sealtrail.plans.joins import broadcast_if_small
 from sealtrail.sources.scratch import stored
@@ -42,7 +43,9 @@ MOST_FREQUENT = 200_000
 #: Members of one tree; larger blocks are searched as pairs of cells.
 CELL = 1_024
 NODE = 16
-REMEMBERED = 500_000
+REMEMBERED = 300_000
+#: Rows of an Arrow batch: pairs of whole sets are compared in one.
+BATCH_ROWS = 4_000
 #: Pairs of ids (16 bytes each) up to which they are broadcast.
 MOST_PAIRS = 1_000_000
 
@@ -331,6 +334,7 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     text are linked whatever their ids.  A row without id is in no component (null) and links
     nothing.  Other columns are not looked at; an empty table gives an empty result.
     """
+    at_most(docs.sparkSession, BATCH_ROWS)
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
     signed = stored(_signatures(rows, frequent_shingles(rows)), "signatures")
     named = signed.where(F.col("class").isNotNull() & F.col("doc").isNotNull())
