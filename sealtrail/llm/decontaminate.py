@@ -117,7 +117,8 @@ def _verified(texts: DataFrame, candidates: DataFrame, index: DataFrame, widths:
 
 def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` that hold no item; all columns stay.  Null ids are one document."""
-    bad = contaminated(docs, items, doc_id, text).select(F.col(doc_id).alias("contaminated_id")).distinct()
+    found = contaminated(docs, items, doc_id, text).select(F.col(doc_id).alias("contaminated_id")).distinct()
+    bad = broadcast_if_small(found)
     return docs.join(bad, docs[doc_id].eqNullSafe(bad["contaminated_id"]), "left_anti")
 
 

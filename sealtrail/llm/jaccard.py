@@ -396,6 +396,7 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     groups = jaccard_groups(docs, doc_id, text)
     gone = groups.where(F.col("component_id") != F.col(doc_id)).select(F.col(doc_id).alias("gone_id")).distinct()
+    gone = broadcast_if_small(gone, MOST_PAIRS)  # else the texts would be shuffled for a few ids
     return docs.join(gone, docs[doc_id] == gone["gone_id"], "left_anti")
 
 
