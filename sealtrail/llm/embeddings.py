@@ -2,9 +2,12 @@
 
 A rotation learned on a bounded sample turns every vector into balanced bits that keep its
 neighbourhood (iterative quantisation).  The bits are cut into as many parts as there are
-tables; two codes become candidates if they differ by one bit at most in some part and by no
-more bits over all than similar vectors do, short of one in ten thousand.  Candidates are
-compared by the cosine of the original vectors in double precision.
+tables; two codes become candidates if they differ by ``flips`` bits at most in some part and
+by no more bits over all than similar vectors do, short of one in ten thousand.  How many bits
+similar vectors differ in depends on the data (a large common mean widens angles around it),
+so it is measured: sampled vectors are moved to a cosine of exactly 0.98, and width, flips and
+number of tables are the cheapest that bring ``RECALL`` of these pairs together.  Candidates
+are compared by the cosine of the original vectors in double precision.
 
 What is sent: equal vectors are one class; classes with one code are a cell, and tables hold
 each cell's code once.  Vectors meet only for pairs of cells, packed into matrices of at most
@@ -15,7 +18,8 @@ its links are counted and its components found without listing its pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -26,9 +30,16 @@ from sealtrail.llm.sampling import smallest_hashes
 from sealtrail.sources.scratch import stored
 
 THRESHOLD = 0.98
-#: Vectors from which the rotation is learned, and rounds of learning.
-SAMPLE = 5_000
+#: Vectors sampled (two thirds teach the rotation, the rest measure it), and rounds of learning.
+SAMPLE = 6_000
 ROUNDS = 30
+#: Share of the pairs at the threshold that tables must bring together, and pairs to measure it.
+RECALL = 0.995
+TRIALS = 8_000
+#: Tables are at most so many, of at most so many bits, and differ in at most so many of them.
+MOST_TABLES, MOST_WIDTH, MOST_FLIPS = 32, 30, 2
+#: Bits learned at a time: a projection of fewer bits is the beginning of a longer one.
+AXES = 128
 #: Rows of a matrix (on average at most this many).
 PACK = 1_024
 #: Vectors may have this many different lengths.
@@ -42,7 +53,7 @@ def _iterative_quantisation(x: np.ndarray, bits: int, seed: int) -> np.ndarray:
     while sum(p.shape[1] for p in parts) < bits:
         rng = np.random.default_rng(seed + len(parts))
         _, _, axes = np.linalg.svd(x.T @ x)
-        axes = axes.T[:, : min(dims, bits)]
+        axes = axes.T[:, : min(dims, AXES)]
         rotation, _ = np.linalg.qr(rng.standard_normal((axes.shape[1], axes.shape[1])))
         projected = x @ axes
         for _ in range(ROUNDS):
@@ -52,23 +63,95 @@ def _iterative_quantisation(x: np.ndarray, bits: int, seed: int) -> np.ndarray:
     return np.concatenate(parts, axis=1)[:, :bits]
 
 
+def _moved(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``TRIALS`` pairs of unit vectors with a cosine of ``THRESHOLD``.
+
+    One half moves in any direction, the other towards (or past) other vectors of ``x``, where
+    the projection separates most.
+    """
+    rng = np.random.default_rng(11)
+    one = x[np.arange(TRIALS) % len(x)]
+    side = rng.standard_normal(one.shape)
+    side[TRIALS // 2 :] = x[rng.integers(0, len(x), TRIALS - TRIALS // 2)]
+    side -= (side * one).sum(axis=1, keepdims=True) * one
+    length = np.linalg.norm(side, axis=1, keepdims=True)
+    side = np.divide(side, length, out=np.zeros_like(side), where=length > 1e-6)
+    other = THRESHOLD * one + math.sqrt(1 - THRESHOLD**2) * side
+    return one, other / np.linalg.norm(other, axis=1, keepdims=True)
+
+
 class Coder:
-    """Codes of unit vectors: ``tables`` parts of ``width`` bits each."""
+    """Codes of unit vectors: ``tables`` parts of ``width`` bits each.
 
-    def __init__(self, sample: np.ndarray, width: int, tables: int):
-        self.width, self.tables = width, tables
-        self.mean = sample.mean(axis=0)
-        self.projection = _iterative_quantisation(sample - self.mean, width * tables, seed=7)
+    ``most_bits`` bounds the bits in which vectors at the threshold differ: none of those
+    measured differs in more, nor does their mean with 4.5 standard deviations.
+    """
+
+    def __init__(self, sample: np.ndarray, width: int, tables: int, flips: int = 1):
+        mean = sample.mean(axis=0)
+        self._fill(mean, _iterative_quantisation(sample - mean, width * tables, seed=7), width, tables, flips)
+        one, other = _moved(sample)
+        self._bound(self.bits(one) != self.bits(other))
+
+    @staticmethod
+    def chosen(sample: np.ndarray, count: int, widths: Iterable[int] = range(1, MOST_WIDTH + 1)) -> Coder:
+        """The cheapest coder of ``count`` vectors that reaches ``RECALL`` on moved ones.
+
+        Looking up costs as much as meeting a candidate; of balanced bits a table of width w
+        holds count / 2^w codes at each place.  Narrow tables reach any recall.
+        """
+        widths = sorted(widths)
+        held_out = np.arange(len(sample)) % 3 == 0 if len(sample) >= 300 else np.ones(len(sample), dtype=bool)
+        learned = sample if held_out.all() else sample[~held_out]  # signs fit what they were learned from better
+        coder, mean = Coder.__new__(Coder), learned.mean(axis=0)
+        projection = _iterative_quantisation(learned - mean, widths[-1] * MOST_TABLES, seed=7)
+        coder._fill(mean, projection, widths[-1], MOST_TABLES, 1)
+        one, other = _moved(sample[held_out])
+        apart = coder.bits(one) != coder.bits(other)
+        best = None
+        for width in widths:
+            wrong = apart[:, : width * MOST_TABLES].reshape(TRIALS, MOST_TABLES, width).sum(axis=2)
+            for flips in range(1, min(MOST_FLIPS, width) + 1):
+                met = np.logical_or.accumulate(wrong <= flips, axis=1)
+                half = TRIALS // 2
+                recall = np.minimum(met[:half].mean(axis=0), met[half:].mean(axis=0))
+                if recall[-1] < RECALL:
+                    continue
+                tables = int(np.argmax(recall >= RECALL)) + 1
+                probes = sum(math.comb(width, k) for k in range(flips + 1))
+                cost = tables * probes * (1 + count / 2**width)
+                if best is None or cost < best[0]:
+                    best = cost, width, tables, flips
+        if best is None:
+            raise ValueError(f"no tables of {widths} bits reach a recall of {RECALL}")
+        _, width, tables, flips = best
+        coder._fill(mean, projection[:, : width * tables], width, tables, flips)
+        coder._bound(apart[:, : width * tables])
+        return coder
+
+    def _fill(self, mean: np.ndarray, projection: np.ndarray, width: int, tables: int, flips: int) -> None:
+        self.mean, self.projection, self.width, self.tables, self.flips = mean, projection, width, tables, flips
+
+    def _bound(self, apart: np.ndarray) -> None:
+        total = apart.sum(axis=1)
+        self.most_bits = int(max(total.max(), math.ceil(total.mean() + 4.5 * total.std())))
+
+    def bits(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) @ self.projection >= 0
 
     def parts(self, x: np.ndarray) -> np.ndarray:
-        bits = ((x - self.mean) @ self.projection >= 0).reshape(len(x), self.tables, self.width)
+        bits = self.bits(x).reshape(len(x), self.tables, self.width)
         return bits.astype(np.int64) @ (1 << np.arange(self.width, dtype=np.int64))
 
-    @property
-    def most_bits(self) -> int:
-        """Bits in which vectors at the threshold differ, with a margin of 4.5 deviations."""
-        mean = self.width * self.tables * math.acos(THRESHOLD) / math.pi
-        return math.ceil(mean + 4.5 * math.sqrt(mean))
+    def code(self, x: np.ndarray) -> np.ndarray:
+        """All bits in as few 64-bit words as hold them."""
+        packed = np.packbits(self.bits(x), axis=1)
+        packed = np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))
+        return np.ascontiguousarray(packed).view(np.int64)
+
+    def masks(self) -> list[int]:
+        """What to flip in a part: every choice of 1 to ``flips`` bits."""
+        return [sum(1 << b for b in bs) for k in range(1, self.flips + 1) for bs in combinations(range(self.width), k)]
 
 
 def _units(column: pd.Series) -> np.ndarray:
@@ -86,30 +169,26 @@ def _coded(classes: DataFrame, coder: Coder) -> DataFrame:
                 x = _units(batch["vector"])
                 yield pd.DataFrame({
                     "vec": batch["vec"], "label": batch["label"], "weight": batch["weight"],
-                    "parts": list(shipped.value.parts(x)), "unit": [row.tobytes() for row in x],
+                    "parts": list(shipped.value.parts(x)), "code": list(shipped.value.code(x)), "unit": [row.tobytes() for row in x],
                 })
 
     kinds = {c: classes.schema[c].dataType.simpleString() for c in ("vec", "label")}
-    schema = f"vec {kinds['vec']}, label {kinds['label']}, weight long, parts array<long>, unit binary"
+    schema = f"vec {kinds['vec']}, label {kinds['label']}, weight long, parts array<long>, code array<long>, unit binary"
     return classes.select("vec", "label", "weight", "vector").mapInPandas(code, schema)
 
 
 def _cell_pairs(cells: DataFrame, coder: Coder) -> DataFrame:
     """(p, q) codes of one label that some table brings together, each pair once."""
-    parts = cells.select("label", "cell", "parts", F.posexplode("parts").alias("table", "part"))
-    flips = F.transform(
-        F.filter(
-            F.sequence(F.lit(0), F.lit(coder.width - 1)),
-            lambda b: F.call_function("shiftright", "part", b).bitwiseAND(F.lit(1)) == 0,
-        ),
-        lambda b: F.col("part") + F.call_function("shiftleft", F.lit(1).cast("long"), b),
-    )
+    parts = cells.select("label", "cell", "code", F.posexplode("parts").alias("table", "part"))
+    masks = F.array(*[F.lit(m).cast("long") for m in coder.masks()])
+    # of two parts the smaller one visits the larger
+    flips = F.filter(F.transform(masks, lambda m: m.bitwiseXOR(F.col("part"))), lambda p: p > F.col("part"))
     at = F.concat(F.array(F.struct(F.col("part").alias("at"), F.lit(False).alias("guest"))),
                   F.transform(flips, lambda p: F.struct(p.alias("at"), F.lit(True).alias("guest"))))
-    visits = parts.select("label", "table", F.inline(at), F.col("cell").alias("q"), F.col("parts").alias("q_parts"))
-    homes = parts.select("label", "table", F.col("part").alias("at"), F.col("cell").alias("p"), F.col("parts").alias("p_parts"))
+    visits = parts.select("label", "table", F.inline(at), F.col("cell").alias("q"), F.col("code").alias("q_code"))
+    homes = parts.select("label", "table", F.col("part").alias("at"), F.col("cell").alias("p"), F.col("code").alias("p_code"))
     apart = F.aggregate(
-        F.zip_with("p_parts", "q_parts", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x
+        F.zip_with("p_code", "q_code", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x
     )
     met = homes.join(visits, ["label", "table", "at"]).where(F.col("guest") | (F.col("p") < F.col("q")))
     return (
@@ -187,10 +266,9 @@ def _linked(classes: DataFrame, dims: int) -> DataFrame:
     count = own.count()
     ids = smallest_hashes(own, "vec", SAMPLE)
     sample = _units(own.join(F.broadcast(ids), "vec", "left_semi").orderBy("vec").limit(SAMPLE).select("vector").toPandas()["vector"])
-    width = min(30, max(16, math.ceil(math.log2(count + 1))))
-    coder = Coder(sample, width, 4 if width <= 16 else 6 if width <= 24 else 8)
-    coded = stored(_coded(own, coder).withColumn("cell", F.array_join(F.transform("parts", lambda p: F.hex(p)), ".")), "coded")
-    cells = coded.select("label", "cell", "parts").distinct()
+    coder = Coder.chosen(sample, count)
+    coded = stored(_coded(own, coder).withColumn("cell", F.array_join(F.transform("code", lambda p: F.hex(p)), ".")), "coded")
+    cells = coded.select("label", "cell", "parts", "code").distinct()
     packs = stored(_packs(coded), "packs")
     between = _cell_pairs(cells, coder).unionByName(cells.select("label", F.col("cell").alias("p"), F.col("cell").alias("q")))
 
@@ -219,7 +297,8 @@ def embedding_groups(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "
     name one vector; rows that repeat an id count as copies.  An empty table gives none.
 
     Candidates come from hash tables: of links at the threshold about one in two hundred is
-    missed, of closer ones fewer.  No link is reported below it.
+    missed, of closer ones fewer, whatever mean the vectors have and however many they are
+    (see ``Coder.chosen``).  No link is reported below it.
     """
     whole = F.transform(F.col(embedding), lambda x: x.cast("double"))
     told = rows.select(F.col(vec_id).alias("vec"), F.col(label).alias("label"), whole.alias("vector"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from sealtrail.llm import embeddings as E
 
@@ -59,3 +60,36 @@ def test_recall_at_the_threshold():
     apart = np.vectorize(lambda v: int(v).bit_count())(coder.parts(x) ^ coder.parts(y))
     found = (apart <= 1).any(axis=1) & (apart.sum(axis=1) <= coder.most_bits)
     assert found.mean() >= 0.95
+
+
+@pytest.mark.parametrize("norm", [0.0, 0.8, 0.9])
+@pytest.mark.parametrize("width", [16, 20, 24, 28, None])
+def test_recall_of_vectors_with_a_common_mean(norm, width):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.sqrt(1 - norm**2) * x + norm * np.eye(64)[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert abs(np.linalg.norm(x.mean(axis=0)) - norm) < 0.05
+    side = rng.standard_normal(x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * side
+    coder = E.Coder.chosen(x[:1500], 2 ** (width or 13), *([[width]] if width else []))
+    apart = np.vectorize(lambda v: int(v).bit_count())(coder.parts(x) ^ coder.parts(y))
+    found = (apart <= coder.flips).any(axis=1) & (apart.sum(axis=1) <= coder.most_bits)
+    assert found.mean() >= 0.98
+    packed = np.vectorize(lambda v: (int(v) & (2**64 - 1)).bit_count())(coder.code(x) ^ coder.code(y))
+    assert (packed.sum(axis=1) == apart.sum(axis=1)).all()
+
+
+def test_links_of_vectors_with_a_common_mean(table):
+    rng = np.random.default_rng(8)
+    rows = []
+    for group in range(100):
+        base = rng.standard_normal(32) / np.sqrt(32) + 2.0 * np.eye(32)[0]
+        for _ in range(3):
+            rows.append((len(rows), [float(v) for v in base + rng.standard_normal(32) * 0.055], 1))
+    out = {tuple(r) for r in E.embedding_groups(table(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    found, want = sum(r[1] for r in out), sum(r[1] for r in brute(rows))
+    assert 0.98 * want <= found <= want and want > 100
