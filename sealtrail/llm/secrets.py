@@ -3,9 +3,10 @@
 The pattern part finds assignments of credentials, access keys and long hexadecimal runs.
 The entropy part looks at every run of base64-like characters: a window slides over the
 run, the counts of its characters change by one in and one out, and so does the sum
-``sum(c * log2 c)`` behind the Shannon entropy ``log2(w) - sum / w``.  A run whose best
-window reaches the threshold of its character class is a secret unless the allow list
-knows it or a pattern has found it already.
+``sum(c * log2 c)`` behind the Shannon entropy ``log2(w) - sum / w``.  Harmless parts (words
+of a path, dates, rulers) are cut out of a run first.  If the best window of what is left, or
+of a part of it between slashes, reaches the threshold of its character class, the run is a
+secret, unless the allow list knows all of that or a pattern has found it already.
 
 Everything happens inside one row with built-in expressions: no shuffle, no Python.  Work
 is linear in the text and in its number of matches (match positions are summed in chunks).
@@ -28,13 +29,20 @@ _CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}"
 _CHUNK = 256
 
 
+_UUID = r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"
+#: A word of one case or of humps, maybe with a number behind it, or a number.
+_WORD = r"(?:(?:[a-z]+|[A-Z]+|[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*)[0-9]{0,4}|[0-9]+)"
+_NAME = rf"(?=[^/]{{3}})(?:{_WORD}(?:[-_]{_WORD})*|{_UUID})"
+
+
 @dataclass(frozen=True)
 class EntropyRule:
-    """Windows of ``width`` characters; thresholds in bits by class of the whole candidate.
+    """Windows of ``width`` characters; thresholds in bits by class of what is scored.
 
-    ``hex`` holds for candidates of hexadecimal digits only, ``alnum`` for letters and
-    digits, ``base64`` for the rest.  A candidate needs a letter and a digit.  ``allow``
-    are regular expressions of harmless candidates (matched anywhere in them).
+    ``hex`` holds for hexadecimal digits only, ``alnum`` for letters and digits, ``base64`` for
+    the rest.  What is scored needs a letter and a digit.  ``cut`` are regular expressions of
+    harmless parts, taken out before scoring; ``allow`` are those of harmless strings, anchored
+    at both ends, since random ones may hold anything.
     """
 
     width: int = 20
@@ -42,12 +50,14 @@ class EntropyRule:
     alnum: float = 3.75
     base64: float = 3.75
     allow: tuple[str, ...] = (
-        r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",  # UUIDs
+        rf"^{_UUID}$",
         r"^[A-Za-z]+[0-9]{1,4}$",  # a word with a number behind it
-        r"^[0-9]+-[0-9]+-[0-9]+",  # dates and phone numbers
-        r"//|^/|/[A-Za-z]+/",  # addresses and paths
-        r"(?i)^sha(1|256|512)-",  # integrity attributes are published on purpose
-        r"(.)\1{7}",  # rulers and padding
+        r"(?i)^sha(1-[a-z0-9+/]{27}=|256-[a-z0-9+/]{43}=|512-[a-z0-9+/]{86}==)$",  # integrity attributes are public
+    )
+    cut: tuple[str, ...] = (
+        r"(?:^|(?<=/))[0-9]+(?:-[0-9]+){2,}(?:[-_]|(?=/|$))",  # dates and phone numbers
+        rf"/{_NAME}(?=/|$)|^{_NAME}(?=/)",  # names in addresses and paths
+        r"(.)\1{7,}",  # rulers and padding
     )
 
 
@@ -146,17 +156,31 @@ def best_entropy(token: Column, width: int) -> Column:
 
 
 def _entropic(m: Column, rule: EntropyRule) -> Column:
-    """Whether a candidate's best window is as random as a secret of its class."""
-    needed = (
-        F.when(m.rlike("^[0-9a-fA-F]+$"), rule.hex)
-        .when(m.rlike("^[0-9A-Za-z]+$"), rule.alnum)
-        .otherwise(rule.base64)
-    )
+    """Whether what is harmless in a candidate leaves something as random as a secret."""
+
+    def random(piece: Column) -> Column:
+        needed = (
+            F.when(piece.rlike("^[0-9a-fA-F]+$"), rule.hex)
+            .when(piece.rlike("^[0-9A-Za-z]+$"), rule.alnum)
+            .otherwise(rule.base64)
+        )
+        known = F.lit(False)
+        for pattern in rule.allow:
+            known = known | piece.rlike(pattern)
+        shaped = (F.length(piece) >= rule.width) & piece.rlike("[0-9]") & piece.rlike("[A-Za-z]") & ~known
+        return F.when(shaped, best_entropy(piece, rule.width) >= needed).otherwise(F.lit(False))
+
     known = F.lit(False)
     for pattern in rule.allow:
         known = known | m.rlike(pattern)
-    shaped = m.rlike("[0-9]") & m.rlike("[A-Za-z]") & ~known
-    return F.when(shaped, best_entropy(m, rule.width) >= needed).otherwise(F.lit(False))
+    left = m
+    for pattern in rule.cut:
+        left = F.regexp_replace(left, pattern, "")
+    pieces = F.transform(
+        F.array(left),
+        lambda x: F.array_distinct(F.concat(F.array(x), F.split(x, "/", -1), F.array(F.regexp_replace(x, "^/+|/+$", "")))),
+    )[0]
+    return F.when(m.rlike("[0-9]") & m.rlike("[A-Za-z]") & ~known, F.exists(pieces, random)).otherwise(F.lit(False))
 
 
 def _kept(found: Column, kind: int, keep) -> Column:

@@ -75,3 +75,36 @@ def test_empty_table(table):
 def test_query_digest(spark):
     row = S.query(spark, "/root/testdata/sf0.001").where("spans = ''").first()
     assert row.base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+RANDOM = "q7Zp2Xk9Lm4Tv8Rb3Nw6Yc1D"
+
+
+def test_slashes_dates_and_padding_do_not_hide_secrets(table):
+    held = [
+        "q7Zp2X/k/9Lm4Tv8Rb3Nw6Yc1D5Hs0Jg", "q7Zp2Xk9Lm4T//v8Rb3Nw6Yc1D5Hs0Jg", f"/{RANDOM}", f"//{RANDOM}",
+        f"https://hooks.slack.com/services/T0000/B0000/{RANDOM}", f"2024-01-01-{RANDOM}", f"{RANDOM}========",
+        "https://example.com/commit/deadbeef0123456789ac47", f"sha256-{RANDOM}", f"v1/{RANDOM}/index",
+    ]
+    harmless = [
+        "//localhost/services/T0000/B0000/version12", "/usr/lib/python3/site-packages/some_module/index42",
+        "2024-01-01-2024-01-02a", "/items/123e4567-e89b-12d3-a456-426614174000/edit", "blog/2024/05/12/how-to-make-10-things-work",
+        "sha256-" + "q7Zp2Xk9Lm4Tv8Rb3Nw6Yc1D5Hs0Jg/aQ2wE4rT6yU8=", "a1" + "=" * 40,
+    ]
+    docs = table(list(enumerate(held + harmless)), "doc_id long, text string")
+    out = {r.doc_id: len(r.secret_added) for r in S.secret_spans(docs).collect()}
+    assert [out[i] for i in range(len(held))] == [1] * len(held)
+    assert [out[len(held) + i] for i in range(len(harmless))] == [0] * len(harmless)
+    redacted = {r.doc_id: r.text for r in S.redact_secrets(docs).collect()}
+    assert all("[REDACTED]" in redacted[i] for i in range(len(held)))
+
+
+def test_uniform_base64_is_found_whatever_it_holds(table):
+    import base64
+    import random
+
+    draw = random.Random(5)
+    texts = [base64.b64encode(draw.randbytes(n)).decode() for n in (30, 48, 66, 300) for _ in range(250)]
+    docs = table(list(enumerate(texts)), "doc_id long, text string")
+    found = S.secret_spans(docs).where("size(secret_spans) > 0").count()
+    assert found >= 0.995 * len(texts)
