@@ -5,8 +5,7 @@ shingles is contained if at least ``need = ceil(0.8 n)`` of them occur in a docu
 sketch is its ``n - need + 1`` smallest shingle hashes: a document that has ``need`` shingles
 of the item cannot miss all of these, so the search loses nothing (estimating containment
 from document-side signatures would, as a document may be a thousand times an item's size).
-The size partition fixes sketch length and the least number of shingles a document needs to
-qualify at all.  Candidates are verified by exact shingle containment.
+The item's size fixes the sketch's length.  Candidates are verified by exact shingle containment.
 
 Documents are read twice and never shuffled as texts unless candidates are too many to
 broadcast; only hashes that hit the index travel.
@@ -52,13 +51,12 @@ def item_shingles(items: DataFrame, item_id: str = "item_id", text: str = "text"
 
 
 def _document_shingles(docs: DataFrame, widths: list[int]) -> DataFrame:
-    """(doc, width, size, h): distinct shingles of each document row."""
+    """(doc, width, h): distinct shingles of each document row."""
     hashed = docs.select(F.col("doc"), word_hashes(F.col("text")).alias("w"))
     kinds = F.array(*[
         F.struct(F.lit(k).alias("width"), F.array_distinct(gram_hashes(F.col("w"), k)).alias("hs")) for k in widths
     ])
-    sets = hashed.select("doc", F.inline(kinds))
-    return sets.select("doc", "width", F.size("hs").alias("size"), F.explode("hs").alias("h"))
+    return hashed.select("doc", F.inline(kinds)).select("doc", "width", F.explode("hs").alias("h"))
 
 
 def contaminated(
@@ -82,13 +80,14 @@ def contaminated(
     facts = index.agg(F.collect_set("width").alias("widths"), F.count("*").alias("rows")).first()
     widths, small = sorted(facts["widths"]) or [SHINGLE], facts["rows"] <= BROADCAST_ROWS
 
-    sketch = index.where("sketch").select("width", "h", "item", "need")
+    sketch = index.where("sketch").select("width", "h", "item")
     probes = _document_shingles(texts, widths)
     if small:
         sketch = F.broadcast(sketch)
     else:  # too large to send everywhere: a filter of bounded size thins the probes first
         probes = bloom.possible(probes, "h", bloom.build(sketch, "h"))
-    found = probes.join(sketch, ["width", "h"]).where(F.col("size") >= F.col("need"))
+    # a document's size says nothing here, as it may be spread over rows
+    found = probes.join(sketch, ["width", "h"])
     candidates = stored(found.select("doc", "item").distinct(), "contaminated")
     return _verified(texts, candidates, index, widths).select(
         F.col("doc").alias(doc_id), F.col("item").alias(item_id), "n_shared", "n_item"
@@ -116,10 +115,16 @@ def _verified(texts: DataFrame, candidates: DataFrame, index: DataFrame, widths:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` that hold no item; all columns stay.  Null ids are one document."""
-    found = contaminated(docs, items, doc_id, text).select(F.col(doc_id).alias("contaminated_id")).distinct()
+    """Rows of ``docs`` that hold no item; all columns stay.
+
+    Each row is judged by its own text (equal texts by one digest), whatever its id: rows of
+    one id, or without id, neither add up nor share a fate.
+    """
+    digest = F.unhex(F.md5(F.encode(docs[text], "UTF-8")))
+    keyed = docs.select(digest.alias("row"), docs[text].alias("text"))
+    found = contaminated(keyed, items, "row").select(F.col("row").alias("_contaminated")).distinct()
     bad = broadcast_if_small(found)
-    return docs.join(bad, docs[doc_id].eqNullSafe(bad["contaminated_id"]), "left_anti")
+    return docs.join(bad, digest == bad["_contaminated"], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -392,12 +392,29 @@ def _bounded(pairs: DataFrame, facts: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` that are the smallest of their group, with all their columns.
 
-    Rows without id stay (they are in no group); rows that repeat an id that stays all stay.
+    Groups are of texts: a row goes or stays by its own id and text (a digest of it), so
+    unrelated texts of one id do not share a fate.  Of rows equal in both, one stays.  Rows
+    without id, and texts without words, stay (they are in no group).
     """
-    groups = jaccard_groups(docs, doc_id, text)
-    gone = groups.where(F.col("component_id") != F.col(doc_id)).select(F.col(doc_id).alias("gone_id")).distinct()
-    gone = broadcast_if_small(gone, MOST_PAIRS)  # else the texts would be shuffled for a few ids
-    return docs.join(gone, docs[doc_id] == gone["gone_id"], "left_anti")
+    digest = F.unhex(F.md5(F.encode(docs[text], "UTF-8")))
+    rows = docs.where(docs[doc_id].isNotNull()).select(docs[doc_id].alias("id"), digest.alias("key"), docs[text].alias("text"))
+    groups = stored(
+        jaccard_groups(rows, "key").where("n_shingles > 0").select("key", "component_id").distinct(), "groups"
+    )
+    counted = rows.select("id", "key").groupBy("id", "key").agg(F.count("*").alias("copies"))
+    told = stored(counted.join(groups, "key"), "told")
+    first = told.groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("first"))
+    judged = told.join(first, "component_id").withColumn("stays", F.struct("id", "key") == F.col("first"))
+    judged = stored(judged.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "copies", "stays"), "judged")
+
+    def at(few: DataFrame):
+        return (docs[doc_id] == few["_id"]) & (digest == few["_key"])
+
+    # else the texts would be shuffled for a few ids
+    apart = broadcast_if_small(judged.where("not stays or copies > 1").select("_id", "_key"), MOST_PAIRS)
+    repeated = broadcast_if_small(judged.where("stays and copies > 1").select("_id", "_key"), MOST_PAIRS)
+    once = docs.join(repeated, at(repeated), "left_semi").dropDuplicates([doc_id, text])
+    return docs.join(apart, at(apart), "left_anti").unionByName(once)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -62,3 +62,18 @@ def test_empty_tables(table):
     none, items = table([], "doc_id long, text string"), table(ITEMS, "item_id long, text string")
     assert D.contaminated(none, items).count() == 0
     assert D.contaminated(table(DOCS, "doc_id long, text string"), table([], "item_id long, text string")).count() == 0
+
+
+def test_an_item_spread_over_rows_of_one_id(table):
+    ws = ITEM.split()
+    docs = table([(1, " ".join(ws[:8])), (1, " ".join(ws[4:]))], "doc_id long, text string")
+    out = D.contaminated(docs, table([(0, ITEM)], "item_id long, text string")).collect()
+    assert [tuple(r) for r in out] == [(1, 0, 8, 8)]
+
+
+def test_rows_are_cleaned_one_by_one(table):
+    ws = ITEM.split()
+    rows = [(None, ITEM), (None, "clean without id"), (None, None), (None, " ".join(ws[:8])), (None, " ".join(ws[4:])),
+            (1, ITEM), (1, "clean beside a contaminated row"), (1, "clean beside a contaminated row")]
+    out = D.clean_documents(table(rows, "doc_id long, text string"), table(ITEMS[:1], "item_id long, text string"))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(rows[1:5] + rows[6:], key=str)

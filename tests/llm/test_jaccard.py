@@ -83,3 +83,12 @@ def test_components_of_paths_and_stars(table):
     want = {i: 0 for i in range(61)} | {100 + i: 100 for i in range(30)} | {200: 200, 201: 200}
     assert out == want
     assert components(table([], "a long, b long")).count() == 0
+
+
+def test_rows_of_one_id_are_kept_by_their_own_text(table):
+    text = "a b c d e f g"
+    rows = [(1, text, "x"), (2, text, "y"), (2, "quite another text of one id here", "z"), (1, text, "x"), (None, text, "n"),
+            (3, "", "e"), (4, "", "e"), (5, None, "e"), (1, "yet another text of the kept id here", "w")]
+    out = J.keep_one_of_each(table(rows, "doc_id long, text string, note string"))
+    want = [rows[0], rows[2], *rows[4:]]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str) and out.columns == ["doc_id", "text", "note"]
