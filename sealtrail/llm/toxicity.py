@@ -28,8 +28,9 @@ from sealtrail.llm.sampling import remainder, smallest_hashes
 #: Bounds of the fit: labelled documents of each class, and entries of the lexicon.
 SAMPLE = 3_000
 ENTRIES = 2_000
-#: A candidate entry needs so many toxic documents, at least, and this share of all of them.
-LEAST_DOCS, LEAST_SHARE = 8, 0.02
+#: A candidate entry needs so many toxic documents, at least, and this log-likelihood ratio
+#: (which chance alone exceeds in one of a thousand terms).
+LEAST_DOCS, LEAST_SURPRISE = 5, 10.83
 #: and must be so many times as frequent in them as in others.
 LEAST_RATIO = 5
 STEMS = (4, 5, 6, 7)
@@ -45,7 +46,12 @@ MOST_STATES = 100_000
 
 _MARKS = "\"'«»„“”‚‘’‹›"
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-_TOKEN = r"[\p{L}\p{N}]+"
+#: Scripts written without blanks between words; their terms are pairs of neighbouring letters.
+_UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+_TOKEN = rf"[\p{{L}}\p{{N}}&&[^{_UNSPACED}]]+"
+_PAIR = rf"(?=([{_UNSPACED}][{_UNSPACED}]))"
+_RUNS = re.compile(rf"[^\W_{_UNSPACED}]+|[{_UNSPACED}]")
+_UNSPACED_LETTER = re.compile(rf"[{_UNSPACED}]")
 #: Words around a match that speak of it as a word or as someone else's.
 REPORTING = frozenset(
     "said says say wrote writes quote quoted quotes called calls word words term terms slur insult insults means "
@@ -145,12 +151,11 @@ class Matcher:
         self.model, self.automaton, self.known = model, Automaton(model.entries), {}
 
     def _match(self, token: str) -> tuple[int, int] | None:
-        core = _EDGES.sub("", token)
-        return self.automaton.best(core) if core else None
+        return self.automaton.best(token)
 
     def features(self, text: str | None) -> list[float]:
         """[1, sum of exact matches, of inexact ones, different entries, share of tokens]."""
-        tokens = text.lower().split() if text else []
+        tokens, words = _tokens(text)
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
@@ -166,7 +171,7 @@ class Matcher:
             weight = self.model.weights[entry]
             kinds.add(entry)
             matches += 1
-            if _quotation(tokens, i):
+            if _quotation(*words, i):
                 weight *= QUOTED
             if errors:
                 erring += weight
@@ -185,12 +190,35 @@ class Matcher:
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def _quotation(tokens: list[str], i: int) -> bool:
-    """Whether token ``i`` stands between quotation marks or is spoken about."""
-    near = range(max(0, i - WINDOW), min(len(tokens), i + WINDOW + 1))
-    opened = any(tokens[j][0] in _MARKS for j in near if j <= i)
-    closed = any(tokens[j].rstrip(".,;:!?")[-1:] in _MARKS and tokens[j].rstrip(".,;:!?") for j in near if j >= i)
-    return (opened and closed) or any(_EDGES.sub("", tokens[j]) in REPORTING for j in near if j != i)
+def _tokens(text: str | None) -> tuple[list[str], tuple[list[str], list[int]]]:
+    """Tokens as in learning, and the blank-separated words with the number of each token's."""
+    words = text.lower().split() if text else []
+    tokens, at = [], []
+    for i, word in enumerate(words):
+        if word.isascii() and word.isalnum():
+            tokens.append(word)
+            at.append(i)
+            continue
+        end, last = -1, ""
+        for run in _RUNS.finditer(word):
+            core = run[0]
+            if not _UNSPACED_LETTER.match(core):
+                tokens.append(core)
+                at.append(i)
+            elif end == run.start() and _UNSPACED_LETTER.match(last):
+                tokens.append(last + core)
+                at.append(i)
+            end, last = run.end(), core
+    return tokens, (words, at)
+
+
+def _quotation(words: list[str], at: list[int], token: int) -> bool:
+    """Whether a token's word stands between quotation marks or is spoken about."""
+    i = at[token]
+    near = range(max(0, i - WINDOW), min(len(words), i + WINDOW + 1))
+    opened = any(words[j][0] in _MARKS for j in near if j <= i)
+    closed = any(words[j].rstrip(".,;:!?")[-1:] in _MARKS and words[j].rstrip(".,;:!?") for j in near if j >= i)
+    return (opened and closed) or any(_EDGES.sub("", words[j]) in REPORTING for j in near if j != i)
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, fold: int) -> DataFrame:
@@ -212,6 +240,14 @@ def _beginnings(k: int):
     return F.transform(F.filter("w", lambda w: F.length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
 
 
+def _surprise(bad: int, good: int):
+    """Log-likelihood ratio (G) of a term's documents against an even share of both classes."""
+    def part(seen, of):
+        return F.when(seen > 0, seen * F.log(seen * float(bad + good) / ((F.col("bad") + F.col("good")) * float(max(of, 1))))).otherwise(0.0)
+
+    return 2 * (part(F.col("bad"), bad) + part(F.col("good"), good))
+
+
 def learn_lexicon(sample: DataFrame) -> ToxicityModel:
     """Words and beginnings of words that toxic documents of the sample have and others lack.
 
@@ -223,14 +259,15 @@ def learn_lexicon(sample: DataFrame) -> ToxicityModel:
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")
     ).first()
     bad, good = of["bad"] or 0, of["good"] or 0
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), F.lit(0)))
+    runs = F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), F.lit(0))
+    words = F.array_distinct(F.concat(runs, F.regexp_extract_all(F.lower("text"), F.lit(_PAIR), F.lit(1))))
     stems = [_beginnings(k) for k in STEMS]
     counts = (
         sample.select("toxic", words.alias("w"))
         .select("toxic", F.explode(F.array_distinct(F.concat("w", *stems))).alias("term"))
         .groupBy("term")
         .agg(F.sum("toxic").cast("long").alias("bad"), F.sum(1 - F.col("toxic")).cast("long").alias("good"))
-        .where(F.col("bad") >= max(LEAST_DOCS, LEAST_SHARE * bad))
+        .where((F.col("bad") >= LEAST_DOCS) & (_surprise(bad, good) >= LEAST_SURPRISE))
         .where(F.col("good") * max(bad, 1) * LEAST_RATIO <= F.col("bad") * max(good, 1))
     )
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))

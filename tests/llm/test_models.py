@@ -131,3 +131,18 @@ def test_fold_is_crc32_of_the_text(table):
 
     rows = table([(i,) for i in range(50)] + [(None,)], "doc_id long").select("doc_id", remainder(X.F.col("doc_id"), 5).alias("r")).collect()
     assert all(r.r == (None if r.doc_id is None else zlib.crc32(str(r.doc_id).encode()) % 5) for r in rows)
+
+
+def test_terms_beside_punctuation_or_without_blanks_are_found():
+    model = X.ToxicityModel(["idiot", "\u767d\u75f4"], [7.0, 7.0], [-4.0, 3.0, 2.0, 0.5, 0.1])
+    matcher = model.matcher()
+    for text in ("you-idiot", "well...idiot", "l'idiot", "you_idiot!", "\u4f60\u771f\u662f\u767d\u75f4\u554a"):
+        assert matcher.features(text)[1] > 0, text
+    assert matcher.features("you 1diot now")[2] > 0 and not any(matcher.features("\u767d \u75f4")[1:])
+
+
+def test_rare_terms_enter_the_lexicon(table):
+    rows = [(f"common{i % 7} filler text {i} " + ("scumbag" if i < 12 else "vile") + (" \u4f60\u662f\u767d\u75f4" if i % 90 == 0 else ""), 1) for i in range(900)]
+    rows += [(f"common{i % 7} filler text {i} nice", 0) for i in range(900)]
+    entries = X.learn_lexicon(table(rows, "text string, toxic int")).entries
+    assert any("scumbag".startswith(e.rstrip("*")) for e in entries) and "\u767d\u75f4" in entries
