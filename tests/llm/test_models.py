@@ -133,6 +133,15 @@ def test_fold_is_crc32_of_the_text(table):
     assert all(r.r == (None if r.doc_id is None else zlib.crc32(str(r.doc_id).encode()) % 5) for r in rows)
 
 
+def test_language_with_long_texts_only(table):
+    rows = [(i, "the cat sat on the mat and looked at the dog " * 5, "en") for i in range(20)]
+    rows += [(100 + i, "12345 " * 5_000 + "der hund lief durch den wald und sah die katze " * 600, "de") for i in range(20)]
+    models = L.fit(table(rows, "doc_id long, text string, lang string"))
+    assert models.names == ["de", "en"]
+    told = models.scorer().batch(["der hund sah die katze", "the cat looked at the dog"])
+    assert [t[0] for t in told] == ["de", "en"] and not any(t[3] for t in told)
+
+
 def test_terms_beside_punctuation_or_without_blanks_are_found():
     model = X.ToxicityModel(["idiot", "\u767d\u75f4"], [7.0, 7.0], [-4.0, 3.0, 2.0, 0.5, 0.1])
     matcher = model.matcher()
