@@ -23,9 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from sealtrail.sources.scratch import stored
+
 MAX_ROWS = 1_000_000
 OVERSAMPLE = 16
-# Bound on what is collected and shipped to tasks: about 100 bytes per split.
+# Bound on what is collected and shipped to tasks: about 100 bytes per split.  Of more splits
+# only every k-th is; those between two of them are joined to the rows between.
 MAX_SPLITS = 200_000
 
 BLOCK = ("_bucket", "_sub")
@@ -66,24 +69,46 @@ def with_blocks(
     hot_rows = oversized.agg(F.sum("n")).first()[0]
     if not hot_rows:
         return df.withColumn("_sub", F.lit(0))
-    target = max(max_rows, math.ceil(hot_rows / MAX_SPLITS))
-    splits = _splits(df, oversized, target)
-    return df.withColumn("_sub", _sub_of(splits)(F.col("_bucket"), F.unix_micros("ts"), F.col("id")))
+    splits = _splits(df, oversized, max_rows)
+    step = math.ceil(hot_rows / max_rows / MAX_SPLITS)
+    if step <= 1:
+        return df.withColumn("_sub", _sub_of(_collected(splits))(F.col("_bucket"), F.unix_micros("ts"), F.col("id")))
+    splits = stored(splits, "splits")
+    coarse = _collected(splits.where(F.col("number") % step == 0))
+    fine = (
+        splits.where(F.col("number") % step != 0)
+        .groupBy(F.col("_bucket").alias("_b"), F.expr(f"cast(number div {step} as int)").alias("_c"))
+        .agg(F.collect_list(F.struct("us", "id")).alias("_fine"))
+    )
+    placed = df.withColumn("_coarse", _sub_of(coarse)(F.col("_bucket"), F.unix_micros("ts"), F.col("id")))
+    joined = placed.join(fine, (F.col("_bucket") == F.col("_b")) & (F.col("_coarse") == F.col("_c")), "left")
+    here = F.struct(F.unix_micros("ts").alias("us"), F.encode("id", "UTF-8").alias("id"))
+    before = F.coalesce(F.size(F.filter("_fine", lambda s: s <= here)), F.lit(0))
+    sub = (F.col("_coarse") * step + F.when(F.col("_fine").isNull(), 0).otherwise(before)).cast("int")
+    return joined.withColumn("_sub", sub).drop("_coarse", "_b", "_c", "_fine")
 
 
-def _splits(df: DataFrame, oversized: DataFrame, target: int) -> list[tuple[int, int, bytes]]:
-    """Split rows of all oversized buckets; about hot_rows / target <= MAX_SPLITS of them."""
-    candidates = df.where(F.sha2("id", 256) < candidate_threshold(target)).join(
+def _splits(df: DataFrame, oversized: DataFrame, max_rows: int) -> DataFrame:
+    """(_bucket, number, us, id): split rows of oversized buckets, counted from 1 in each.
+
+    They depend on the bucket's rows and ``max_rows`` only.
+    """
+    candidates = df.where(F.sha2("id", 256) < candidate_threshold(max_rows)).join(
         oversized.select("_bucket"), "_bucket", "left_semi"
     )
     rank = F.row_number().over(W.partitionBy("_bucket").orderBy(*ORDER))
-    rows = (
+    return (
         candidates.select("_bucket", *ORDER, rank.alias("rank"))
         .where(F.col("rank") % OVERSAMPLE == 0)
-        .select("_bucket", F.unix_micros("ts").alias("us"), F.encode("id", "UTF-8").alias("id"))
-        .collect()
+        .select(
+            "_bucket", F.expr(f"rank div {OVERSAMPLE}").alias("number"),
+            F.unix_micros("ts").alias("us"), F.encode("id", "UTF-8").alias("id"),
+        )
     )
-    return sorted((r[0], r[1], bytes(r[2])) for r in rows)
+
+
+def _collected(splits: DataFrame) -> list[tuple[int, int, bytes]]:
+    return sorted((r[0], r[1], bytes(r[2])) for r in splits.select("_bucket", "us", "id").collect())
 
 
 def _sub_of(splits: list[tuple[int, int, bytes]]):
@@ -110,8 +135,8 @@ def _sub_of(splits: list[tuple[int, int, bytes]]):
 def block_starts(blocked: DataFrame) -> DataFrame:
     """One row per block: rows in it (``n``) and rows in all blocks before it (``start``).
 
-    The window runs over one row per block: at most the buckets spanned plus
-    2 x MAX_SPLITS, independent of how many events there are.
+    The window runs over one row per block: the buckets spanned, and about one per
+    ``max_rows`` rows of oversized ones.
     """
     counts = blocked.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(W.orderBy(*BLOCK).rowsBetween(W.unboundedPreceding, -1))

@@ -59,3 +59,12 @@ def test_position_and_previous_equal_a_global_order(spark, kind):
 def test_buckets_before_1970(spark):
     df = spark.createDataFrame([(-1,), (0,), (3_600_000_000,)], "us BIGINT").select(F.timestamp_micros("us").alias("ts"))
     assert [r[0] for r in df.select(o.time_bucket(60)).collect()] == [-1, 0, 1]
+
+
+@pytest.mark.parametrize("most", [1, 3, 7])
+def test_blocks_do_not_depend_on_what_is_collected(spark, monkeypatch, most):
+    df = frame(spark, "hot instant" if most == 3 else "hot hour")
+    want = {(r["id"], r["_bucket"], r["_sub"]) for r in o.with_blocks(df, max_rows=40).collect()}
+    monkeypatch.setattr(o, "MAX_SPLITS", most)
+    got = [(r["id"], r["_bucket"], r["_sub"]) for r in o.with_blocks(df, max_rows=40).collect()]
+    assert set(got) == want and len(got) == df.count()
