@@ -1,8 +1,15 @@
 """Sizes of the Arrow batches that Python operators work on."""
 
-from pyspark.sql import SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sealtrail.sources.scratch import stored
 
 _CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8_000_000
 
 
 def at_most(spark: SparkSession, rows: int) -> None:
@@ -12,3 +19,23 @@ def at_most(spark: SparkSession, rows: int) -> None:
     """
     if not 0 < int(spark.conf.get(_CONF)) <= rows:
         spark.conf.set(_CONF, str(rows))
+
+
+@contextmanager
+def byte_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Arrow batches of ``size`` bytes at most (or one row) for the actions inside; then as before."""
+    before = spark.conf.get(_BYTES, None)
+    spark.conf.set(_BYTES, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BYTES)
+        else:
+            spark.conf.set(_BYTES, before)
+
+
+def stored_in_batches(df: DataFrame, name: str, size: int = BATCH_BYTES) -> DataFrame:
+    """``df`` written and read again; its Python operators get batches of ``size`` bytes at most."""
+    with byte_batches(df.sparkSession, size):
+        return stored(df, name)

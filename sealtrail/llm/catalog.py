@@ -1,7 +1,7 @@
 """Registered queries of this subpackage: name -> (run, DuckDB twin or None)."""
 
 import corpus_pipeline
-from sealtrail.llm import decontaminate, embeddings, jaccard, langid, pieces, secrets, substrings, toxicity, urls, warc
+from sealtrail.llm import decontaminate, embeddings, jaccard, langid, packing, pieces, secrets, substrings, toxicity, urls, warc
 
 QUERIES = {
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
@@ -15,4 +15,5 @@ QUERIES = {
     "op8_language_id": (langid.query, None),
     "op9_decontamination": (decontaminate.query, decontaminate.ORACLE),
     "op10_secret_scan": (secrets.query, None),
+    "op11_best_fit_packing": (packing.query, None),
 }
