@@ -1,7 +1,7 @@
 """Registered queries of this subpackage: name -> (run, DuckDB twin or None)."""
 
 import corpus_pipeline
-from sealtrail.llm import decontaminate, embeddings, jaccard, langid, packing, pieces, secrets, substrings, toxicity, urls, warc
+from sealtrail.llm import decontaminate, embeddings, jaccard, langid, negatives, packing, pieces, secrets, substrings, toxicity, trie, urls, warc
 
 QUERIES = {
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
@@ -16,4 +16,6 @@ QUERIES = {
     "op9_decontamination": (decontaminate.query, decontaminate.ORACLE),
     "op10_secret_scan": (secrets.query, None),
     "op11_best_fit_packing": (packing.query, None),
+    "op12_prefix_trie": (trie.query, trie.ORACLE),
+    "op13_hard_negatives": (negatives.query, negatives.ORACLE),
 }
