@@ -21,16 +21,21 @@ among the pieces of that length, which Spark counts in slices.
 from __future__ import annotations
 
 import math
+import os
 import re
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sealtrail.llm.batches import stored_in_batches
 
@@ -40,61 +45,108 @@ END = 1
 #: (share, groups): pieces of over 1 / share of the capacity are grouped into so many groups.  Tried in
 #: turn until a plan needs no more sequences than the tokens do; else the best is taken.
 SCHEMES = ((4, 16), (6, 36), (4, 64), (6, 64), (4, 144))
-#: Distinct words that a worker remembers, and bytes of text that it cuts at a time.
-REMEMBERED = 700_000
-CHUNK = 2_000_000
+#: Distinct words that a worker remembers, words encoded and bytes of text cut at a time.
+REMEMBERED = 1_500_000
+NEW_WORDS = 20_000
+CHUNK = 8_000_000
 
 _BLANK = re.compile(rb"[\t-\r ]")
 
 
-class _Words(dict):
-    """Numbers of words, given when first asked for; ``new`` lists those not yet encoded."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(word)
-        number = self[word] = len(self)
-        return number
+_LETTERS, _STOPS = string.ascii_letters, ".,;:!?"
 
 
 class Encoder:
-    """Token ids of texts, word by word: no token and no rule of the model reaches over ASCII blanks."""
+    """Token ids of texts, word by word; the model must drop blanks and have no token or rule across them.
+
+    Words and their ids are kept in flat arrays, so that only new words are Python objects; when
+    there are too many, those that came up most often stay.
+    """
 
     def __init__(self, model: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(model)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.words, self.ids, self.ends = _Words(), np.empty(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
-
-    def _learn(self) -> None:
-        new, self.words.new = self.words.new, []
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        found = [e.ids for e in found]
-        widths = np.array([len(ids) for ids in found], dtype=np.int64)
-        self.ids = np.concatenate([self.ids, np.fromiter((i for ids in found for i in ids), np.int32, widths.sum())])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(widths)])
+        self.tokenizer = t = Tokenizer.from_file(model)
+        if t.encode(" ab\nc ", add_special_tokens=False).ids != [i for e in self._encoded(["ab", "c"]) for i in e]:
+            raise ValueError(f"{model}: encodes words differently beside blanks")
+        # whether plain English words may skip the steps before the model, which would only lower their case
+        self.plain = (
+            t.normalizer is not None and t.normalizer.normalize_str(_LETTERS) == _LETTERS.lower() and t.pre_tokenizer is not None
+            and [p for p, _ in t.pre_tokenizer.pre_tokenize_str(_LETTERS + _STOPS)] == [_LETTERS, _STOPS]
+        )
+        self.words = pa.array([], pa.binary())
+        self.ids, self.ends, self.seen = np.empty(0, dtype=np.int32), np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int32)
+
+    def _encoded(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _few(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word."""
+        out: list = [None] * len(words)
+        tokenize, rest = self.tokenizer.model.tokenize, []
+        for i, word in enumerate(words):
+            core = word.rstrip(_STOPS)
+            if self.plain and core.isascii() and core.isalpha():
+                out[i] = [t.id for t in tokenize(core.lower())]
+                if len(core) < len(word):
+                    out[i] += [t.id for t in tokenize(word[len(core) :])]
+            else:
+                rest.append(i)
+        for i, ids in zip(rest, self._encoded([words[i] for i in rest])):
+            out[i] = ids
+        return out
 
-    def few(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and the number of each text's ids."""
-        if len(self.words) > REMEMBERED or len(self.ids) > 8 * REMEMBERED:
-            self._clear()
-        own = [text.split() for text in texts]
-        flat = [w for words in own for w in words]
-        number = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
-        if self.words.new:
-            self._learn()
+    def _learn(self, new: pa.Array) -> None:
+        words = new.cast(pa.string()).to_pylist()
+        ids, widths = [self.ids], []
+        for k in range(0, len(words), NEW_WORDS):
+            found = self._few(words[k : k + NEW_WORDS])
+            widths += map(len, found)
+            ids.append(np.fromiter(chain.from_iterable(found), np.int32))
+        self.words = pa.concat_arrays([self.words, new])
+        self.ids = np.concatenate(ids)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(widths, dtype=np.int64)])
+        self.seen = np.concatenate([self.seen, np.zeros(len(new), dtype=np.int32)])
+
+    def _forget(self) -> None:
+        """Keep the words seen most often, half of ``REMEMBERED`` at most, and none seen once."""
+        least = max(2, int(np.partition(self.seen, -REMEMBERED // 2)[-REMEMBERED // 2]) + 1)
+        kept = np.flatnonzero(self.seen >= least)
+        self.ids, self.ends = self._gathered(kept)
+        self.words, self.seen = self.words.take(pa.array(kept)), self.seen[kept] // 2
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words among those kept; unknown ones are learned."""
+        found = pc.index_in(words, value_set=self.words)
+        if found.null_count:
+            new = words.filter(pc.is_null(found))
+            first = len(self.words)
+            self._learn(new)
+            out = found.to_numpy(zero_copy_only=False)
+            unknown = np.isnan(out)
+            out[unknown] = np.arange(first, first + len(new))
+            return out.astype(np.int64)
+        return found.to_numpy().astype(np.int64)
+
+    def _gathered(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and where each word's end, from 0 on."""
         first = self.ends[number]
         width = self.ends[number + 1] - first
-        total = np.concatenate([[0], np.cumsum(width)])
-        ids = self.ids[np.repeat(first - total[:-1], width) + np.arange(total[-1])]
-        ends = np.cumsum([0] + [len(words) for words in own])
-        return ids, np.diff(total[ends])
+        ends = np.concatenate([[0], np.cumsum(width)])
+        return self.ids[np.repeat(first - ends[:-1], width) + np.arange(ends[-1])], ends
+
+    def few(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (no nulls) one after the other, and the number of each text's ids."""
+        if len(self.words) > REMEMBERED or len(self.ids) > 8 * REMEMBERED:
+            self._forget()
+        split = pc.ascii_split_whitespace(texts)  # blanks at the ends give empty words, which have no ids
+        coded = split.flatten().cast(pa.binary()).dictionary_encode()
+        number = self._numbers(coded.dictionary)
+        self.seen[number] += 1
+        ids, ends = self._gathered(number[coded.indices.to_numpy()])
+        word_ends = np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])
+        return ids, np.diff(ends[word_ends])
 
     def one(self, text: bytes) -> np.ndarray:
         """Ids of a long text, ``CHUNK`` bytes or a word at a time."""
@@ -102,24 +154,32 @@ class Encoder:
         while start < len(text):
             blank = _BLANK.search(text, start + CHUNK)
             end = blank.start() if blank else len(text)
-            parts.append(self.few([text[start:end]])[0])
+            parts.append(self.few(pa.array([text[start:end].decode()]))[0])
             start = end
         return np.concatenate(parts) if parts else np.empty(0, dtype=np.int32)
 
-    def batches(self, texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def batches(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(from, to, ids, numbers of ids) for ranges of ``texts`` of about ``CHUNK`` bytes; null is empty."""
-        start, size = 0, 0
-        for i, text in enumerate(texts):
-            size += len(text or b"")
-            if size >= CHUNK or i == len(texts) - 1:
-                own = [t or b"" for t in texts[start : i + 1]]
-                if size < 2 * CHUNK:
-                    ids, counts = self.few(own)
-                else:
-                    long = [self.one(t) for t in own]
-                    ids, counts = np.concatenate(long), np.array([len(x) for x in long])
-                yield start, i + 1, ids, counts
-                start, size = i + 1, 0
+        texts = pc.fill_null(texts, "")
+        total = np.cumsum(pc.binary_length(texts).to_numpy())
+        start = 0
+        while start < len(texts):
+            before = total[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(total, before + CHUNK, side="right")))
+            own = texts.slice(start, end - start)
+            if total[end - 1] - before <= CHUNK:
+                ids, counts = self.few(own)
+            else:
+                ids = self.one(own[0].as_py().encode())
+                counts = np.array([len(ids)])
+            yield start, end, ids, counts
+            start = end
+
+
+@lru_cache(maxsize=1)
+def _encoder(model: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(model)
 
 
 def _cut(ids: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -132,35 +192,44 @@ def _cut(ids: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray
     return text, start, np.minimum(counts[text] + 1 - start, capacity), closed
 
 
-def token_pieces(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """(``key``, piece, start, length, ids): the ids of each document in pieces of ``capacity``.
+def _crc32(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """CRC-32 of runs of ids as little-endian unsigned 32-bit numbers."""
+    raw = memoryview(ids.astype("<u4")).cast("B")
+    places = (4 * ends).tolist()
+    return pa.array([zlib.crc32(raw[a:b]) for a, b in zip(places[:-1], places[1:])], pa.int64())
+
+
+def token_pieces(
+    docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = True,
+) -> DataFrame:
+    """(``key``, piece, start, length, ids_crc32, ids): the ids of each document in pieces of ``capacity``.
 
     Ids are those of the ``tokenizers`` file ``model`` for the whole text, then ``END``; a null or
     empty text has ``END`` alone.  Pieces count from 0, only the last may be shorter, ``start`` is
-    the number of ids before it.  Keys are not looked at: null and repeated ones stay.  Other
-    columns are left out; an empty table has no pieces.
+    the number of ids before it; ``ids_crc32`` tells ids apart where they are left out (``with_ids``
+    false).  Keys are not looked at: null and repeated ones stay.  Other columns are left out; an
+    empty table has no pieces.
     """
     kind = docs.schema[key].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
+        encoder = _encoder(model)
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
-            for first, last, ids, counts in encoder.batches(texts):
+            for first, last, ids, counts in encoder.batches(batch.column(1)):
                 which, start, length, closed = _cut(ids, counts, capacity)
-                offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, last - first).take(pa.array(which)),
-                        pa.array((start // capacity).astype(np.int32)), pa.array(start), pa.array(length),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(closed.astype(np.int32))),
-                    ],
-                    names=["key", "piece", "start", "length", "ids"],
-                )
+                ends = np.concatenate([[0], np.cumsum(length)])
+                columns = {
+                    "key": batch.column(0).slice(first, last - first).take(pa.array(which)),
+                    "piece": pa.array((start // capacity).astype(np.int32)), "start": pa.array(start), "length": pa.array(length),
+                    "ids_crc32": _crc32(closed, ends),
+                }
+                if with_ids:
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(closed.astype(np.int32)))
+                yield pa.RecordBatch.from_pydict(columns)
 
     columns = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    out = columns.mapInArrow(encode, f"key {kind}, piece int, start long, length long, ids array<int>")
-    return out.withColumnRenamed("key", key)
+    schema = f"key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    return columns.mapInArrow(encode, schema).withColumnRenamed("key", key)
 
 
 # -- the plan -------------------------------------------------------------------------------
@@ -416,21 +485,12 @@ def sequences(packed: DataFrame, ids: str = "ids") -> DataFrame:
     return joined.select("sequence_id", F.size("parts").alias("n_pieces"), F.flatten("parts.ids").alias("ids"))
 
 
-@F.arrow_udf(T.LongType())
-def ids_crc32(ids: pa.Array) -> pa.Array:
-    """CRC-32 of ids as little-endian unsigned 32-bit numbers."""
-    raw = memoryview(np.ascontiguousarray(ids.flatten().to_numpy()).astype("<u4").tobytes())
-    ends = 4 * np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
-    return pa.array([zlib.crc32(raw[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.int64())
-
-
-def packed_digests(docs: DataFrame, model: str) -> DataFrame:
+def packed_documents(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of ``docs``."""
-    pieces = token_pieces(docs, model).withColumn("ids_crc32", ids_crc32("ids")).drop("ids")
-    return pack(pieces)
+    return pack(token_pieces(docs, model, with_ids=False))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packed_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))

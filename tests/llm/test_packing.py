@@ -2,6 +2,7 @@ import zlib
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -22,6 +23,10 @@ def whole():
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids + [P.END]
 
 
+def crc32(ids):
+    return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+
+
 def split(ids, capacity):
     return [ids[k : k + capacity] for k in range(0, len(ids), capacity)]
 
@@ -31,7 +36,7 @@ def test_ids_are_those_of_the_whole_text(table, whole, monkeypatch):
     texts = [*TEXTS, " ".join(t or "" for t in TEXTS) * 40]
     rows = [(i // 2 if i % 5 else None, t, "clash") for i, t in enumerate(texts)]
     out = P.token_pieces(table(rows, "doc_id int, text string, piece string"), MODEL, capacity=16)
-    want = [(k, n, 16 * n, len(ids), ids) for k, t, _ in rows for n, ids in enumerate(split(whole(t), 16))]
+    want = [(k, n, 16 * n, len(ids), crc32(ids), ids) for k, t, _ in rows for n, ids in enumerate(split(whole(t), 16))]
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
 
 
@@ -39,9 +44,22 @@ def test_ids_are_those_of_the_whole_text(table, whole, monkeypatch):
 @given(st.lists(st.text(max_size=30), max_size=5))
 def test_any_text(whole, texts):
     encoder = P.Encoder(MODEL)
-    texts = [t.encode(errors="ignore") for t in texts]
-    got = [ids for _, _, ids, counts in encoder.batches(texts) for ids in np.split(ids, np.cumsum(counts)[:-1])]
-    assert [g.tolist() + [P.END] for g in got] == [whole(t.decode()) for t in texts]
+    texts = [t.encode(errors="ignore").decode() for t in texts]
+    parts = encoder.batches(pa.array(texts, pa.string()))
+    got = [ids for _, _, ids, counts in parts for ids in np.split(ids, np.cumsum(counts)[:-1])]
+    assert [g.tolist() + [P.END] for g in got] == [whole(t) for t in texts]
+
+
+def test_forgotten_words_are_encoded_again(whole, monkeypatch):
+    monkeypatch.setattr(P, "REMEMBERED", 10)
+    monkeypatch.setattr(P, "NEW_WORDS", 3)
+    encoder = P.Encoder(MODEL)
+    for k in range(30):
+        text = " ".join(f"common rare{k} often{k % 4} w{j * k}" for j in range(6))
+        ids, counts = encoder.few(pa.array([text, "", " common "]))
+        assert ids.tolist() == whole(text)[:-1] + whole("common")[:-1]
+        assert counts.tolist() == [len(whole(text)) - 1, 0, len(whole("common")) - 1]
+    assert len(encoder.words) < 60 and b"common" in encoder.words.to_pylist()
 
 
 def placed(lengths, plan):
@@ -115,7 +133,7 @@ def test_query_matches_brute_force(spark, whole):
     sf = "/root/testdata/sf0.001"
     out = P.query(spark, sf).collect()
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    want = [(d.doc_id, n, 4096 * n, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+    want = [(d.doc_id, n, 4096 * n, len(ids), crc32(ids))
             for d in docs for n, ids in enumerate(split(whole(d.text), 4096))]
     assert sorted(tuple(r)[:5] for r in out) == sorted(want)
     rows = [(r.sequence_id, r.offset, r.length) for r in out]
