@@ -108,6 +108,24 @@ def anchor_segments(
     )
 
 
+def anchor_sealed(sealed: DataFrame, signer: Signer | None = None) -> DataFrame:
+    """One anchor per time of sealing (schema SEGMENTS): the hash of the segment sealed last then."""
+    order = F.struct("sealed_at", "seg")
+    moments = sealed.groupBy("sealed_at").agg(
+        F.max_by(F.struct("segment_hash", "last_id", "last_ts"), order).alias("last"), F.sum("n").alias("event_count")
+    )
+    return moments.withColumn("_signed", signature("last.segment_hash", signer)).select(
+        F.concat(F.lit("anchor-"), F.date_format("sealed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("id"),
+        F.col("sealed_at").alias("anchored_at"),
+        F.col("last.segment_hash").alias("root_hash"),
+        F.col("last.last_id").alias("last_event_id"),
+        F.col("last.last_ts").alias("last_event_ts"),
+        F.col("_signed.signature").alias("signature"),
+        F.col("_signed.key_id").alias("key_id"),
+        "event_count",
+    )
+
+
 def check_segment_anchors(anchors: DataFrame, chained: DataFrame, sealed: DataFrame) -> DataFrame:
     """Add ``mismatch``: the anchored root does not follow from the events any more.
 

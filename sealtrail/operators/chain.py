@@ -102,13 +102,14 @@ def _place_after_heads(
     events: DataFrame, minutes: int, max_rows: int, heads: DataFrame, batch: str
 ) -> DataFrame:
     rows = events.count()
+    touched = broadcast_if_small(events.select(bucket_text(minutes).alias("bucket")).distinct())
     last = (
         heads.where(~F.col("seg").startswith(LATE))
+        .join(touched, "bucket", "left_semi")
         .groupBy("bucket")
         .agg(F.max_by(F.struct("seg", "last_ts", "last_id", "last_hash", "n"), F.struct("seg", "n")).alias("h"))
     )
-    touched = events.select(bucket_text(minutes).alias("bucket")).distinct()
-    last = broadcast_if_small(last.join(touched, "bucket", "left_semi"))
+    last = broadcast_if_small(last)
     joined = events.withColumn("bucket", bucket_text(minutes)).join(last, "bucket", "left")
     late = F.coalesce(
         (F.col("ts") < F.col("h.last_ts"))
@@ -210,6 +211,14 @@ def segment_heads(chained: DataFrame, minutes: int = SEGMENT_MINUTES) -> DataFra
     )
 
 
+def latest_heads(heads: DataFrame) -> DataFrame:
+    """The heads that batches to come continue from: the last of each bucket, no late ones."""
+    others = [c for c in heads.columns if c != "bucket"]
+    on_time = heads.where(~F.col("seg").startswith(LATE))
+    last = on_time.groupBy("bucket").agg(F.max_by(F.struct(*others), F.struct("seg", "n")).alias("h"))
+    return last.select("bucket", "h.*").select(*heads.columns)
+
+
 def build_segments(chained: DataFrame) -> DataFrame:
     """One row per segment: size, borders and root."""
     key = F.struct("ts", "id")
@@ -383,14 +392,49 @@ def judge(df: DataFrame) -> DataFrame:
 def verify_events(chained: DataFrame, ids: DataFrame, **options) -> DataFrame:
     """Verify the listed events (column ``id``) against their true predecessors.
 
-    Only the segments that hold them are read into the window.
+    Only what holds them is read into the window: their segments, or in linear mode their time
+    buckets and the last bucket with events before each of those, where a predecessor may be.
     """
     wanted = broadcast_if_small(ids.select("id").distinct())
-    segments = chained.join(wanted, "id", "left_semi").select("seg").distinct()
-    near = chained.join(broadcast_if_small(segments), "seg", "left_semi")
+    asked = chained.join(wanted, "id", "left_semi")
+    if options.get("mode") == "linear":
+        minutes = options.get("minutes", SEGMENT_MINUTES)
+        near = _with_halo(chained, asked, minutes)
+    else:
+        dates = [F.col("event_date")] if "event_date" in chained.columns else []
+        segments = broadcast_if_small(asked.select("seg", *dates).distinct())
+        near = _on_dates(chained, segments).join(segments.select("seg").distinct(), "seg", "left_semi")
     return verify_chain(near, **options).join(wanted, "id", "left_semi")
 
 
+#: Dates up to which a scan names its partitions.
+MOST_DATES = 1_000
+
+
+def _on_dates(events: DataFrame, dated: DataFrame) -> DataFrame:
+    """``events`` without the partitions that ``dated`` (``event_date``) does not name, if they are few."""
+    if "event_date" not in events.columns or "event_date" not in dated.columns:
+        return events
+    dates = [r[0] for r in dated.select("event_date").distinct().limit(MOST_DATES + 1).collect()]
+    return events.where(F.col("event_date").isin(dates)) if 0 < len(dates) <= MOST_DATES else events
+
+
+def _with_halo(chained: DataFrame, asked: DataFrame, minutes: int) -> DataFrame:
+    """The rows of the asked events' time buckets and of the last non-empty bucket before each.
+
+    The buckets come from a scan of ``ts``; there is one row per bucket, so their order is cheap.
+    """
+    dates = [F.collect_set("event_date").alias("dates")] if "event_date" in chained.columns else []
+    buckets = chained.groupBy(time_bucket(minutes).alias("_b")).agg(F.count(F.lit(1)).alias("n"), *dates)
+    buckets = buckets.withColumn("_before", F.lag("_b").over(W.orderBy("_b")))
+    own = broadcast_if_small(asked.select(time_bucket(minutes).alias("_b")).distinct())
+    needed = buckets.join(own, "_b", "left_semi").select(F.explode(F.array("_b", "_before")).alias("_b")).distinct()
+    needed = broadcast_if_small(buckets.join(needed, "_b", "left_semi").drop("n", "_before"))
+    if dates:
+        chained = _on_dates(chained, needed.select(F.explode("dates").alias("event_date")))
+    return chained.withColumn("_b", time_bucket(minutes)).join(needed.select("_b"), "_b", "left_semi").drop("_b")
+
+
 def first_failure(verified: DataFrame) -> DataFrame:
     """The first failing event in (ts, id) order; one row, NULLs if there is none."""
     bad = F.col("status") != OK

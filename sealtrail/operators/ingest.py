@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sealtrail.functions.envelope import decode_envelope
+from sealtrail.functions.envelope import with_envelope
 from sealtrail.functions.hashing import hash_format_error, hash_to_bytes, payload_hash, payload_ok
 from sealtrail.operators.redact import Policy, redact
 from sealtrail.plans.joins import present
@@ -28,7 +29,7 @@ DECODE, PAYLOAD_HASH, REDACTION, HASH_FORMAT = "decode", "payload_hash", "redact
 
 def decode(wire: DataFrame, value: str = "value") -> DataFrame:
     """Add the envelope's fields and ``error`` (why the message is no envelope)."""
-    df = wire.withColumn("_e", decode_envelope(value))
+    df = with_envelope(wire, value)
     return df.select(*[c for c in wire.columns], *[F.col(f"_e.{n}").alias(n) for n in ENVELOPE_FIELDS.names])
 
 
@@ -74,7 +75,7 @@ def judge_messages(wire: DataFrame, policy: Policy | None = None, decoded: bool
 
 # What an accepted message carries on: no raw value, one copy of the body.
 ACCEPTED = (
-    "topic", "partition", "offset", "id", "ts", "ts_ns", "source_service", "actor_id", "action",
+    "topic", "partition", "offset", "kafka_ts", "id", "ts", "ts_ns", "source_service", "actor_id", "action",
     "target_type", "target_id", "payload_hash", "body", "redacted",
 )
 
@@ -94,19 +95,24 @@ def accepted(judged: DataFrame) -> DataFrame:
 
 
 def first_deliveries(messages: DataFrame) -> DataFrame:
-    """One row per id: the delivery with the lowest (topic, partition, offset).
+    """One row per id: the delivery with the lowest (topic, partition, offset), which names a message.
 
-    An aggregate, not a window: copies of one id shrink to one row per map task before
-    the shuffle, however many there are.
+    Only ids and deliveries are aggregated, so copies of one id shrink to one narrow row per map
+    task before the shuffle, however many there are; bodies move once, in the semi-join.
     """
-    row = F.struct(*[F.col(c) for c in messages.columns])
-    first = messages.groupBy("id").agg(F.min_by(row, F.struct("topic", "partition", "offset")).alias("_first"))
-    return first.select("_first.*")
+    delivery = ["topic", "partition", "offset"]
+    first = messages.groupBy("id").agg(F.min(F.struct(*delivery)).alias("_first")).select("id", "_first.*")
+    same = [messages[c].eqNullSafe(first[c]) for c in ("id", *delivery)]
+    return messages.join(first, reduce(lambda a, b: a & b, same), "left_semi")
 
 
 def dedup(messages: DataFrame, stored: DataFrame) -> DataFrame:
     """New events only: first delivery of each id that is not stored yet."""
-    known = present(messages, stored, "id", BATCH_IDS)
+    return dedup_known(messages, present(messages, stored, "id", BATCH_IDS))
+
+
+def dedup_known(messages: DataFrame, known: DataFrame) -> DataFrame:
+    """First delivery of each id that is not in ``known`` (column ``id``)."""
     return first_deliveries(messages).join(known, "id", "left_anti")
 
 

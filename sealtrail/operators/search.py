@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -133,12 +136,60 @@ def page_rows(events: DataFrame, query: EventQuery, limit: int = DEFAULT_LIMIT,
 def page(
     events: DataFrame, query: EventQuery, limit: int = DEFAULT_LIMIT, cursor: str = ""
 ) -> tuple[DataFrame, str]:
-    """The page and the cursor of the next one ('' on the last page)."""
+    """The page, as a local table of at most 1000 rows, and the cursor of the next one ('' on the last page).
+
+    One job: the row behind the page tells whether there is another.
+    """
+    limit = limit if 0 < limit <= MAX_LIMIT else MAX_LIMIT
+    found = after_cursor(search(events, query), cursor).orderBy("ts", "id").limit(limit + 1)
+    rows = found.toArrow()
+    shown = events.sparkSession.createDataFrame(rows.slice(0, limit), found.schema)
+    if rows.num_rows <= limit:
+        return shown, ""
+    return shown, encode_cursor(rows["ts_ns"][limit - 1].as_py(), rows["id"][limit - 1].as_py())
+
+
+@dataclass(frozen=True)
+class Zone:
+    """What a data file holds: ``rows`` events from ``first`` to ``last``, both (microseconds, id)."""
+
+    path: str
+    rows: int
+    first: tuple[int, str]
+    last: tuple[int, str]
+
+
+def seek(zones: list[Zone], start: int, stop: int) -> tuple[list[Zone], int]:
+    """The files that rows ``start`` to ``stop`` (from 0, in (ts, id) order) can be in, and the rows before those files.
+
+    Files may overlap.  A file's rows stand behind all files that end before it begins, and in
+    front of all that begin after its end.
+    """
+    ends = sorted((z.last, z.rows) for z in zones)
+    begins = sorted((z.first, z.rows) for z in zones)
+    end_keys, begin_keys = [e[0] for e in ends], [b[0] for b in begins]
+    ended = list(accumulate((e[1] for e in ends), initial=0))
+    begun = list(accumulate((b[1] for b in begins), initial=0))
+    kept, before = [], 0
+    for zone in zones:
+        least = ended[bisect_left(end_keys, zone.first)]
+        most = begun[bisect_right(begin_keys, zone.last)]
+        if most <= start:
+            before += zone.rows
+        elif least < stop:
+            kept.append(zone)
+    return kept, before
+
+
+def page_at(files: Callable[[list[str]], DataFrame], zones: list[Zone], number: int, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """Page ``number`` (from 1) of a search without filters; ``files`` reads the given data files.
+
+    Only the files that can hold the page are read.  ``sum(z.rows for z in zones)`` is the total.
+    """
     limit = limit if 0 < limit <= MAX_LIMIT else MAX_LIMIT
-    found = after_cursor(search(events, query), cursor).select("ts", "ts_ns", "id")
-    edge = found.orderBy("ts", "id").offset(limit - 1).limit(2).collect()
-    following = encode_cursor(edge[0]["ts_ns"], edge[0]["id"]) if len(edge) == 2 else ""
-    return page_rows(events, query, limit, cursor), following
+    start = (number - 1) * limit
+    kept, before = seek(zones, start, start + limit)
+    return files([z.path for z in kept]).orderBy("ts", "id").offset(start - before).limit(limit)
 
 
 def assign_pages(events: DataFrame, query: EventQuery, limit: int = DEFAULT_LIMIT) -> DataFrame:

@@ -35,20 +35,38 @@ def sweep(
     """
     window = search(chained, EventQuery(from_=from_, to=to))
     verified = verify_chain(window, mode=mode, window_start=from_, minutes=minutes)
+    found = verified.agg(*findings()).first()
+    failure, segment_root = found["first"], None
+    if sealed is not None:
+        failure, segment_root = _segment_failure(window, sealed, from_, to, failure)
+    report = report_row(
+        chained, window, found["events"], failure, found["last"], anchors, from_, to, signer, signed_at
+    )
+    if sealed is None:
+        return report
+    text = None if failure or segment_root is None else HASH_PREFIX + bytes(segment_root).hex()
+    return report.select(*REPORT_COLUMNS, _text(text).alias("segment_root"))
+
+
+def findings() -> list[Column]:
+    """Aggregates of verified events: how many, the first failure, the last hash."""
     key = F.struct("ts", "id")
-    found = verified.agg(
+    return [
         F.count(F.lit(1)).alias("events"),
         F.min_by(
             F.struct(F.unix_micros("ts").alias("us"), "id", "status", "reason"),
             F.when(F.col("status") != OK, key),
         ).alias("first"),
         F.max_by("this_hash", key).alias("last"),
-    ).first()
-    failure = found["first"]
-    segment_root = None
-    if sealed is not None:
-        failure, segment_root = _segment_failure(window, sealed, from_, to, failure)
-    root = None if failure else bytes(found["last"] or bytes(32))
+    ]
+
+
+def report_row(
+    chained: DataFrame, window: DataFrame, events: int, failure, last: bytes | None, anchors: DataFrame | None,
+    from_: datetime | None, to: datetime | None, signer: Signer | None = None, signed_at: datetime | None = None,
+) -> DataFrame:
+    """The report from what verification found; anchors are checked and signatures made here."""
+    root = None if failure else bytes(last or bytes(32))
     sig, key_id = None, None
     if signer is not None and root is not None:
         try:
@@ -65,7 +83,7 @@ def sweep(
     report = counts.select(
         F.lit(from_).cast("timestamp").alias("from"),
         F.lit(to).cast("timestamp").alias("to"),
-        F.lit(found["events"]).cast("bigint").alias("event_count"),
+        F.lit(events).cast("bigint").alias("event_count"),
         F.lit(failure["status"] if failure else OK).alias("status"),
         _text(failure["id"] if failure else None).alias("first_broken_id"),
         _text(failure["reason"] if failure else None).alias("reason"),
@@ -82,10 +100,7 @@ def sweep(
         report = report.join(F.broadcast(position), F.lit(True))  # one row each
     else:
         report = report.withColumn("position", F.lit(None).cast("bigint"))
-    if sealed is None:
-        return report.select(*REPORT_COLUMNS)
-    text = None if failure or segment_root is None else HASH_PREFIX + bytes(segment_root).hex()
-    return report.select(*REPORT_COLUMNS, _text(text).alias("segment_root"))
+    return report.select(*REPORT_COLUMNS)
 
 
 def _segment_failure(window: DataFrame, sealed: DataFrame, from_, to, failure):

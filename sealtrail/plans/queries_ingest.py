@@ -1,5 +1,7 @@
 """Registered queries: decoding, validation, hashes, verdicts, redaction."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from sealtrail.functions import hashing as h, text as t
@@ -18,7 +20,9 @@ from sealtrail.plans.inputs import (
 )
 from sealtrail.session import configure
 from sealtrail.sources import samples
-from sealtrail.sources.tables import recent
+from sealtrail.sources.id_index import IdIndex
+from sealtrail.sources.scratch import stored
+from sealtrail.sources.tables import recent, scratch_store
 
 
 def _text(c):
@@ -123,9 +127,16 @@ def ingest_accept(spark, sf_dir):
 
 
 def ingest_dedup(spark, sf_dir):
-    """Arriving copies against a store that already has every third event."""
-    stored = chained(spark, sf_dir).where(F.conv(F.substring("id", 1, 8), 16, 10).cast("bigint") % 3 == 0)
-    return i.dedup(i.accepted(judged(spark, sf_dir)), stored).select("id", "partition", "offset")
+    """Arriving copies against a store whose index already has every third event, added in five batches."""
+    number = F.conv(F.substring("id", 1, 8), 16, 10).cast("bigint")
+    stored = chained(spark, sf_dir).where(number % 3 == 0)
+    index = IdIndex(scratch_store(spark, "dedup"))
+    for batch in range(5):
+        with index.store.begin(spark, "ingest", batch) as tx:
+            index.add(tx, stored.where(number % 5 == batch).select("id"))
+    index.merge(spark)
+    messages = i.accepted(judged(spark, sf_dir))
+    return i.dedup_known(messages, index.known(messages)).select("id", "partition", "offset")
 
 
 def ingest_chain(spark, sf_dir):
@@ -183,6 +194,36 @@ def latency_histogram(spark, sf_dir):
     return b.select("event_type", "le", "observations", (F.col("total") * 100).cast("bigint").alias("total_cents"), "n")
 
 
+def _sketches(spark, sf_dir):
+    """New events' latencies, sketched in ten batches: an event's ``value`` is the seconds it took."""
+    new = _new_events(spark, sf_dir).join(
+        samples.table(spark, sf_dir, "events").select(F.col("event_id").alias("offset"), "value"), "offset"
+    )
+    took = F.timestamp_micros(F.unix_micros("kafka_ts") + (F.col("value").cast("decimal(18,2)") * 1_000_000).cast("bigint"))
+    batches = [m.latency_sketches(new.where(F.col("offset") % 10 == b), took) for b in range(10)]
+    return stored(reduce(lambda a, b: a.unionByName(b), batches), "latency"), new
+
+
+def latency_ingest(spark, sf_dir):
+    sketches, _ = _sketches(spark, sf_dir)
+    return m.latency_buckets(sketches, "service").select("service", "le", "observations", "n", "total_us")
+
+
+def latency_p99(spark, sf_dir):
+    """Quantiles of merged sketches against exact ranks: off by less than a per cent."""
+    sketches, new = _sketches(spark, sf_dir)
+    shares = (0.5, 0.9, 0.99)
+    asked = reduce(lambda a, b: a.unionByName(b), [m.latency_at(sketches, s, "service").withColumn("share", F.lit(s)) for s in shares])
+    us = (F.col("value").cast("decimal(18,2)") * 1_000_000).cast("bigint")
+    ranked = new.select(F.col("source_service").alias("service"), us.alias("us")).join(F.broadcast(asked), "service")  # a row per service and share
+    ranks = ranked.groupBy("service", "share", "n").agg(
+        F.count_if(F.col("us") < F.col("latency_us")).alias("below"), F.count_if(F.col("us") <= F.col("latency_us")).alias("up_to")
+    )
+    slack = F.lit(0.01) * F.col("n") + 1
+    close = (F.col("below") <= F.col("share") * F.col("n") + slack) & (F.col("up_to") >= F.col("share") * F.col("n") - slack)
+    return ranks.select("service", "n", F.round(F.col("share") * 100).cast("int").alias("per_cent"), close.alias("close"))
+
+
 # --- redaction ---
 
 
@@ -241,7 +282,7 @@ def drop_field(spark, sf_dir):
     c = samples.table(spark, sf_dir, "customer").select(
         "c_custkey", F.create_map(F.lit("Name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment")).alias("fields")
     )
-    kept = F.map_filter("fields", lambda k, v: F.lower(k) != "name")
+    kept = r.redact_map("fields", F.create_map(F.lit("name"), F.lit(r.DROP)))
     return c.select("c_custkey", F.to_json(kept).alias("fields"))
 
 
@@ -360,6 +401,16 @@ b AS (SELECT unnest([{', '.join(str(b) for b in m.BUCKETS)}]) AS bound,
 t AS (SELECT event_type, CAST(sum(v) * 100 AS BIGINT) AS total_cents, count(v) AS n FROM e GROUP BY 1)
 SELECT event_type, le, count(v) FILTER (bound IS NULL OR v <= bound) AS observations, any_value(total_cents) AS total_cents,
   any_value(n) AS n FROM e JOIN t USING (event_type) CROSS JOIN b GROUP BY 1, 2"""),
+    "latency_ingest": (latency_ingest, f"""WITH {q.WIRE}, e AS (
+  SELECT event_type AS service, CAST(CAST(value AS DECIMAL(18, 2)) * 1000000 AS BIGINT) AS us FROM verdicts WHERE outcome = 'ingested'),
+b AS (SELECT unnest([{', '.join(str(b) for b in m.BUCKETS)}]) AS bound,
+    unnest([{', '.join(repr(str(b)) for b in m.BUCKETS)}]) AS le
+  UNION ALL SELECT NULL, '+Inf')
+SELECT service, le, count(*) FILTER (bound IS NULL OR us <= bound * 1000000) AS observations, count(*) AS n, CAST(sum(us) AS BIGINT) AS total_us
+FROM e CROSS JOIN b GROUP BY 1, 2"""),
+    "latency_p99": (latency_p99, f"""WITH {q.WIRE}
+SELECT event_type AS service, count(*) AS n, per_cent, true AS close
+FROM verdicts CROSS JOIN (SELECT unnest([50, 90, 99]) AS per_cent) WHERE outcome = 'ingested' GROUP BY 1, 3"""),
     "redaction_rule_match": (redaction_rule_match, """SELECT * FROM (VALUES
   ('click', 'click', 'k', 'hash'), ('purchase', 'purchase', 'k', 'mask'), ('purchase', 'purchase', 'other', 'drop'),
   ('view', 'view', 'k', 'drop'), ('view', 'view', 'K', 'hash'), ('signup', 'signup', 'k', 'none'))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from sealtrail.operators import export as x, retention as r
 from sealtrail.operators.anchor import with_anchored
+from sealtrail.operators.export import latest_runs
 from sealtrail.operators.ingest import accepted, as_payloads, first_deliveries
+from sealtrail.operators.metrics import exports_by_format
 from sealtrail.operators.search import EventQuery, search
 from sealtrail.plans import oracle as q
 from sealtrail.plans.inputs import AS_OF, anchors, chained, hexed, judged, micros
@@ -137,18 +139,22 @@ def _run_log(spark, sf_dir):
 
 
 def export_runs_latest(spark, sf_dir):
-    latest = x.latest_runs(_run_log(spark, sf_dir))
+    latest = latest_runs(_run_log(spark, sf_dir))
     return latest.select("id", "format", "status", "row_count", micros("created_at"), micros("changed_at"))
 
 
 def export_runs_recent(spark, sf_dir):
     # Runs share dates, so the time alone does not order them; keep what it does order.
-    latest = x.latest_runs(_run_log(spark, sf_dir)).groupBy("created_at").agg(F.count(F.lit(1)).alias("runs"))
+    latest = latest_runs(_run_log(spark, sf_dir)).groupBy("created_at").agg(F.count(F.lit(1)).alias("runs"))
     return recent(latest, "created_at").select(micros("created_at"), "runs")
 
 
 def export_formats(spark, sf_dir):
-    return _run_log(spark, sf_dir).where("status = 'PENDING'").groupBy("format").agg(F.count(F.lit(1)).alias("exports"))
+    return exports_by_format(_run_log(spark, sf_dir), "PENDING")
+
+
+def exports_complete(spark, sf_dir):
+    return exports_by_format(latest_runs(_run_log(spark, sf_dir)))
 
 
 _PUT_NEW = f"WITH {q.WIRE}, {q.INVENTORY}, new AS (SELECT * FROM verdicts WHERE outcome = 'ingested')"
@@ -242,4 +248,6 @@ SELECT id, format, status, row_count, epoch_us(created_at) AS created_at_us, epo
     "export_runs_recent": (export_runs_recent, f"""WITH {_RUNS}
 SELECT epoch_us(created_at) AS created_at_us, count(*) AS runs FROM runs GROUP BY created_at ORDER BY created_at DESC LIMIT 100"""),
     "export_formats": (export_formats, f"WITH {_RUNS} SELECT format, count(*) AS exports FROM runs GROUP BY format"),
+    "exports_complete": (exports_complete, f"""WITH {_RUNS}
+SELECT format, count(*) AS exports FROM runs WHERE status = 'COMPLETE' GROUP BY format"""),
 }

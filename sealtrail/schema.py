@@ -11,6 +11,7 @@ _TYPES = {
     "BOOLEAN": T.BooleanType(),
     "TIMESTAMP": T.TimestampType(),
     "DATE": T.DateType(),
+    "DECIMAL": T.DecimalType(38, 0),
 }
 
 
@@ -38,6 +39,14 @@ AUDIT_EVENTS = flat(
     " event_date DATE"
 )
 
+# Accepted events that are not chained yet.
+ARRIVALS = flat(
+    "id STRING, ts TIMESTAMP, ts_ns BIGINT, source_service STRING, actor_id STRING,"
+    " action STRING, target_type STRING, target_id STRING, payload_hash BINARY,"
+    " payload_ref STRING, redacted BOOLEAN, legal_hold_initial BOOLEAN, ingested_at TIMESTAMP,"
+    " event_date DATE"
+)
+
 PAYLOADS = flat(
     "payload_ref STRING, body BINARY, content_type STRING, storage_class STRING,"
     " retention_days INT, legal_hold BOOLEAN, created_at TIMESTAMP"
@@ -58,11 +67,34 @@ SEGMENTS = flat(
     " root BINARY, sealed_at TIMESTAMP, prev_segment_hash BINARY, segment_hash BINARY"
 )
 
+# Segments found intact: digest over ids and the files they are in, and what a report needs.
+VERIFIED = flat(
+    "seg STRING, n BIGINT, digest DECIMAL, first_ts TIMESTAMP, last_ts TIMESTAMP, last_id STRING,"
+    " last_hash BINARY, verified_at TIMESTAMP"
+)
+
 ANCHORS = flat(
     "id STRING, anchored_at TIMESTAMP, root_hash BINARY, last_event_id STRING,"
     " last_event_ts TIMESTAMP, signature BINARY, key_id STRING, event_count BIGINT"
 )
 
+# Latencies of a batch's new events by service; see operators/metrics.py.
+LATENCY = T.StructType(
+    flat("service STRING, n BIGINT, total_us BIGINT").fields
+    + [T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("at", T.TimestampType())]
+)
+
+# What an ingest batch did, committed with it.
+BATCHES = flat(
+    "writer STRING, batch BIGINT, at TIMESTAMP, messages BIGINT, rejected BIGINT, duplicates BIGINT, ingested BIGINT"
+)
+
+# Progress of a streaming query, one row per batch.
+PROGRESS = flat(
+    "query STRING, batch BIGINT, at TIMESTAMP, rows_in BIGINT, messages BIGINT, undecodable BIGINT,"
+    " watermark TIMESTAMP, lag_ms BIGINT, duration_ms BIGINT, state_rows BIGINT"
+)
+
 LEGAL_HOLDS = flat("id STRING, hold BOOLEAN, changed_at TIMESTAMP")
 
 EXPORT_RUNS = flat(

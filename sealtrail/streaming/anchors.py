@@ -1,20 +1,20 @@
-"""Periodic anchors from the stream of stored events."""
+"""Periodic anchors over sealed segments, and over any stream of chained events."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sealtrail.operators.anchor import Signer, signature
+from sealtrail.operators.anchor import Signer, anchor_sealed, signature
 from sealtrail.operators.chain import SEGMENT_MINUTES
-from sealtrail.schema import AUDIT_EVENTS
 from sealtrail.sources.tables import Store
+from sealtrail.streaming.committed import read_committed
+from sealtrail.streaming.ingest import query_name
 
 
 def read_events(spark: SparkSession, store: Store) -> DataFrame:
-    """Stored events as a stream of newly written files."""
-    schema = T.StructType(AUDIT_EVENTS.fields + [T.StructField("ingest_batch", T.LongType())])
-    return spark.readStream.schema(schema).parquet(store.path("audit_events"))
+    """Stored events as a stream: each once, also after failed or repeated batches and compaction."""
+    return read_committed(spark, store, "audit_events")
 
 
 def anchor_stream(
@@ -22,7 +22,8 @@ def anchor_stream(
 ) -> DataFrame:
     """One anchor per event-time window, emitted once the watermark has passed it.
 
-    Windows aggregate partially per task, so a crowded window is one row per task.
+    Windows aggregate partially per task, so a crowded window is one row per task.  Such an
+    anchor speaks of its window's last event; :func:`start_anchors` signs the chain over segments.
     """
     windows = (
         chained.withWatermark("ts", delay)
@@ -46,19 +47,20 @@ def anchor_stream(
 
 
 def start_anchors(
-    spark: SparkSession,
-    store: Store,
-    checkpoint: str,
-    delay: str,
-    minutes: int = SEGMENT_MINUTES,
-    signer: Signer | None = None,
-    **trigger,
+    spark: SparkSession, store: Store, checkpoint: str, signer: Signer | None = None, **trigger
 ) -> StreamingQuery:
-    """Anchor stored events window by window into the store's ``anchors`` table."""
-    anchors = anchor_stream(read_events(spark, store), delay, minutes, signer)
+    """Anchor sealed segments as they are committed into the store's ``anchors`` table.
+
+    An anchor's root is the hash of the segment sealed last, which all segments sealed before it
+    go into, those of late events too.  By default a batch follows as soon as there are new ones.
+    """
+
+    def anchor(df: DataFrame, batch: int) -> None:
+        store.write_batch(anchor_sealed(df, signer), "anchors", batch, query_name(df, "anchors"))
+
     return (
-        anchors.writeStream.foreachBatch(lambda df, batch: store.write_batch(df, "anchors", batch))
+        read_committed(spark, store, "segments").writeStream.foreachBatch(anchor)
         .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
+        .trigger(**(trigger or {"processingTime": "0 seconds"}))
         .start()
     )

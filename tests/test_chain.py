@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import timedelta
 
 import pytest
@@ -180,3 +181,22 @@ def test_lost_segments_are_found(spark):
     hashes = [bytes(r["segment_hash"]) for r in c.segment_chain(sealed).orderBy("seg").collect()]
     without = [bytes(r["segment_hash"]) for r in c.segment_chain(sealed.where("seg NOT LIKE '%T12%'")).orderBy("seg").collect()]
     assert hashes[:2] == without[:2] and not set(hashes[2:]) & set(without[2:])
+
+
+def test_verify_events_in_linear_mode_looks_over_bucket_borders(spark, tmp_path):
+    """Sparse events: predecessors are hours and days back."""
+    rows = [event(f"e{i:03d}", BASE + timedelta(minutes=m)) for i, m in enumerate([0, 5, 5, 70, 71, 400, 3000, 3001, 9000])]
+    one = c.build_chain(spark.createDataFrame(rows, EVENT), minutes=10**6).withColumn("event_date", F.to_date("ts"))
+    one.write.partitionBy("event_date").parquet(str(tmp_path / "t"))
+    table = spark.read.schema(one.schema).parquet(str(tmp_path / "t"))
+    every = table.select("id")
+    full = {r["id"]: r for r in c.verify_chain(table, mode="linear").collect()}
+    for id_ in [r["id"] for r in every.collect()]:
+        got = c.verify_events(table, every.where(F.col("id") == id_), mode="linear").collect()
+        assert [(r["id"], r["status"], r["expected_prev"]) for r in got] == [(id_, "ok", full[id_]["expected_prev"])]
+    forged = table.withColumn("this_hash", F.when(F.col("id") == "e005", F.unhex(F.lit("00"))).otherwise(F.col("this_hash")))
+    found = {r["id"]: r["status"] for r in c.verify_events(forged, every, mode="linear").collect()}
+    assert found == {**{r: "ok" for r in found}, "e005": "broken", "e006": "gap"}
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = c.verify_events(table, every.where("id = 'e006'"), mode="linear")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*event_date", plan)

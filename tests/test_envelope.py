@@ -1,12 +1,15 @@
 import hashlib
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from sealtrail.functions.envelope import EMPTY, MALFORMED, _quick, _walk, decode_one
+from sealtrail.functions import envelope
+from sealtrail.functions.envelope import EMPTY, MALFORMED, _quick, _walk, decode_one, with_envelope
 from sealtrail.operators import ingest
 from sealtrail.operators.redact import parse_policy
-from sealtrail.schema import WIRE
+from sealtrail.schema import ENVELOPE_FIELDS, WIRE
 
 GOOD = {
     "id": "msg-7", "ts": "2025-03-04T08:30:00Z", "source_service": "desk", "actor_id": "clerk",
@@ -139,3 +142,61 @@ def test_copies_of_one_id_are_one_event(spark):
     stored = outcome.where("id = 'msg-7'").select("id").limit(1)
     again = ingest.dedup(ingest.accepted(ingest.judge_messages(wire(spark, values))), stored)
     assert [r["id"] for r in again.collect()] == ["other"]
+
+
+def variants():
+    """Messages of the common shape and next to it."""
+    rng = random.Random(2)
+    payloads = ['{"a": "b"}', "{}", "[]", "[1, 2.50, -3e+5]", '{"a": {"b": [1, {"c": 2}]}}', '{"a": {"b": {"c": {"d": 1}}}}', '"text"', "null", "true",
+                '{"id": "inner", "ts": 5}', '{"payload": 1}', '{"a": "\\""}', "01", "NaN", "{1}", '{"a" 1}', '{"a": 1,}', "[1,]", "[,1]", '"\x01"', '{ "a" : [ ] }',
+                '{"a": 1e999}', '"é\u2028"', "-", "1.", '{"a": tru}', "", "1} , {", "[1] [2"]
+    texts = ['"x"', '""', '"é漢"', '"a\\u0041"', '"a:b,c}{"', "5", "null", '"\t"', '"id"', '"payload"']
+    stamps = ['"2025-03-04T08:30:00Z"', '"2025-03-04T08:30:00.123456789+02:00"', '"0001-01-01T00:00:00Z"', '"1600-01-01T00:00:00Z"', '"2025-02-30T00:00:00Z"', '"x"', '"2025-03-04 08:30:00Z"']
+    ws = ["", "", " ", "\n", "\r\t "]
+    for _ in range(2500):
+        names = rng.sample(["id", "source_service", "actor_id", "action", "target_type", "payload_hash", "prev_hash", "redaction"], rng.randint(0, 4))
+        members = [(n, rng.choice(texts if rng.random() < 0.3 else texts[:3])) for n in names]
+        if rng.random() < 0.8:
+            members.append(("ts", rng.choice(stamps if rng.random() < 0.5 else stamps[:2])))
+        if rng.random() < 0.8:
+            members.append(("payload", rng.choice(payloads if rng.random() < 0.6 else payloads[:5])))
+        if rng.random() < 0.1:
+            members.append(rng.choice([("ID", '"x"'), ("unknown", "1"), ("id", '"again"'), ("payload", "2"), ("PayLoad", "3")]))
+        rng.shuffle(members)
+        w = lambda: rng.choice(ws)
+        text = f"{w() if rng.random() < 0.1 else ''}{{{w()}" + ",".join(f'{w()}"{n}"{w()}:{w()}{v}{w()}' for n, v in members) + f"}}{w()}"
+        raw = text.encode()
+        yield raw[: rng.randrange(len(raw))] if rng.random() < 0.05 else raw.replace(b"x", b"\xff") if rng.random() < 0.05 else raw
+
+
+def test_native_decoding_equals_the_python_one(spark):
+    values = [*variants(), b"", None, b"{}", b"null", b"[]", b'{"id": "a"} x', b"\xef\xbb\xbf{}"]
+    names = [f.name for f in ENVELOPE_FIELDS]
+    rows = with_envelope(wire(spark, values)).orderBy("offset").select("_e.*", F.unix_micros("_e.ts").alias("us")).collect()
+    for raw, row in zip(values, rows, strict=True):
+        want = decode_one(raw)
+        got = {n: row["us"] if n == "ts" else row[n] for n in names}
+        got["payload"] = None if got["payload"] is None else bytes(got["payload"])
+        assert {k: v for k, v in got.items() if v is not None} == {k: v for k, v in want.items() if v is not None}, raw
+
+
+def test_messages_of_the_common_shape_do_not_reach_python(spark, monkeypatch):
+    """The UDF would fail; it is handed nothing."""
+
+    @F.udf("struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in ENVELOPE_FIELDS) + ">")
+    def refuse(value):
+        if value is not None:
+            raise ValueError(value)
+
+    monkeypatch.setattr(envelope, "_decode", refuse)
+    values = [message(), message(payload=None), message(payload={"a": [1, 2, {"b": "c"}]}), message(actor_id="имя").replace(b"\\u", b"u"), message(ts=None), b"{}"]
+    assert with_envelope(wire(spark, values)).where("_e.error IS NULL").count() == len(values)
+    with pytest.raises(Exception, match="unknown"):
+        with_envelope(wire(spark, [b'{"unknown": 1}'])).collect()
+
+
+def test_the_shape_bears_very_long_messages(spark):
+    many = b'{"id": "a", "payload": {' + b",".join(b'"k%d": [1, "x"]' % i for i in range(60_000)) + b"}}"
+    long_ = b'{"id": "' + b"y" * 1_000_000 + b'", "payload": [' + b"1," * 300_000 + b"1]}"
+    rows = with_envelope(wire(spark, [many, long_, many[:-1]])).orderBy("offset").select("_e.*").collect()
+    assert [r["error"] for r in rows] == [None, None, MALFORMED] and bytes(rows[0]["payload"]) == many[23:-1]

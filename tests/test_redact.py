@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -90,17 +92,74 @@ def test_no_policy_passes_bytes_through(spark):
     assert bytes(got[0]["body"]) == b'{ "ssn" : 1 }' and not got[0]["redacted"]
 
 
-def test_first_rule_wins_in_both_resolutions(spark):
-    pairs = spark.createDataFrame([("desk", "a"), ("pay", "b"), ("noaction", "a"), ("noaction", "")], "service STRING, action STRING")
-    table = {
-        (x["service"], x["action"], x["field"]): x["transform"]
-        for x in pairs.select(
-            "service", "action", F.explode(r.transforms_for(POLICY, "service", "action")).alias("field", "transform")
-        ).collect()
-    }
-    native = {}
-    for x in pairs.select("service", "action", r.transforms_for(POLICY, "service", "action").alias("m")).collect():
-        native.update({(x["service"], x["action"], f): t for f, t in x["m"].items()})
-    assert table == native
-    assert table[("desk", "a", "ssn")] == "mask" and table[("pay", "b", "ssn")] == "drop"
-    assert ("noaction", "a", "a") not in table and table[("noaction", "", "a")] == "drop"
+def first_match(policy, service, action):
+    """The resolution as a loop over the rules; None if no rule matches."""
+    found, any_rule = {}, False
+    for rule in policy:
+        if rule.service in ("*", service) and rule.action in ("*", action):
+            any_rule = True
+            for name, transform in rule.fields.items():
+                found.setdefault(name, transform)
+    return found if any_rule else None
+
+
+def test_the_first_rule_wins_in_code_and_in_the_table(spark):
+    names = [("desk", "a"), ("pay", "b"), ("noaction", "a"), ("noaction", ""), ("*", "*"), (None, "a"), ("desk", None), (None, None)]
+    policies = [POLICY, POLICY[:1], POLICY[::-1], [r.Rule("desk", "a"), r.Rule("*", "a", {"x": "mask"})], [r.Rule("pay", "*", {"x": "drop"})]]
+    pairs = spark.createDataFrame(names, "service STRING, action STRING")
+    for policy in policies:
+        want = {n: first_match(policy, *n) for n in names}
+        code = pairs.select("service", "action", r.transforms_for(policy, "service", "action").alias("m")).collect()
+        assert {(x["service"], x["action"]): x["m"] for x in code} == want
+        table = r.resolved(pairs, r.rule_table(spark, policy)).collect()
+        assert {(x["service"], x["action"]): x["transforms"] for x in table} == {n: m for n, m in want.items() if m is not None}
+
+
+def test_ten_thousand_rules(spark):
+    rng = random.Random(4)
+    pick = lambda kind, n: rng.choice(["*", *[f"{kind}{i}" for i in range(n)]])
+    policy = [r.Rule(pick("s", 300), pick("a", 40), {pick("f", 30): rng.choice(["drop", "mask", "hash", "none"])}) for _ in range(10_000)]
+    names = [(f"s{i}", f"a{i % 45}") for i in range(0, 320, 7)] + [(None, "a1")]
+    df = spark.createDataFrame([(s, a, b'{"f1": "abc", "g": 1, "f2": "12"}') for s, a in names], "source_service STRING, action STRING, payload BINARY")
+    got = r.with_transforms(df, policy).collect()
+    assert len(got) == len(names) and all(x["_transforms"] == first_match(policy, x["source_service"], x["action"]) for x in got)
+    for x in r.redact(df, policy).collect():
+        want = r.redact_one(bytes(x["payload"]), first_match(policy, x["source_service"], x["action"]))
+        assert (bytes(x["body"]), x["redacted"], x["redact_error"]) == want
+
+
+def test_plain_bodies_are_redacted_natively_with_the_same_result(spark):
+    rng = random.Random(6)
+    values = ['"x"', '""', '"a b"', '"12345"', "0", "-0", "17", "-3", "123456789012345", "1234567890123456", "1.5", "1e3", "true", "false", "null",
+              '"<"', '"\\n"', '"é"', "[1]", '{"a": 1}', '"ab"', '"a,b:c}"', "01", "nul"]
+    keys = ["ssn", "SSN", "email", "card_number", "upper", "x", "a!", "a", "a b", "ab", "é", "secret", ""]
+    ws = ["", "", "", " ", "\n", "\t"]
+    raws = [b"{}", b"{ }", b" {} ", b"{,}", b'{"a":1,}', b'{"a":1 "b":2}', b'{"a":1}x']
+    for _ in range(1500):
+        chosen = rng.sample(keys, rng.randint(1, 4)) + ([keys[0]] if rng.random() < 0.1 else [])
+        members = [f'{rng.choice(ws)}"{k}"{rng.choice(ws)}:{rng.choice(ws)}{rng.choice(values[:13] if rng.random() < 0.8 else values)}{rng.choice(ws)}' for k in chosen]
+        raws.append(f'{rng.choice(ws)}{{{",".join(members)}}}{rng.choice(ws)}'.encode())
+    rows = [(i, "desk" if i % 3 else "pay", "a", raw) for i, raw in enumerate(raws)]
+    got = bodies(spark, rows)
+    for i, service, action, raw in rows:
+        want = r.redact_one(raw, first_match(POLICY, service, action))
+        assert (bytes(got[i]["body"]), got[i]["redacted"], got[i]["redact_error"]) == want, raw
+    df = spark.createDataFrame(rows, "n INT, source_service STRING, action STRING, payload BINARY")
+    plain = df.where(F.col("payload").cast("string").rlike(r.PLAIN)).count()
+    assert len(rows) / 3 < plain < len(rows) and plain == sum(r._redact is not None and bool(re.match(PLAIN, raw.decode())) for raw in raws)
+
+
+PLAIN = r.PLAIN.replace(r"\z", r"\Z")
+
+
+def test_plain_bodies_bear_very_many_members(spark):
+    many = ("{" + ", ".join(f'"k{i}": "v{i}"' for i in range(100_000)) + ', "ssn": "123"}').encode()
+    got = bodies(spark, [(0, "desk", "a", many), (1, "desk", "a", many[:-1])])
+    assert got[0]["redacted"] and got[0]["body"].endswith(b'"ssn":"1*3"}') and got[1]["redact_error"]
+
+
+def test_maps(spark):
+    df = spark.createDataFrame([({"Name": "Ann", "ssn": "1234", "mail": "<a>", "keep": "x", "empty": ""},)], "m map<string,string>")
+    how = F.create_map(*[F.lit(x) for x in ("name", "drop", "ssn", "mask", "mail", "hash", "empty", "mask")])
+    assert df.select(r.redact_map("m", how).alias("m")).first()["m"] == {
+        "ssn": "1**4", "mail": sha('"\\u003ca\\u003e"'), "keep": "x", "empty": ""}

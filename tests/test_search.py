@@ -1,12 +1,14 @@
 from datetime import timedelta
 
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from helpers import BASE, EVENT, event, events
 from sealtrail.operators import search as s
 from sealtrail.operators.chain import build_chain
 from sealtrail.operators.search import EventQuery
+from sealtrail.sources.tables import Store
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +99,30 @@ def test_view(five):
     assert row["ts"] == "2026-07-13T10:00:00Z"
     assert row["prev_hash"] == "sha256:" + "0" * 64 and row["this_hash"].startswith("sha256:")
     assert row["payload_hash"] == ""  # not a 32-byte hash
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 20), st.sampled_from("abc")), min_size=1, max_size=8), max_size=6), st.integers(0, 30), st.integers(1, 9))
+def test_seek_keeps_the_files_that_hold_the_rows(files, start, size):
+    zones = [s.Zone(str(i), len(rows), min(rows), max(rows)) for i, rows in enumerate(files)]
+    kept, before = s.seek(zones, start, start + size)
+    want = sorted(r for rows in files for r in rows)[start : start + size]
+    assert sorted(r for z in kept for r in files[int(z.path)])[start - before : start - before + size] == want
+
+
+def test_pages_of_a_store_read_only_their_files(spark, tmp_path):
+    store = Store(str(tmp_path / "store"))
+    chained = build_chain(events(spark, 300, step=timedelta(minutes=10)).withColumn("event_date", F.to_date("ts")))
+    chained = chained.withColumns({"legal_hold_initial": F.lit(False), "ingested_at": F.lit(BASE)}).cache()
+    for batch in range(2):
+        store.write_batch(chained.where(F.col("pos") % 2 == batch), "audit_events", batch)
+    order = [r["id"] for r in chained.orderBy("ts", "id").select("id").collect()]
+    files = len(store.zones())
+    assert files > 4
+    for number in (1, 7, 12, 13, 40):
+        rows, total = store.page(spark, number, 25)
+        assert [r["id"] for r in rows.collect()] == order[(number - 1) * 25 : number * 25] and total == 300
+        assert len(rows.inputFiles()) < files or number == 40
+    assert store.compact(spark, "audit_events") and len(store.zones()) < files
+    assert [r["id"] for r in store.page(spark, 3, 25)[0].collect()] == order[50:75]
+    assert store.page(spark, 1)[0].count() == 100

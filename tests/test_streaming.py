@@ -1,5 +1,6 @@
 import hashlib
 import json
+import time
 from datetime import timedelta
 
 import pytest
@@ -10,10 +11,13 @@ from sealtrail.operators.anchor import hmac_signer, make_anchors
 from sealtrail.operators.chain import OK, verify_chain
 from sealtrail.operators.sweep import sweep
 from sealtrail.operators.ingest import decode
+from sealtrail.operators.metrics import latency_at
 from sealtrail.schema import WIRE
-from sealtrail.sources.tables import Store, recent
+from sealtrail.sources.tables import Store, Transaction, recent
 from sealtrail.sources.wire import from_text, read_wire
-from sealtrail.streaming.anchors import anchor_stream, read_events, start_anchors
+from sealtrail.streaming.anchors import anchor_stream, read_events
+from sealtrail.streaming.committed import drained
+from sealtrail.streaming.progress import ProgressTable
 from sealtrail.streaming.ingest import IngestConfig, ingest_batch, start_ingest
 
 
@@ -106,19 +110,27 @@ def test_a_failing_sink_fails_the_batch_and_a_replay_completes_it(spark, place,
     folder, store, _ = place
     put(spark, folder, [message(i) for i in range(20)])
     decoded = decode(read_wire(spark, str(folder)))
-    write = Store.write_batch
-
-    def failing(self, df, name, batch):
-        if name == "audit_events":
+    ingest_batch(decoded.where("offset < 5"), 0, store, CONFIG)
+    write = Transaction.write
+
+    def failing(self, df, name, **more):
+        seen = {t: table(spark, store, t).count() for t in ("audit_events", "payloads", "dead_letter", "heads")}
+        assert seen == {"audit_events": 5, "payloads": 5, "dead_letter": 0, "heads": 1}
+        if name == "heads":
+            write(self, df, name, **more)
             raise OSError("disk")
-        write(self, df, name, batch)
+        return write(self, df, name, **more)
 
-    monkeypatch.setattr(Store, "write_batch", failing)
+    monkeypatch.setattr(Transaction, "write", failing)
     with pytest.raises(OSError):
-        ingest_batch(decoded, 0, store, CONFIG)
-    monkeypatch.setattr(Store, "write_batch", write)
-    ingest_batch(decoded, 0, store, CONFIG)
+        ingest_batch(decoded, 1, store, CONFIG)
+    # a reader sees nothing of the failed batch, neither does the index of ids
+    assert table(spark, store, "audit_events").count() == table(spark, store, "payloads").count() == 5
+    monkeypatch.setattr(Transaction, "write", write)
+    ingest_batch(decoded, 1, store, CONFIG)
     assert table(spark, store, "audit_events").count() == table(spark, store, "payloads").count() == 20
+    assert store.clean(keep_versions=0) > 0  # the failed attempt's files
+    assert table(spark, store, "audit_events").count() == 20
 
 
 def test_policy_is_reloaded_per_batch(spark, place, tmp_path):
@@ -154,16 +166,41 @@ def test_anchor_stream_equals_its_batch_twin(spark, place):
     run(spark, folder, store, checkpoint)
     signer = hmac_signer(b"k", "key-1")
     anchors = anchor_stream(read_events(spark, store), "10 minutes", signer=signer)
-    query = anchors.writeStream.format("memory").queryName("anchors_out").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    drained(anchors.writeStream.format("memory").queryName("anchors_out").outputMode("append").start())
     streamed = {tuple(r) for r in spark.table("anchors_out").collect()}
     batch = {tuple(r) for r in make_anchors(table(spark, store, "audit_events"), signer=signer).collect()}
     # The newest window stays open until the watermark passes it.
     assert streamed and streamed < batch and len(batch) - len(streamed) == 1
-    start_anchors(spark, store, str(checkpoint) + "-anchors", "10 minutes", signer=signer).awaitTermination()
-    assert {tuple(r) for r in table(spark, store, "anchors").collect()} == streamed
-    report = sweep(table(spark, store, "audit_events"), table(spark, store, "anchors")).first()
-    assert (report["status"], report["anchor_count"], report["anchor_mismatches"]) == ("ok", len(streamed), 0)
+
+
+def test_committed_rows_stream_once(spark, place, tmp_path, monkeypatch):
+    """After a failed batch, its repetition and a compaction, every event is streamed and anchored once."""
+    folder, store, _ = place
+    put(spark, folder, [message(i) for i in range(60)])
+    decoded = decode(read_wire(spark, str(folder)))
+    checkpoint = str(tmp_path / "events-checkpoint")
+
+    def stream():
+        events = read_events(spark, store).select("id", "event_date", "ts")
+        out = events.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", checkpoint)
+        out.trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(str(tmp_path / "out"))
+
+    ingest_batch(decoded.where("offset < 20"), 0, store, CONFIG)
+    assert stream().count() == 20
+    monkeypatch.setattr(Transaction, "commit", lambda self: (_ for _ in ()).throw(OSError("lost driver")))
+    with pytest.raises(OSError):
+        ingest_batch(decoded.where("offset < 40"), 1, store, CONFIG)
+    assert stream().count() == 20
+    monkeypatch.undo()
+    ingest_batch(decoded.where("offset < 40"), 1, store, CONFIG)
+    ingest_batch(decoded.where("offset < 40"), 1, store, CONFIG)
+    assert store.compact(spark, "audit_events")
+    ingest_batch(decoded, 2, store, CONFIG)
+    streamed = stream()
+    assert streamed.count() == streamed.select("id").distinct().count() == 60
+    kept = table(spark, store, "audit_events").select("id", "event_date", "ts")
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, kept.collect()))
 
 
 def test_text_lines_are_messages(spark, tmp_path):
@@ -172,3 +209,32 @@ def test_text_lines_are_messages(spark, tmp_path):
     wire = from_text(spark.read.text(str(path)))
     rows = decode(wire).orderBy("offset").collect()
     assert [r["id"] for r in rows] == ["e0001", None] and wire.columns == WIRE.names
+
+
+def test_progress_is_kept_once_per_batch(spark, place):
+    folder, store, checkpoint = place
+    listener = ProgressTable(spark, store)
+    spark.streams.addListener(listener)
+    try:
+        put(spark, folder, [message(i) for i in range(30)] + [b"x", message(3)])
+        run(spark, folder, store, checkpoint, watermark="1 hour")
+        put(spark, folder, [message(i) for i in range(25, 40)], offset=100)
+        query = run(spark, folder, store, checkpoint, watermark="1 hour")
+        for _ in range(100):  # the listener runs behind the query
+            rows = {r["batch"]: r for r in table(spark, store, "progress").where(F.col("query") == str(query.id)).collect()}
+            if sum(r["rows_in"] for r in rows.values()) == 47:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sum(r["rows_in"] for r in rows.values()) == 47 and sum(r["messages"] or 0 for r in rows.values()) == 47
+    assert any(r["watermark"] is not None and r["lag_ms"] is not None for r in rows.values()) and all(r["duration_ms"] > 0 for r in rows.values())
+    again = table(spark, store, "progress").count()
+    listener.store.write_batch(table(spark, store, "progress").limit(1), "progress", 0, f"progress/{query.id}")
+    assert table(spark, store, "progress").count() == again
+    batches = table(spark, store, "batches").agg(*[F.sum(c) for c in ("messages", "rejected", "duplicates", "ingested")]).first()
+    assert tuple(batches) == (41, 1, 0, 40)  # copies within the watermark are dropped by the stream
+    sketches = table(spark, store, "latency")
+    assert latency_at(sketches, 0.5).first()["n"] == 40
+    us = [int((BASE - (BASE + timedelta(seconds=i))).total_seconds() * 1e6) for i in range(30)]
+    assert latency_at(sketches, 0.0).first()["latency_us"] == min(us)
