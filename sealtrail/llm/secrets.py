@@ -30,9 +30,11 @@ _CHUNK = 256
 
 
 _UUID = r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"
-#: A word of one case or of humps, maybe with a number behind it, or a number.
-_WORD = r"(?:(?:[a-z]+|[A-Z]+|[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*)[0-9]{0,4}|[0-9]+)"
-_NAME = rf"(?=[^/]{{3}})(?:{_WORD}(?:[-_]{_WORD})*|{_UUID})"
+#: A word of one case or of humps, maybe with a number behind it, or a number.  Repeated groups are
+#: possessive throughout: others take a stack frame per repetition, and texts may repeat them 10^5 times.
+#: What a repetition takes is bounded by what must follow it, so nothing has to be given back.
+_WORD = r"(?:(?:[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*+|[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]+)(?![A-Za-z0-9])"
+_NAME = rf"(?=[^/]{{3}})(?:{_WORD}(?:[-_]{_WORD})*+|{_UUID})"
 
 
 @dataclass(frozen=True)
@@ -55,7 +57,7 @@ class EntropyRule:
         r"(?i)^sha(1-[a-z0-9+/]{27}=|256-[a-z0-9+/]{43}=|512-[a-z0-9+/]{86}==)$",  # integrity attributes are public
     )
     cut: tuple[str, ...] = (
-        r"(?:^|(?<=/))[0-9]+(?:-[0-9]+){2,}(?:[-_]|(?=/|$))",  # dates and phone numbers
+        r"(?:^|(?<=/))[0-9]+(?:-[0-9]+(?=[-_/]|$)){2,}+(?:[-_]|(?=/|$))",  # dates and phone numbers
         rf"/{_NAME}(?=/|$)|^{_NAME}(?=/)",  # names in addresses and paths
         r"(.)\1{7,}",  # rulers and padding
     )

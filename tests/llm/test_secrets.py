@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from sealtrail.llm import secrets as S
@@ -108,3 +109,42 @@ def test_uniform_base64_is_found_whatever_it_holds(table):
     docs = table(list(enumerate(texts)), "doc_id long, text string")
     found = S.secret_spans(docs).where("size(secret_spans) > 0").count()
     assert found >= 0.995 * len(texts)
+
+
+LONG = 100_000
+
+
+def test_patterns_bear_very_many_repetitions(table):
+    """No pattern takes stack for each part of a long structured text."""
+    parts = {
+        "slug": "-".join(["ab"] * LONG), "snake": "_".join(["ab", "CD", "e9", "42"] * (LONG // 4)), "path": "/".join(["abc"] * LONG),
+        "humps": "Abc" * LONG, "hump words": "-".join(["fooBarBaz12"] * LONG), "dates": "-".join(["20"] * LONG), "ruler": "=" * LONG,
+        "uuids": "/".join(["123e4567-e89b-12d3-a456-426614174000"] * (LONG // 10)), "hex": "a1" * (LONG // 10),
+        "odd": "-".join(["9x"] * (LONG // 10)), "base64": "aB3/" * (LONG // 10), "dated": "/".join(["2024-01-02-x"] * (LONG // 10)),
+    }
+    texts = [(i, f"see /{text}{end} now") for i, text in enumerate(parts.values()) for end in ("", "-9x==", "/q7Zp2Xk9Lm4Tv8Rb3Nw6Yc1D")]
+    docs = table(texts, "doc_id long, text string").repartition(8)
+    out = {}
+    for row in S.secret_spans(docs).collect():
+        out.setdefault(row.doc_id, []).append((len(row.text), [row.text[s.start : s.end] for s in row.secret_spans]))
+    for i in [k for k, name in enumerate(parts) if name not in ("hex", "odd", "base64")]:
+        short, tailed, secret = [found for _, found in sorted(out[i])]
+        assert not short and not tailed and len(secret) == 1 and secret[0].endswith("q7Zp2Xk9Lm4Tv8Rb3Nw6Yc1D")
+    assert S.redact_secrets(docs).where("text LIKE '%[REDACTED]%'").count() >= len(parts) - 3
+    rule = S.EntropyRule()
+    for pattern in (*rule.allow, *rule.cut):
+        assert docs.select(S.F.regexp_replace("text", pattern, "")).count() == len(texts)
+        assert docs.where(S.F.col("text").rlike(pattern)).count() <= len(texts)
+
+
+def test_possessive_patterns_match_what_backtracking_ones_do(table):
+    word = r"(?:(?:[a-z]+|[A-Z]+|[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*)[0-9]{0,4}|[0-9]+)"
+    name = rf"(?=[^/]{{3}})(?:{word}(?:[-_]{word})*|{S._UUID})"
+    plain = (r"(?:^|(?<=/))[0-9]+(?:-[0-9]+){2,}(?:[-_]|(?=/|$))", rf"/{name}(?=/|$)|^{name}(?=/)", r"(.)\1{7,}")
+    rng = random.Random(3)
+    bits = ["a", "ab", "Foo", "fooBar", "XY", "1", "20", "9x", "-", "_", "/", "-", "/", "=", "+", "aB", "12345", "FooBarB"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    frame = table([(t,) for t in texts], "t string")
+    for pattern, before in zip(S.EntropyRule().cut, plain):
+        for row in frame.select("t", S.F.regexp_replace("t", pattern, "~").alias("out")).collect():
+            assert row.out == re.sub(before, "~", row.t), row.t
