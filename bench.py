@@ -24,8 +24,9 @@ from sealtrail.sources.scratch import stored
 
 def _ingest(spark, sf_dir):
     """Messages to chained events: decode, validate, redact, de-duplicate, store, chain."""
-    judged_now = judge_messages(samples.wire_messages(spark, sf_dir), policy())
+    judged_now = judge_messages(samples.wire_messages(spark, sf_dir), policy()).persist()  # as ingest_batch does
     new = stored(first_deliveries(accepted(judged_now)), "new")
+    judged_now.unpersist()
     return build_chain(as_events(new, None))
 
 

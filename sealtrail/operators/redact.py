@@ -1,7 +1,8 @@
 """Field-level redaction of JSON payloads by an ordered policy.
 
-Rules are resolved natively per row.  Bodies with a matching rule are rewritten natively if they
-are plain (flat, without escapes or fractions), else by an Arrow UDF; all others keep their bytes.
+Rules are resolved natively per row, as generated code or, if they are many, from a table; only
+bodies with a matching rule are looked at by the Arrow UDF, all others keep their exact bytes.
+Payloads that are maps are redacted natively (:func:`redact_map`).
 """
 
 from __future__ import annotations
@@ -220,47 +221,6 @@ def _redact(body: pa.Array, spec: pa.Array) -> pa.Array:
 _redact = _redact.asNondeterministic()
 
 
-# --- plain bodies, natively ---
-
-# Flat objects of printable ASCII without escapes, with whole numbers: their members need no
-# other form when they are written again.  Repetitions are possessive and take no stack.
-_WS = r"[ \t\r\n]*+"
-_PLAIN_TEXT = r'"[ !#-%\'-;=?-\[\]-~]*+"'
-_PLAIN_VALUE = rf"(?:{_PLAIN_TEXT}|-?(?:0|[1-9][0-9]{{0,14}}+)(?![0-9.eE])|true|false|null)"
-_PLAIN_MEMBER = rf"({_PLAIN_TEXT}){_WS}:{_WS}({_PLAIN_VALUE})"
-PLAIN = rf'^{_WS}\{{{_WS}(?:{_PLAIN_TEXT}{_WS}:{_WS}{_PLAIN_VALUE}{_WS}(?:,{_WS}(?=")|(?=\}})))*+\}}{_WS}\z'
-
-
-def redacted_members(keys: Column, values: Column, transforms: Column) -> tuple[Column, Column]:
-    """(members left, whether any changed) of JSON members given as texts, quotes included.
-
-    Members are struct<k, v, changed>, ``k`` without quotes; each is dropped, hashed or masked as
-    ``transforms``, a map by lower-case name, says.
-    """
-
-    def told(m: Column) -> Column:
-        name = F.btrim(m["k"], F.lit('"'))
-        return F.struct(name.alias("k"), m["v"].alias("v"), F.try_element_at(transforms, F.lower(name)).alias("t"))
-
-    members = F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), told)
-    left = F.filter(members, lambda m: ~m["t"].eqNullSafe(F.lit(DROP)))
-
-    def changed(m: Column) -> Column:
-        content = F.btrim(m["v"], F.lit('"'))
-        hidden = F.when(F.length(content) <= 2, F.lit("*")).otherwise(
-            F.concat(F.substring(content, 1, 1), F.repeat(F.lit("*"), F.length(content) - 2), F.right(content, F.lit(1)))
-        )
-        hashed = F.concat(F.lit('"sha256:'), F.sha2(m["v"].cast("binary"), 256), F.lit('"'))
-        masked = F.concat(F.lit('"'), hidden, F.lit('"'))
-        empty = F.length(content) == 0
-        v = F.when(m["t"] == HASH, hashed).when((m["t"] == MASK) & ~empty, masked).otherwise(m["v"])
-        touched = (m["t"] == HASH) | ((m["t"] == MASK) & ~empty)
-        return F.struct(m["k"].alias("k"), v.alias("v"), F.coalesce(touched, F.lit(False)).alias("changed"))
-
-    done = F.transform(left, changed)
-    return done, (F.size(left) < F.size(members)) | F.exists(done, lambda m: m["changed"])
-
-
 def redact_map(fields: Column | str, transforms: Column) -> Column:
     """A MAP<name, text> payload after the transforms (a map by lower-case name)."""
     of = lambda k: F.try_element_at(transforms, F.lower(k))
@@ -273,8 +233,7 @@ def redact_map(fields: Column | str, transforms: Column) -> Column:
 def redact(df: DataFrame, policy: Policy, payload: str = "payload", when: Column | None = None) -> DataFrame:
     """Add ``body``, ``redacted`` and ``redact_error``; ``payload`` keeps the original.
 
-    ``when`` limits redaction to rows that are still of interest.  Plain bodies (see ``PLAIN``) are
-    rewritten natively, others go to Python, those without a rule to neither.
+    ``when`` limits redaction to rows that are still of interest.
     """
     if not policy:
         return df.select(
@@ -283,31 +242,17 @@ def redact(df: DataFrame, policy: Policy, payload: str = "payload", when: Column
             F.lit(False).alias("redacted"),
             F.lit(None).cast("string").alias("redact_error"),
         )
+    lines = F.transform(F.map_entries("_transforms"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
     applies = F.octet_length(payload) > 0
     if when is not None:
         applies = applies & when
-    step = with_transforms(df, policy)
-    step = step.withColumn("_transforms", F.when(applies, F.col("_transforms")))
-    text = F.col(payload).cast("string")
-    ruled = F.col("_transforms").isNotNull()
-    step = step.withColumn("_keys", F.when(ruled & text.rlike(PLAIN), F.regexp_extract_all(text, F.lit(_PLAIN_MEMBER), 1)))
-    plain = F.col("_keys").isNotNull() & (F.size("_keys") == F.size(F.array_distinct("_keys")))
-    step = step.withColumn("_plain", F.coalesce(plain, F.lit(False)))
-    members, changed = redacted_members(
-        F.col("_keys"), F.regexp_extract_all(text, F.lit(_PLAIN_MEMBER), 2), F.col("_transforms")
-    )
-    step = step.withColumn("_members", F.when(F.col("_plain"), F.struct(members.alias("m"), changed.alias("changed"))))
-    lines = F.transform(F.map_entries("_transforms"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
-    # Rows without a rule and plain bodies send NULLs to Python.
-    sent = ruled & ~F.col("_plain")
-    step = step.withColumn("_r", _redact(F.when(sent, F.col(payload)), F.when(sent, F.array_join(lines, "\n"))))
-    written = F.concat(
-        F.lit("{"), F.array_join(F.transform(F.array_sort("_members.m"), lambda m: F.concat(F.lit('"'), m["k"], F.lit('":'), m["v"])), ","), F.lit("}")
-    ).cast("binary")
+    step = with_transforms(df, policy).withColumn("_spec", F.when(applies, F.array_join(lines, "\n")))
+    # Rows without a rule send NULLs, not their bodies, to Python.
+    sent = F.when(F.col("_spec").isNotNull(), F.col(payload))
+    step = step.withColumn("_r", _redact(sent, F.col("_spec")))
     return step.select(
         *df.columns,
-        F.when(~ruled | (F.col("_plain") & ~F.col("_members.changed")), F.col(payload))
-        .when(F.col("_plain"), written).otherwise(F.col("_r.body")).alias("body"),
-        F.when(F.col("_plain"), F.col("_members.changed")).otherwise(F.coalesce("_r.changed", F.lit(False))).alias("redacted"),
-        F.when(sent, F.col("_r.error")).alias("redact_error"),
+        F.when(F.col("_spec").isNull(), F.col(payload)).otherwise(F.col("_r.body")).alias("body"),
+        F.coalesce("_r.changed", F.lit(False)).alias("redacted"),
+        F.col("_r.error").alias("redact_error"),
     )
