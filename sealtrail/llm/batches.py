@@ -10,15 +10,25 @@ from sealtrail.sources.scratch import stored
 _CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8_000_000
+OWN_BYTES = 4_000_000
 
 
 def at_most(spark: SparkSession, rows: int) -> None:
-    """Keep the session's Arrow batches to ``rows`` rows, which bounds what a worker holds.
+    """Keep the session's Arrow batches to ``rows`` rows and ``OWN_BYTES`` bytes, which bounds what a worker holds.
 
-    A smaller setting stays.  Results do not depend on it.
+    For operators whose result is computed after they return.  Smaller settings stay; results do
+    not depend on them.
     """
-    if not 0 < int(spark.conf.get(_CONF)) <= rows:
-        spark.conf.set(_CONF, str(rows))
+    for conf, most in ((_CONF, rows), (_BYTES, OWN_BYTES)):
+        now = spark.conf.get(conf, None)
+        if now is None or not 0 < _number(now) <= most:
+            spark.conf.set(conf, str(most))
+
+
+def _number(text: str) -> int:
+    """A setting in bytes or rows; one with a unit counts as too large."""
+    digits = text.lower().removesuffix("b")
+    return int(digits) if digits.lstrip("-").isdigit() else 0
 
 
 @contextmanager

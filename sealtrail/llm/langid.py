@@ -22,12 +22,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from sealtrail.llm.batches import at_most
 from sealtrail.llm.sampling import remainder, smallest_hashes
 
 #: Bounds of the fit: training documents of each language, and the letters taken of long ones,
 #: which teach only where a language has too few short ones.
 SAMPLE = 400
 SAMPLE_CHARS = 20_000
+#: Rows of an Arrow batch.
+BATCH_ROWS = 4_000
 #: Most languages a model may have.
 LANGUAGES = 200
 ORDER = 4
@@ -235,6 +238,7 @@ def identify(
     there are no models.  Of equally cheap languages the first by name wins.  Every row and
     column stays; a column named ``out`` is replaced.
     """
+    at_most(docs.sparkSession, BATCH_ROWS)
     shipped = docs.sparkSession.sparkContext.broadcast(models)
 
     @F.pandas_udf("lang string, cross_entropy double, score double, rejected boolean")

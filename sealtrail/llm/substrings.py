@@ -34,7 +34,7 @@ SHORT = 3
 #: Edges in a bucket (on average), and words of a batch that is resolved at once.
 BUCKET = 500_000
 BATCH = 800_000
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Rows of an Arrow batch: texts, their words and what is kept of them are held at once.
 BATCH_ROWS = 2_000
 #: Ids (8 bytes each) up to which a selection of documents is broadcast.
