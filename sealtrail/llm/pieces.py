@@ -23,6 +23,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -289,14 +290,15 @@ class Sampler:
         for step, (which, piece) in enumerate(steps):
             ids[ends[which] - 1 - step] = piece
         row_ends = np.concatenate([[0], ends])[np.cumsum(counts)]
+        ids, row_ends = self._with_bytes(ids, row_ends)
         parts = np.split(ids, row_ends[:-1])
-        return [None if t is None else self._with_bytes(p) for t, p in zip(texts, parts)]
+        return [None if t is None else p for t, p in zip(texts, parts)]
 
-    def _with_bytes(self, ids: np.ndarray) -> np.ndarray:
-        """Replaces characters without a piece (negative) by the ids of their bytes."""
+    def _with_bytes(self, ids: np.ndarray, row_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Replaces characters without a piece (negative) by the ids of their bytes; all rows of a chunk at once."""
         odd = np.flatnonzero(ids < 0)
         if not len(odd):
-            return ids
+            return ids, row_ends
         chars, which = np.unique(-1 - ids[odd], return_inverse=True)
         as_bytes = [[self.vocabulary.byte_ids[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in chars]
         widths = np.ones(len(ids), dtype=np.int64)
@@ -306,11 +308,12 @@ class Sampler:
             some = np.array([len(b) > k for b in as_bytes])[which]
             values = np.array([b[k] if len(b) > k else 0 for b in as_bytes])[which]
             out[(ends - widths)[odd[some]] + k] = values[some]
-        return out
+        return out, np.concatenate([[0], ends])[row_ends]
 
 
-def _with_model(path: str, alpha: float):
-    """Loads the model where it is used, so that only its path travels."""
+@lru_cache(maxsize=2)
+def _with_model(path: str, alpha: float) -> Vocabulary:
+    """Loads the model where it is used, so that only its path travels; once per worker and model."""
     return Vocabulary.load(path, alpha)
 
 
@@ -346,7 +349,7 @@ def decode(rows: DataFrame, pieces: str = "pieces", out: str = "decoded", model:
     def spelled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         parts = _with_model(model, ALPHA).decoded
         for ids in batches:
-            yield ids.map(lambda x: None if x is None else b"".join([parts[i] for i in x]).decode()[1:])
+            yield ids.map(lambda x: None if x is None else b"".join(map(parts.__getitem__, x.tolist())).decode()[1:])
 
     return rows.withColumn(out, spelled(F.col(f"`{pieces}`")))
 

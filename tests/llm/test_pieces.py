@@ -65,3 +65,7 @@ def test_memory_of_words_does_not_change_results(vocabulary, monkeypatch):
 
 def test_empty_table(table):
     assert P.encoded_digest(table([], "doc_id long, text string")).count() == 0
+
+
+def test_a_worker_loads_a_model_once():
+    assert P._with_model(P.MODEL, P.ALPHA) is P._with_model(P.MODEL, P.ALPHA)
