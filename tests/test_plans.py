@@ -11,6 +11,7 @@ from sealtrail.operators import anchor, chain, ingest, redact, search
 from sealtrail.operators.search import EventQuery
 from sealtrail.plans.ordering import with_position
 from sealtrail.schema import WIRE
+from sealtrail.sources import samples
 from sealtrail.sources.tables import Store
 
 
@@ -83,3 +84,15 @@ def test_copies_shrink_before_the_shuffle(spark):
     wire = spark.createDataFrame([("t", 0, 0, None, b"{}", None)], WIRE)
     text = plan(ingest.first_deliveries(ingest.decode(wire)))
     assert "partial_min(struct(topic" in text and "partial_min_by" not in text and "Window" not in text
+
+
+def test_messages_of_one_row_group_are_dealt_out_before_decoding(spark, tmp_path):
+    rows = spark.range(40).selectExpr(
+        "id as event_id", "timestamp_ntz'2024-01-01 00:00:00' as ts", "id as user_id", "'view' as event_type", "1.0D as value", "'{}' as props"
+    )
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    wire = samples.wire_messages(spark, str(tmp_path))
+    told = plan(wire)
+    assert told.count("REBALANCE_PARTITIONS") == 1 and told.count("FileScan") == 1
+    later = 1_000_000_000_000
+    assert sorted(r.offset for r in wire.collect()) == sorted([*range(40), *(later + n for n in range(0, 40, 10))])
