@@ -10,7 +10,9 @@ pairs are verified on the exact sets.
 Trees are built per block, so that the search distributes: two sets with Jaccard similarity
 of 0.8 share one of their first ``n - ceil(0.8 n) + 1`` hashes in any common order, and each
 such hash is a block.  The order puts hashes that a sample shows to be frequent last, which
-keeps blocks small; it decides speed, never results.
+keeps blocks small; it decides speed, never results.  Where the block's hash is the first that
+two sets share, their intersection is at most what either set has from that hash on; a pair that
+no block admits by this and by its sizes is dropped before anything wide moves.
 
 Large groups of near copies would fill a block with all pairs.  So the members of a block are
 first compared with one of them alone, a center, and components are formed; then the trees
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sealtrail.llm.batches import at_most
 from sealtrail.llm.components import components
@@ -240,8 +242,14 @@ def _searched(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"])
 
 
+def _fits(n: str, rest: str, m: str, other: str) -> Column:
+    """Whether sets of ``n`` and ``m`` hashes, of which ``rest`` and ``other`` come from the block's on, may be similar."""
+    sizes = PERCENT * F.greatest(n, m) <= 100 * F.least(n, m)
+    return sizes & ((100 + PERCENT) * F.least(rest, other) >= PERCENT * (F.col(n) + F.col(m)))
+
+
 def _across(members: DataFrame, facts: DataFrame) -> DataFrame:
-    """Candidate pairs of different components from blocks of (key, rep, component).
+    """Candidate pairs of different components from blocks of (key, rep, n, rest, component).
 
     Blocks that would fill one tree node at most have no tree: their few pairs are made
     distinct first (a pair has many blocks in common) and bounded then.
@@ -254,12 +262,14 @@ def _across(members: DataFrame, facts: DataFrame) -> DataFrame:
         members.join(sizes.where("least <> most").select("key", "size"), "key"), "open"
     )
     few = open_.where(F.col("size") <= NODE)
-    other_few = few.select("key", F.col("rep").alias("b"), F.col("component").alias("b_component"))
+    other_few = few.select(
+        "key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("rest").alias("other"), F.col("component").alias("b_component")
+    )
     small = few.join(other_few, "key").where(
-        "rep < b and component <> b_component"
+        F.expr("rep < b and component <> b_component") & _fits("n", "rest", "m", "other")
     ).select(F.col("rep").alias("a"), "b").distinct()
 
-    many = open_.where(F.col("size") > NODE).withColumn("cells", F.ceil(F.col("size") / CELL).cast("int")).join(facts, "rep")
+    many = open_.where(F.col("size") > NODE).drop("n", "rest").withColumn("cells", F.ceil(F.col("size") / CELL).cast("int")).join(facts, "rep")
     rows = many.withColumn("cell", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other")
     spread = rows.select("*", other).withColumns({
@@ -286,7 +296,10 @@ def _across(members: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def _shared(classes: DataFrame) -> DataFrame:
-    """(key, rep) of blocks with two members or more; a block is never held, only its last row."""
+    """(key, rep, n, rest) of blocks with two members or more; a block is never held, only its last row.
+
+    ``rest`` is how many hashes the member's set of ``n`` has from the block's on.
+    """
     kind = _kind(classes, "rep")
 
     def repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,23 +318,47 @@ def _shared(classes: DataFrame) -> DataFrame:
             yield batch[keep]
             last, told = batch.iloc[-1:], bool(keep[-1])
 
-    keyed = classes.select(F.explode("keys").alias("key"), "rep")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(repeated, f"key long, rep {kind}")
+    keyed = classes.select(F.posexplode("keys").alias("place", "key"), "rep", "n").select(
+        "key", "rep", "n", (F.col("n") - F.col("place")).alias("rest")
+    )
+    return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(repeated, f"key long, rep {kind}, n long, rest long")
 
 
 def _with_centers(shared: DataFrame) -> DataFrame:
-    """(key, rep, center): the center of a block is the member that shares most.
+    """``shared`` with center and fits: the center of a block is the member that shares most.
 
     A text that copies were made of shares nearly all of its hashes with them, while copies
     have hashes of their own where they were changed; so it is the likeliest to be similar to
-    all of them.
+    all of them.  ``fits`` tells whether the block admits the pair of member and center.
     """
     sizes = shared.groupBy("key").agg(F.count("*").alias("size"))
     sharing = shared.join(sizes, "key").groupBy("rep").agg(F.sum("size").alias("shares"))
     rows = shared.join(sharing, "rep")
     best = rows.groupBy("key").agg(F.max("shares").alias("shares"))
-    centers = rows.join(best, ["key", "shares"]).groupBy("key").agg(F.min("rep").alias("center"))
-    return shared.join(centers, "key")
+    centers = rows.join(best, ["key", "shares"]).groupBy("key").agg(F.min(F.struct("rep", "n", "rest")).alias("c")).select(
+        "key", F.col("c.rep").alias("center"), F.col("c.n").alias("m"), F.col("c.rest").alias("other")
+    )
+    return shared.join(centers, "key").withColumn("fits", _fits("n", "rest", "m", "other")).drop("m", "other")
+
+
+def _classes(named: DataFrame) -> DataFrame:
+    """(class, rep, n, keys, point) of each distinct set.
+
+    Only rows of sets that come more than once are shuffled, while the list of these is short.
+    """
+    repeated = named.groupBy("class").agg(F.count("*").alias("rows")).where("rows > 1").select("class")
+    few = broadcast_if_small(repeated, MOST_PAIRS)
+    copied = named if few is repeated else named.join(few, "class", "left_semi")
+    classes = stored(
+        copied.groupBy("class").agg(
+            F.min("doc").alias("rep"), *[F.any_value(c).alias(c) for c in ("n", "keys", "point")]
+        ),
+        "classes",
+    )
+    if few is repeated:
+        return classes
+    alone = named.join(few, "class", "left_anti").withColumnRenamed("doc", "rep")
+    return alone.select(*classes.columns).unionByName(classes)
 
 
 def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -338,18 +375,13 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
     signed = stored(_signatures(rows, frequent_shingles(rows)), "signatures")
     named = signed.where(F.col("class").isNotNull() & F.col("doc").isNotNull())
-    classes = stored(
-        named.groupBy("class").agg(
-            F.min("doc").alias("rep"), *[F.any_value(c).alias(c) for c in ("n", "keys", "point")]
-        ),
-        "classes",
-    )
+    classes = _classes(named)
 
     members = stored(_with_centers(stored(_shared(classes), "shared")), "members")
     facts = classes.select("rep", "n", "point")
 
     # every member against one center, that of most of its blocks
-    common = members.where("rep <> center").groupBy("rep", "center").agg(F.count("*").alias("c"))
+    common = members.where("rep <> center").groupBy("rep", "center").agg(F.count("*").alias("c"), F.max("fits").alias("fits")).where("fits")
     star = common.groupBy("rep").agg(F.max_by("center", F.struct("c", "center")).alias("center")).select(
         F.least("center", "rep").alias("a"), F.greatest("center", "rep").alias("b")
     ).distinct()
@@ -357,7 +389,7 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     first = components(links)
 
     # then pairs that are still apart, in blocks of more than two
-    blocks = members.join(first.withColumnRenamed("node", "rep"), "rep", "left")
+    blocks = members.drop("center", "fits").join(first.withColumnRenamed("node", "rep"), "rep", "left")
     blocks = blocks.withColumn("component", F.coalesce("component", "rep"))
     more = _verified(stored(_across(blocks, facts), "pairs"), rows, classes)
     merged = components(stored(links.union(more), "links"))
@@ -385,7 +417,10 @@ def _bounded(pairs: DataFrame, facts: DataFrame) -> DataFrame:
 
     one = facts.select(F.col("rep").alias("a"), "n", F.col("point").alias("p"))
     two = facts.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("point").alias("q"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "p", "q")
+    few = broadcast_if_small(pairs, MOST_PAIRS)
+    if few is not pairs:  # else all points would be shuffled for a few pairs
+        two = two.join(F.broadcast(few.select("b").distinct()), "b", "left_semi")
+    joined = one.join(few, "a").join(two, "b").select("a", "b", "n", "m", "p", "q")
     return joined.mapInPandas(possible, f"a {kind}, b {kind}")
 
 

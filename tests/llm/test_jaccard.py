@@ -92,3 +92,29 @@ def test_rows_of_one_id_are_kept_by_their_own_text(table):
     out = J.keep_one_of_each(table(rows, "doc_id long, text string, note string"))
     want = [rows[0], rows[2], *rows[4:]]
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str) and out.columns == ["doc_id", "text", "note"]
+
+
+def test_blocks_admit_only_pairs_that_may_be_similar(table):
+    """Sets that share one late hash of their prefixes make no pair, whatever block holds them."""
+    rng = random.Random(9)
+    sets = {d: sorted(rng.sample(range(1 << 40), 60)) for d in range(30)}
+    sets |= {100 + d: sorted({*sets[d][3:], *rng.sample(range(1 << 40), 3)}) for d in range(10)}
+    for d in range(10, 30, 2):  # the eleventh of both
+        sets[d + 1] = sorted({*sets[d + 1][:10], sets[d][10], *(h for h in sets[d + 1][11:] if h > sets[d][10])})
+    rows = [(d, len(s), s[: len(s) - -(-80 * len(s) // 100) + 1]) for d, s in sets.items()]
+    shared = J._shared(table(rows, "rep long, n long, keys array<long>"))
+    assert all(r.rest == r.n - sets[r.rep].index(r.key) for r in shared.collect())
+    links = {(a, b) for a in sets for b in sets if a < b and 180 * len({*sets[a]} & {*sets[b]}) >= 80 * (len(sets[a]) + len(sets[b]))}
+    both = shared.alias("x").join(shared.selectExpr("key", "rep as b", "n as m", "rest as other"), "key").where("rep < b")
+    met = {(r.rep, r.b) for r in both.collect()}
+    kept = {(r.rep, r.b) for r in both.where(J._fits("n", "rest", "m", "other")).collect()}
+    assert links and links <= kept < met
+
+
+def test_sets_that_come_once_are_not_shuffled(table):
+    rows = [(d, 2, f"c{d}".encode(), [d, d + 1], b"") for d in range(20)] + [(d, 2, b"c3", [3, 4], b"") for d in (1, 30, 30)]
+    classes = J._classes(table(rows, "doc long, n long, class binary, keys array<long>, point binary"))
+    assert sorted((bytes(r["class"]), r.rep, list(r["keys"])) for r in classes.collect()) == sorted(
+        (f"c{d}".encode(), 1 if d == 3 else d, [d, d + 1]) for d in range(20)
+    )
+    assert "Exchange hashpartitioning" not in classes._jdf.queryExecution().executedPlan().toString()
