@@ -24,11 +24,15 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyarrow import compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from sealtrail.llm.batches import at_most
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Sharpness of the sampling: 0 draws all segmentations alike, larger values the likely ones.
 ALPHA = 1.0
@@ -38,13 +42,12 @@ LONGEST_WORD = 2_000
 #: Words up to this length are filtered side by side (the sums of longer ones need care).
 ABREAST = 48
 #: Lattice nodes (letters of distinct words) that a worker remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
 #: Words filtered and characters sampled at once.
 ABREAST_WORDS = 10_000
 CHUNK = 1_200_000
 
 BATCH_ROWS = 1_000
-_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _WORD = re.compile(" *[^ ]+| +")
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -77,6 +80,11 @@ class Vocabulary:
         self.targets = np.array([n for _, n in moves], dtype=np.int64)
         self.id_of = np.array([-1] + [p[0] if p else -1 for p in self.pieces.values()], dtype=np.int64)
         self.weight_of = np.array([0.0] + [p[1] if p else 0.0 for p in self.pieces.values()])
+        first = [text for text in self.pieces if len(text) == 1]
+        self.roots = np.zeros(max(map(ord, first)) + 1, dtype=np.int64)  # nodes of single letters, 0 for none
+        self.roots[[ord(text) for text in first]] = [nodes[text] for text in first]
+        self.longest = max(map(len, self.pieces))
+        self.spellings = pa.array(self.decoded, pa.binary())
 
     @staticmethod
     def load(path: str = MODEL, alpha: float = ALPHA) -> Vocabulary:
@@ -105,6 +113,14 @@ class Vocabulary:
         return Vocabulary(pieces, [by_byte[b] for b in range(256)], least, decoded)
 
 
+class Words(dict):
+    """Numbers words in the order in which they are first looked up."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Lattice:
     """The lattices of all words seen, end to end.
 
@@ -118,13 +134,31 @@ class Lattice:
         self.clear()
 
     def clear(self) -> None:
-        self.ends: dict[str, int] = {}
+        self.words = Words()
         self.size = 0
+        self.ends, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)  # by the word's number
         self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.keys, self.piece, self.back = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def add(self, word: str) -> None:
-        """Forward filtering of one word."""
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The words' numbers; words not seen before are filtered."""
+        seen = len(self.words)
+        out = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
+        new = list(islice(self.words, seen, None))
+        lengths = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
+        ends = np.zeros(len(new), dtype=np.int64)
+        short = np.flatnonzero(lengths <= ABREAST)
+        for k in range(0, len(short), ABREAST_WORDS):
+            some = short[k : k + ABREAST_WORDS]
+            ends[some] = self.add_many([new[i] for i in some.tolist()])
+        for i in np.flatnonzero(lengths > ABREAST).tolist():
+            ends[i] = self.add(new[i])
+        self.ends, self.lengths = np.concatenate([self.ends, ends]), np.concatenate([self.lengths, lengths])
+        self.settle()
+        return out
+
+    def add(self, word: str) -> int:
+        """Forward filtering of one word; its last node."""
         pieces, byte_weight = self.vocabulary.pieces, self.vocabulary.byte_weight
         keys, piece, back = [], [], []
         first, size = self.size, len(word)
@@ -162,57 +196,61 @@ class Lattice:
             back.append(first + b)
         keys[-1] = node + 1.0
         self.blocks.append((np.array(keys), np.array(piece, np.int32), np.array(back, np.int32)))
-        self.ends[word] = node
         self.size += size + 1
+        return node
 
-    def add_many(self, words: list[str]) -> None:
-        """Forward filtering of many words of up to ``ABREAST`` letters, letter by letter in step."""
+    def add_many(self, words: list[str]) -> np.ndarray:
+        """Forward filtering of many words of up to ``ABREAST`` letters, side by side; their last nodes."""
         v = self.vocabulary
-        words = sorted(words, key=len, reverse=True)
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        width = int(lengths[0])
-        letters = np.full((len(words), width), -1, dtype=np.int64)
-        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        letters[np.arange(width) < lengths[:, None]] = flat
-        ways = np.zeros((len(words), width + 1))
-        ways[:, 0] = 1.0
-        edges = []  # (word, to, from, piece, weight of all ways over the edge)
-        for i in range(width):
-            here = np.arange(np.count_nonzero(lengths > i))  # words are sorted by length
-            alone = np.zeros(len(here), dtype=bool)
-            word, at = here, np.zeros(len(here), dtype=np.int64)
-            for j in range(i + 1, width + 1):
-                wanted = at << 21 | letters[word, j - 1]
-                place = np.minimum(np.searchsorted(v.moves, wanted), len(v.moves) - 1)
-                going = (v.moves[place] == wanted) & (letters[word, j - 1] >= 0)
-                word, at = word[going], v.targets[place[going]]
-                if not len(word):
-                    break
-                is_piece = v.id_of[at] >= 0
-                whose, piece = word[is_piece], at[is_piece]
-                weight = ways[whose, i] * v.weight_of[piece]
-                ways[whose, j] += weight
-                edges.append((whose, np.full(len(whose), j), np.full(len(whose), i), v.id_of[piece], weight))
-                if j == i + 1:
-                    alone[whose] = True
-            bare = here[~alone]
-            weight = ways[bare, i] * v.byte_weight
-            ways[bare, i + 1] += weight
-            edges.append((bare, np.full(len(bare), i + 1), np.full(len(bare), i), -1 - letters[bare, i], weight))
-        whose, to, begin, piece, weight = map(np.concatenate, zip(*edges))
-        first = self.size + np.cumsum(lengths + 1) - (lengths + 1)
-        node = first[whose] + to
-        order = np.argsort(node, kind="stable")
-        whose, node, piece, begin = whose[order], node[order], piece[order], begin[order]
+        letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        size = len(letters)
+        column = np.arange(size) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        left = np.repeat(lengths, lengths) - column  # letters from here to the word's end
+        # a place has one column per length of a piece that ends there, the longest first
+        entering = np.zeros((size, v.longest), dtype=np.int32)
+        at = np.where(letters < len(v.roots), v.roots[np.minimum(letters, len(v.roots) - 1)], 0)
+        bare = v.id_of[at] < 0
+        entering[:, -1] = np.where(bare, -1 - letters, at)
+        place = np.flatnonzero(at)
+        at = at[place]
+        for longer in range(1, v.longest):
+            some = left[place] > longer
+            place, at = place[some], at[some]
+            wanted = at << 21 | letters[place + longer]
+            move = np.minimum(np.searchsorted(v.moves, wanted), len(v.moves) - 1)
+            going = v.moves[move] == wanted
+            place, at = place[going], v.targets[move[going]]
+            if not len(place):
+                break
+            is_piece = v.id_of[at] >= 0
+            entering[place[is_piece] + longer, v.longest - 1 - longer] = at[is_piece]
+        edge = np.flatnonzero(entering)  # by place, from the longest piece to the shortest
+        to, back = np.divmod(edge, v.longest)
+        begin = to - (v.longest - 1 - back)
+        node = entering.ravel()[edge].astype(np.int64)
+        weight = np.where(node > 0, v.weight_of[np.maximum(node, 0)], v.byte_weight)
+        piece = np.where(node > 0, v.id_of[np.maximum(node, 0)], node)
+
+        ways = np.zeros(size)  # weight of all ways to behind each place
+        whence = column[begin].astype(np.uint8)
+        order = np.argsort(whence, kind="stable")
+        ends = np.cumsum(np.bincount(whence, minlength=1))
+        for i, (low, high) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)):
+            some = order[low:high]  # each place once
+            if i:
+                weight[some] *= ways[begin[some] - 1]
+            ways[to[some]] += weight[some]
         # whole units of 2^-24, so that a word's shares do not depend on its place in the array
-        share = np.cumsum((weight[order] / ways[whose, to[order]] * _UNITS).astype(np.int64))
-        last = np.append(node[1:] != node[:-1], True)
-        before = np.concatenate([[0], share[last]])[np.cumsum(last) - last]
-        keys = node + (share - before) / _UNITS
-        keys[last] = node[last] + 1.0
-        self.blocks.append((keys, piece.astype(np.int32), (first[whose] + begin).astype(np.int32)))
-        self.ends.update(zip(words, (first + lengths).tolist()))
-        self.size += int(np.sum(lengths + 1))
+        share = np.cumsum((weight / ways[to] * _UNITS).astype(np.int64))
+        last = np.append(to[1:] != to[:-1], True)
+        before = np.concatenate([[0], share[last]])[to]
+        nodes = self.size + np.arange(size) + np.repeat(np.arange(len(words)), lengths)  # before each letter
+        keys = nodes[to] + 1 + (share - before) / _UNITS
+        keys[last] = nodes + 2.0
+        self.blocks.append((keys, piece.astype(np.int32), nodes[begin].astype(np.int32)))
+        self.size += size + len(words)
+        return nodes[np.cumsum(lengths) - 1] + 1
 
     def settle(self) -> None:
         """Make the words added since the last call searchable."""
@@ -232,16 +270,23 @@ class Sampler:
 
     def batch(self, keys: list, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of a sampled segmentation of each text; none for null, empty for empty texts."""
-        out: list[np.ndarray | None] = []
-        start, size = 0, 0
+        ids, ends = self.flat(keys, texts)
+        return [None if t is None else p for t, p in zip(texts, np.split(ids, ends[:-1]))]
+
+    def flat(self, keys: list, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's end."""
+        parts, ends = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        start, size, so_far = 0, 0, 0
         for i, text in enumerate(texts):
             size += len(text or "")
             if size >= CHUNK or i == len(texts) - 1:
-                out += self._chunk(keys[start : i + 1], texts[start : i + 1])
-                start, size = i + 1, 0
-        return out
+                ids, row_ends = self._chunk(keys[start : i + 1], texts[start : i + 1])
+                parts.append(ids)
+                ends.append(row_ends + so_far)
+                start, size, so_far = i + 1, 0, so_far + len(ids)
+        return np.concatenate(parts), np.concatenate(ends)
 
-    def _chunk(self, keys: list, texts: list[str | None]) -> list[np.ndarray | None]:
+    def _chunk(self, keys: list, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         lattice = self.lattice
         if lattice.size > REMEMBERED:
             lattice.clear()
@@ -254,18 +299,8 @@ class Sampler:
                     own = [w[k : k + LONGEST_WORD] for w in own for k in range(0, len(w), LONGEST_WORD)]
                 counts[i] = len(own)
                 words += own
-        known = lattice.ends
-        new = [w for w in set(words) if w not in known]
-        if short := [w for w in new if len(w) <= ABREAST]:
-            short.sort(key=len)  # so that a block of letters has few empty places
-            for k in range(0, len(short), ABREAST_WORDS):
-                lattice.add_many(short[k : k + ABREAST_WORDS])
-        for word in new:
-            if len(word) > ABREAST:
-                lattice.add(word)
-        lattice.settle()
-        node = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        number = lattice.numbers(words)
+        node, lengths = lattice.ends[number], lattice.lengths[number]
         first = node - lengths
 
         # backward sampling, all words at once; the random numbers depend on row key, word and step
@@ -273,26 +308,28 @@ class Sampler:
         row_key = np.repeat(np.array([self._key(k) for k in keys], dtype=np.uint64), counts)
         with np.errstate(over="ignore"):
             base = _mixed(row_key + (place.astype(np.uint64) + np.uint64(1)) * _GOLDEN)
-        # neighbours in the lattice together, which keeps the searches in cache
-        steps, active, step = [], np.argsort(node), 0
+        # neighbours in the lattice together, some words at a time: their searches and steps stay in cache
+        order, steps = np.argsort(node), []
         n_pieces = np.zeros(len(words), dtype=np.int64)
-        while len(active):
-            with np.errstate(over="ignore"):
-                u = _mixed(base[active] + np.uint64(step) * _MIX1) >> np.uint64(40)
-            edge = np.searchsorted(lattice.keys, node[active] + u.astype(np.float64) / _UNITS, side="right")
-            steps.append((active, lattice.piece[edge]))
-            node[active] = lattice.back[edge]
-            n_pieces[active] += 1
-            active = active[node[active] > first[active]]
-            step += 1
+        for start in range(0, len(order), ABREAST_WORDS):
+            active, step = order[start : start + ABREAST_WORDS], 0
+            at, until, key = node[active], first[active], base[active]
+            while len(active):
+                with np.errstate(over="ignore"):
+                    u = _mixed(key + np.uint64(step) * _MIX1) >> np.uint64(40)
+                edge = np.searchsorted(lattice.keys, at + u.astype(np.float64) / _UNITS, side="right")
+                steps.append((active, lattice.piece[edge], step))
+                at = lattice.back[edge].astype(np.int64)
+                step += 1
+                going = np.flatnonzero(at > until)
+                n_pieces[active] = step
+                active, at, until, key = active[going], at[going], until[going], key[going]
         ends = np.cumsum(n_pieces)
         ids = np.empty(ends[-1] if len(ends) else 0, dtype=np.int32)
-        for step, (which, piece) in enumerate(steps):
+        for which, piece, step in steps:
             ids[ends[which] - 1 - step] = piece
         row_ends = np.concatenate([[0], ends])[np.cumsum(counts)]
-        ids, row_ends = self._with_bytes(ids, row_ends)
-        parts = np.split(ids, row_ends[:-1])
-        return [None if t is None else p for t, p in zip(texts, parts)]
+        return self._with_bytes(ids, row_ends)
 
     def _with_bytes(self, ids: np.ndarray, row_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Replaces characters without a piece (negative) by the ids of their bytes; all rows of a chunk at once."""
@@ -327,17 +364,17 @@ def encode(
     own; rows that share a key share random numbers).  A null text gives null, an empty one
     an empty array.  A column named ``out`` is replaced, all others stay.  Ids take a
     multiple of the text's memory, so Arrow batches of the session are kept to
-    ``BATCH_ROWS`` rows.
+    ``BATCH_ROWS`` rows and a few megabytes.
     """
-    conf = docs.sparkSession.conf
-    if not 0 < int(conf.get(_BATCH_CONF)) <= BATCH_ROWS:
-        conf.set(_BATCH_CONF, str(BATCH_ROWS))
+    at_most(docs.sparkSession, BATCH_ROWS)
 
-    @F.pandas_udf("array<int>")
-    def sampled(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def sampled(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         sampler = Sampler(_with_model(model, alpha), seed)
         for keys, texts in batches:
-            yield pd.Series(sampler.batch(keys.tolist(), texts.tolist()), dtype=object)
+            ids, ends = sampler.flat(keys.to_pylist(), texts.to_pylist())
+            offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+            yield pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()), mask=texts.is_null())
 
     return docs.withColumn(out, sampled(F.col(f"`{key}`").cast("string"), F.col(f"`{text}`")))
 
@@ -345,11 +382,16 @@ def encode(
 def decode(rows: DataFrame, pieces: str = "pieces", out: str = "decoded", model: str = MODEL) -> DataFrame:
     """``rows`` with the text that ``pieces`` spell; null for null.  Undoes :func:`encode` exactly."""
 
-    @F.pandas_udf("string")
-    def spelled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        parts = _with_model(model, ALPHA).decoded
+    @F.arrow_udf("string")
+    def spelled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        parts = _with_model(model, ALPHA).spellings
         for ids in batches:
-            yield ids.map(lambda x: None if x is None else b"".join(map(parts.__getitem__, x.tolist())).decode()[1:])
+            # the pieces' bytes follow each other, so a row's text lies between its first and last piece
+            letters = parts.take(ids.flatten())
+            ends = np.frombuffer(letters.buffers()[1], dtype=np.int32, count=len(letters) + 1)
+            rows = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+            text = pa.StringArray.from_buffers(len(ids), pa.py_buffer(ends[rows]), letters.buffers()[2])
+            yield pc.if_else(ids.is_null(), None, pc.utf8_slice_codeunits(text, 1))
 
     return rows.withColumn(out, spelled(F.col(f"`{pieces}`")))
 

@@ -69,3 +69,26 @@ def test_empty_table(table):
 
 def test_a_worker_loads_a_model_once():
     assert P._with_model(P.MODEL, P.ALPHA) is P._with_model(P.MODEL, P.ALPHA)
+
+
+def test_batches_are_bounded_in_bytes(table):
+    """Rows alone do not bound them: texts may be long."""
+    docs = table([(1, "a text")], "doc_id long, text string")
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(name, None)
+    conf.unset(name)
+    try:
+        P.encode(docs)
+        assert 0 < int(conf.get(name)) <= 4_000_000
+    finally:
+        conf.set(name, before) if before else conf.unset(name)
+
+
+def test_words_side_by_side_are_cut_like_single_ones(vocabulary, monkeypatch):
+    texts = [t for t in TEXTS if t] + ["".join(chr(97 + (i * k) % 26) for i in range(k % 40 + 1)) for k in range(300)]
+    keys = list(range(len(texts)))
+    ids, ends = P.Sampler(vocabulary).flat(keys, texts)
+    monkeypatch.setattr(P, "ABREAST", 0)
+    one_ids, one_ends = P.Sampler(vocabulary).flat(keys, texts)
+    assert ids.tolist() == one_ids.tolist() and ends.tolist() == one_ends.tolist()
+    assert [spelled(vocabulary, part) for part in P.np.split(ids, ends[:-1])] == texts
