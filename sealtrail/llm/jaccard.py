@@ -5,7 +5,8 @@ A text's set holds its distinct word shingles as 64-bit hashes.  The hashes fall
 the sum of the smaller of the two counts over all groups, and what an R-tree node can
 contribute is at most that sum with the largest counts below the node.  So a search for
 partners of a text descends only where the bound allows the required overlap, and surviving
-pairs are verified on the exact sets.
+pairs are verified on the exact sets.  In long texts every group is full and bounds nothing, so
+these have counts of more groups as well, which a pair meets before its sets do.
 
 Trees are built per block, so that the search distributes: two sets with Jaccard similarity
 of 0.8 share one of their first ``n - ceil(0.8 n) + 1`` hashes in any common order, and each
@@ -23,6 +24,7 @@ Copies (equal sets) are one class from the start.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,8 @@ from sealtrail.sources.scratch import stored
 SHINGLE = 5
 PERCENT = 80
 GROUPS = 256
+#: Hashes of a set that share a group of its fine counts, at most on average.
+PER_GROUP = 8
 #: Documents in the sample that shows frequent shingles, and the share that makes one frequent.
 SAMPLE = 4_000
 FREQUENT = 0.001
@@ -45,6 +49,8 @@ MOST_FREQUENT = 200_000
 #: Members of one tree; larger blocks are searched as pairs of cells.
 CELL = 1_024
 NODE = 16
+#: Neighbours of a block's member, by size, that are told one by one whether they may be its partners.
+REACH = 4
 REMEMBERED = 300_000
 #: Rows of an Arrow batch: pairs of whole sets are compared in one.
 BATCH_ROWS = 4_000
@@ -85,12 +91,27 @@ def _least_overlap(n: np.ndarray | int) -> np.ndarray | int:
     return -(-PERCENT * n // (100 + PERCENT))
 
 
-def _group_counts(shingles: np.ndarray) -> bytes:
+def _group_counts(shingles: np.ndarray, groups: int = GROUPS) -> bytes:
     """The point of a set; empty if a count is too large to be kept (then nothing is bounded)."""
-    counts = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    counts = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % groups, minlength=groups)
     return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
 
 
+def _fine_counts(shingles: np.ndarray) -> bytes:
+    """Counts of so many groups that few hashes share one; empty where ``GROUPS`` groups will do."""
+    groups = GROUPS
+    while len(shingles) > PER_GROUP * groups:
+        groups *= 2
+    return _group_counts(shingles, groups) if groups > GROUPS else b""
+
+
+def _fine_overlap(x: bytes, y: bytes) -> int:
+    """Largest possible intersection by two sets' fine counts, those of more groups folded to the others'."""
+    groups = min(len(x), len(y))
+    p, q = (np.frombuffer(v, dtype=np.uint8).reshape(-1, groups).sum(axis=0, dtype=np.int64) for v in (x, y))
+    return int(np.minimum(p, q).sum())
+
+
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Hashes that at least a thousandth of a sample of ``doc, text`` has: a bounded list."""
     total = docs.count()
@@ -114,13 +135,13 @@ def _kind(df: DataFrame, column: str = "doc") -> str:
 
 
 def _signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(doc, n, class, keys, point) of each document row; class is null without words."""
+    """(doc, n, class, keys, point, fine) of each document row; class is null without words."""
     shipped = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, common = Shingler(), shipped.value
         for batch in batches:
-            out = {"doc": batch["doc"], "n": [], "class": [], "keys": [], "point": []}
+            out = {"doc": batch["doc"], "n": [], "class": [], "keys": [], "point": [], "fine": []}
             for text in batch["text"]:
                 s = shingler(text)
                 n = len(s)
@@ -131,9 +152,10 @@ def _signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 out["class"].append(xxhash.xxh128_digest(s.tobytes()) if n else None)
                 out["keys"].append(ordered[: n + (PERCENT * -n // 100) + 1 if n else 0].view(np.int64))
                 out["point"].append(_group_counts(s))
+                out["fine"].append(_fine_counts(s))
             yield pd.DataFrame(out)
 
-    schema = f"doc {_kind(docs)}, n long, class binary, keys array<long>, point binary"
+    schema = f"doc {_kind(docs)}, n long, class binary, keys array<long>, point binary, fine binary"
     return docs.mapInPandas(signed, schema)
 
 
@@ -269,7 +291,7 @@ def _across(members: DataFrame, facts: DataFrame) -> DataFrame:
         F.expr("rep < b and component <> b_component") & _fits("n", "rest", "m", "other")
     ).select(F.col("rep").alias("a"), "b").distinct()
 
-    many = open_.where(F.col("size") > NODE).drop("n", "rest").withColumn("cells", F.ceil(F.col("size") / CELL).cast("int")).join(facts, "rep")
+    many = open_.where(F.col("size") > NODE).drop("n", "rest").withColumn("cells", F.ceil(F.col("size") / CELL).cast("int")).join(facts.drop("fine"), "rep")
     rows = many.withColumn("cell", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other")
     spread = rows.select("*", other).withColumns({
@@ -292,36 +314,48 @@ def _across(members: DataFrame, facts: DataFrame) -> DataFrame:
 
     grouped = spread.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     large = grouped.mapInPandas(search, f"a {kind}, b {kind}")
-    return _bounded(small, facts).unionByName(large).distinct()
+    return _bounded(small.unionByName(large).distinct(), facts)
 
 
-def _shared(classes: DataFrame) -> DataFrame:
-    """(key, rep, n, rest) of blocks with two members or more; a block is never held, only its last row.
+def _shared(classes: DataFrame, fitting: bool = False) -> DataFrame:
+    """(key, rep, n, rest) of blocks with two members or more; a block is never held, only its last rows.
 
-    ``rest`` is how many hashes the member's set of ``n`` has from the block's on.
+    ``rest`` is how many hashes the member's set of ``n`` has from the block's on.  With ``fitting``,
+    members go that have no partner in their block by ``_fits``.  They come in the order of ``n``, so
+    whoever has none among the next ``REACH`` on either side, and nobody of a fitting size right behind
+    these, has none at all.
     """
     kind = _kind(classes, "rep")
-
-    def repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, told = None, True  # the last row so far, and whether it has been given out
-        for batch in batches:
-            if not len(batch):
-                continue
-            if last is not None and not told:
-                batch = pd.concat([last, batch], ignore_index=True)
-                before = None
-            else:
-                before = None if last is None else last["key"].iloc[0]
-            key = batch["key"].to_numpy()
-            like_next = np.append(key[1:] == key[:-1], False)
-            keep = like_next | np.insert(like_next[:-1], 0, before is not None and before == key[0])
-            yield batch[keep]
-            last, told = batch.iloc[-1:], bool(keep[-1])
+    reach = REACH
+
+    def partnered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, told = None, 0  # the last rows so far; of these so many are told and kept for the others
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                if not len(batch):
+                    continue
+                rows = batch if rows is None else pd.concat([rows, batch], ignore_index=True)
+            if rows is None:
+                return
+            key, n, rest = rows["key"].to_numpy(), rows["n"].to_numpy(), rows["rest"].to_numpy()
+            keep = np.zeros(len(rows), dtype=bool)
+            for k in range(1, min(reach + 2, len(rows))):
+                i = np.flatnonzero(key[k:] == key[:-k])
+                near = 100 * n[i] >= PERCENT * n[i + k] if fitting else np.ones(len(i), dtype=bool)
+                if fitting and k <= reach:
+                    near &= (100 + PERCENT) * np.minimum(rest[i], rest[i + k]) >= PERCENT * (n[i] + n[i + k])
+                keep[i[near]] = keep[i[near] + k] = True
+            end = len(rows) if batch is None else max(told, len(rows) - reach - 1)
+            yield rows.iloc[told:end][keep[told:end]]
+            begin = max(0, end - reach - 1)
+            rows, told = rows.iloc[begin:], end - begin
 
     keyed = classes.select(F.posexplode("keys").alias("place", "key"), "rep", "n").select(
         "key", "rep", "n", (F.col("n") - F.col("place")).alias("rest")
     )
-    return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(repeated, f"key long, rep {kind}, n long, rest long")
+    return keyed.repartition("key").sortWithinPartitions("key", "n").mapInPandas(
+        partnered, f"key long, rep {kind}, n long, rest long"
+    )
 
 
 def _with_centers(shared: DataFrame) -> DataFrame:
@@ -342,7 +376,7 @@ def _with_centers(shared: DataFrame) -> DataFrame:
 
 
 def _classes(named: DataFrame) -> DataFrame:
-    """(class, rep, n, keys, point) of each distinct set.
+    """(class, rep, n, keys, point, fine) of each distinct set.
 
     Only rows of sets that come more than once are shuffled, while the list of these is short.
     """
@@ -351,7 +385,7 @@ def _classes(named: DataFrame) -> DataFrame:
     copied = named if few is repeated else named.join(few, "class", "left_semi")
     classes = stored(
         copied.groupBy("class").agg(
-            F.min("doc").alias("rep"), *[F.any_value(c).alias(c) for c in ("n", "keys", "point")]
+            F.min("doc").alias("rep"), *[F.any_value(c).alias(c) for c in named.columns if c not in ("doc", "class")]
         ),
         "classes",
     )
@@ -377,8 +411,8 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     named = signed.where(F.col("class").isNotNull() & F.col("doc").isNotNull())
     classes = _classes(named)
 
-    members = stored(_with_centers(stored(_shared(classes), "shared")), "members")
-    facts = classes.select("rep", "n", "point")
+    members = stored(_with_centers(stored(_shared(classes, fitting=True), "shared")), "members")
+    facts = classes.select("rep", "n", "point", "fine")
 
     # every member against one center, that of most of its blocks
     common = members.where("rep <> center").groupBy("rep", "center").agg(F.count("*").alias("c"), F.max("fits").alias("fits")).where("fits")
@@ -413,14 +447,17 @@ def _bounded(pairs: DataFrame, facts: DataFrame) -> DataFrame:
                 n, m = batch["n"].to_numpy(), batch["m"].to_numpy()
                 bound = np.minimum(_points(batch["p"]), _points(batch["q"])).sum(axis=1)
                 fits = (PERCENT * np.maximum(n, m) <= 100 * np.minimum(n, m)) & (bound >= _least_overlap(n + m))
+                long = batch["fp"].str.len().to_numpy() * batch["fq"].str.len().to_numpy() > 0
+                for i in np.flatnonzero(fits & long):
+                    fits[i] = _fine_overlap(batch["fp"].iat[i], batch["fq"].iat[i]) >= _least_overlap(n[i] + m[i])
                 yield batch.loc[fits, ["a", "b"]]
 
-    one = facts.select(F.col("rep").alias("a"), "n", F.col("point").alias("p"))
-    two = facts.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("point").alias("q"))
+    one = facts.select(F.col("rep").alias("a"), "n", F.col("point").alias("p"), F.col("fine").alias("fp"))
+    two = facts.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("point").alias("q"), F.col("fine").alias("fq"))
     few = broadcast_if_small(pairs, MOST_PAIRS)
     if few is not pairs:  # else all points would be shuffled for a few pairs
         two = two.join(F.broadcast(few.select("b").distinct()), "b", "left_semi")
-    joined = one.join(few, "a").join(two, "b").select("a", "b", "n", "m", "p", "q")
+    joined = one.join(few, "a").join(two, "b").select("a", "b", "n", "m", "p", "q", "fp", "fq")
     return joined.mapInPandas(possible, f"a {kind}, b {kind}")
 
 

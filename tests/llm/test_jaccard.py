@@ -118,3 +118,52 @@ def test_sets_that_come_once_are_not_shuffled(table):
         (f"c{d}".encode(), 1 if d == 3 else d, [d, d + 1]) for d in range(20)
     )
     assert "Exchange hashpartitioning" not in classes._jdf.queryExecution().executedPlan().toString()
+
+
+def test_members_without_a_partner_leave_their_block(table):
+    """Whatever the order of sizes and places in a block, and however many batches it spans."""
+    rng = random.Random(11)
+    rows = []
+    for doc in range(300):
+        n = rng.choice([10, 30, 31, 38, 60, 100, 400, 2000])
+        keys = rng.sample(range(1, 2_000_000), n - -(-80 * n // 100) + 1)
+        keys[rng.randrange(len(keys))] = -rng.randrange(60)  # a block of about five members
+        if n == 400 and doc % 3:
+            keys[0] = -1000  # a large block
+        rows.append((doc, n, keys))
+    classes = table(rows, "rep long, n long, keys array<long>")
+    conf, name = classes.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, "3")
+    try:
+        got = {(r.key, r.rep) for r in J._shared(classes, fitting=True).collect()}
+        whole = {(r.key, r.rep): (r.n, r.rest) for r in J._shared(classes).collect()}
+    finally:
+        conf.set(name, before)
+
+    def fit(x, y):
+        (n, rest), (m, other) = whole[x], whole[y]
+        return 80 * max(n, m) <= 100 * min(n, m) and 180 * min(rest, other) >= 80 * (n + m)
+
+    needed = {x for x in whole for y in whole if x != y and x[0] == y[0] and fit(x, y)}
+    assert needed <= got < set(whole)
+    assert all(x in needed for x in got if sum(y[0] == x[0] for y in whole) <= 5)
+
+
+def test_fine_counts_tell_long_texts_apart(table):
+    rng = np.random.default_rng(3)
+    one = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    other = np.unique(rng.integers(0, 1 << 63, 19_000, dtype=np.uint64))
+    near = np.unique(np.concatenate([one[: len(one) * 9 // 10], other[:1000]]))
+    sets = {1: one, 2: other, 3: near, 4: one[:2000]}
+    assert not J._fine_counts(sets[4])
+    for a in (1, 2, 3):
+        for b in (1, 2, 3):
+            bound = J._fine_overlap(J._fine_counts(sets[a]), J._fine_counts(sets[b]))
+            assert bound >= len(np.intersect1d(sets[a], sets[b]))
+    facts = table(
+        [(d, len(s), J._group_counts(s), J._fine_counts(s)) for d, s in sets.items()],
+        "rep long, n long, point binary, fine binary",
+    )
+    pairs = table([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    assert [(r.a, r.b) for r in J._bounded(pairs, facts).collect()] == [(1, 3)]
