@@ -314,7 +314,7 @@ def _across(members: DataFrame, facts: DataFrame) -> DataFrame:
 
     grouped = spread.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     large = grouped.mapInPandas(search, f"a {kind}, b {kind}")
-    return _bounded(small.unionByName(large).distinct(), facts)
+    return _bounded(stored(small.unionByName(large).distinct(), "near"), facts)
 
 
 def _shared(classes: DataFrame, fitting: bool = False) -> DataFrame:
