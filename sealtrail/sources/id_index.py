@@ -19,12 +19,12 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sealtrail.schema import flat
 from sealtrail.sources.commits import Folder, State
 from sealtrail.sources.files import data_files
-from sealtrail.sources.scratch import stored
 from sealtrail.sources.tables import Store, Transaction
 
 RUNS, FILTERS = "id_runs", "id_filters"
@@ -35,7 +35,7 @@ _WORDS = ("w0", "w1", "w2", "w3")
 
 # Ids for which a block of 256 bits is meant (as a power of two), and how many of its bits each sets.
 _IDS_PER_BLOCK_BITS, _PROBES = 4, 5
-# Candidates of one probe that may pass through the driver; more are written first.
+# Candidates of one probe that may pass through the driver.
 _MOST_HITS = 100_000
 
 
@@ -73,17 +73,30 @@ class IdIndex:
         return ids.withColumns({"bucket": self._leading(F.col("h"), 0, buckets), "block": self._leading(F.col("h"), buckets, blocks)})
 
     @staticmethod
-    def _masks() -> dict[str, Column]:
-        """The bits an id sets in the four words of its block, from a second hash."""
+    def _spots() -> list[Column]:
+        """The bits (of 256) that an id sets in its block, from a second hash."""
         mixed = F.xxhash64("h", F.lit("bits"))
-        spots = [F.shiftright(mixed, 8 * k).bitwiseAND(F.lit(255)).cast("int") for k in range(_PROBES)]
+        return [F.shiftright(mixed, 8 * k).bitwiseAND(F.lit(255)).cast("int") for k in range(_PROBES)]
+
+    @classmethod
+    def _masks(cls) -> dict[str, Column]:
+        """The bits an id sets in the four words of its block."""
         out = {}
         for n, word in enumerate(_WORDS):
             own = [F.when(F.shiftright(s, 6) == n, F.call_function("shiftleft", F.lit(1).cast("long"), s.bitwiseAND(F.lit(63)))).otherwise(F.lit(0).cast("long"))
-                   for s in spots]
+                   for s in cls._spots()]
             out[word] = reduce(lambda a, b: a.bitwiseOR(b), own)
         return out
 
+    @classmethod
+    def _fits(cls) -> Column:
+        """Whether the words of its block have all bits of an id; computed behind the join, so that no masks are shuffled."""
+        tests = []
+        for s in cls._spots():
+            word = F.element_at(F.array(*_WORDS), F.shiftright(s, 6) + 1)
+            tests.append(F.call_function("shiftright", word, s.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1).cast("long")) == 1)
+        return reduce(lambda a, b: a & b, tests)
+
     # -- runs --
 
     def _write(self, tx: Transaction, ids: DataFrame, rows: int, replaced: Iterable[Folder] = ()) -> None:
@@ -134,29 +147,38 @@ class IdIndex:
     # -- probes --
 
     def known(self, ids: DataFrame, state: State | None = None) -> DataFrame:
-        """Those of ``ids`` (column ``id``) that the index has, each once."""
+        """Those of ``ids`` (column ``id``) that the index has, each once.
+
+        The filters are asked by hashes alone, which are kept for all levels; the ids move
+        once, to be compared with those of the opened buckets, or not at all if few are found.
+        """
         spark = ids.sparkSession
         state = self.store.log.state() if state is None else state
-        asked = ids.where("id IS NOT NULL").select("id").distinct().select(F.xxhash64("id").alias("h"), "id")
+        asked = ids.where("id IS NOT NULL").select("id")
         levels = sorted({f.facts["level"] for f in state.folders(FILTERS)})
         if not levels:
-            return asked.select("id").limit(0)
-        hits = reduce(DataFrame.unionByName, [self._perhaps(spark, asked, state, level) for level in levels])
-        few = hits.limit(_MOST_HITS + 1).toArrow()
-        if few.num_rows <= _MOST_HITS:
-            hits = F.broadcast(spark.createDataFrame(few, hits.schema))
-        else:
-            hits = stored(hits, "hits")
-        where = hits.select("level", "run", "bucket").distinct().collect()  # buckets of runs, not ids
+            return asked.limit(0)
+        hashes = asked.select(F.xxhash64("id").alias("h")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+        hits = reduce(DataFrame.unionByName, [self._perhaps(spark, hashes, state, level) for level in levels])
+        hits = hits.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            where = hits.groupBy("level", "run", "bucket").agg(F.count("*").alias("n")).collect()  # buckets of runs, not ids
+            few = hits.select("h").toArrow() if sum(r["n"] for r in where) <= _MOST_HITS else None
+        finally:
+            hits.unpersist()
+            hashes.unpersist()
         runs = {f.path.rsplit("=", 1)[1]: f for f in state.folders(RUNS)}
         opened = [(r["level"], f"{runs[r['run']].path}/bucket={r['bucket']}") for r in where]
         found = self.store.open(spark, RUNS, sorted(path for _, path in opened), _RUN).select("h", "id")
-        return found.join(hits.select("h", "id").distinct(), ["h", "id"], "left_semi").select("id").distinct()
+        if few is None:
+            return found.select("id").join(asked.distinct(), "id", "left_semi").distinct()
+        found = found.join(F.broadcast(spark.createDataFrame(few, "h long")), "h", "left_semi")
+        return asked.join(F.broadcast(found.select("id")), "id", "left_semi").distinct()
 
-    def _perhaps(self, spark: SparkSession, asked: DataFrame, state: State, level: int) -> DataFrame:
-        """(h, id, level, run, bucket): ids that a filter of the level does not rule out."""
+    def _perhaps(self, spark: SparkSession, hashes: DataFrame, state: State, level: int) -> DataFrame:
+        """(h, level, run, bucket): hashes that a filter of the level does not rule out."""
         buckets, _ = self._bits(level)
-        placed = self._placed(asked, level).withColumns({f"m{w}": m for w, m in self._masks().items()})
+        placed = self._placed(hashes, level)
         folders = [f for f in state.folders(FILTERS) if f.facts["level"] == level]
         paths = [f.path for f in folders]
         if buckets:
@@ -169,5 +191,4 @@ class IdIndex:
             [(f.path.rsplit("=", 1)[1], f.facts["run"].rsplit("=", 1)[1]) for f in folders], "attempt string, run string"
         )
         met = filters.join(F.broadcast(runs), "attempt").join(placed, ["bucket", "block"])  # a row per folder of the level
-        fits = reduce(lambda a, b: a & b, [F.col(w).bitwiseAND(F.col(f"m{w}")) == F.col(f"m{w}") for w in _WORDS])
-        return met.where(fits).select("h", "id", F.lit(level).alias("level"), "run", "bucket")
+        return met.where(self._fits()).select("h", F.lit(level).alias("level"), "run", "bucket")

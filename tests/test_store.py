@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from helpers import BASE, events
 from sealtrail.operators.chain import build_chain, verify_chain
+from sealtrail.operators.ingest import dedup_known
 from sealtrail.operators.sweep import sweep
 from sealtrail.plans.joins import present
-from sealtrail.sources import commits
+from sealtrail.sources import commits, id_index
 from sealtrail.sources.commits import Folder, Log
 from sealtrail.sources.files import put_new
 from sealtrail.sources.id_index import FILTERS, RUNS, IdIndex
@@ -186,3 +187,25 @@ def test_the_index_agrees_with_a_scan(spark, store):
     assert ids_in(index.known(asked)) == ids_in(present(asked, table, "id"))
     facts = json.loads(json.dumps(store.log.state().folders(RUNS)[0].facts))
     assert facts["rows"] == 1667
+
+
+def test_a_probe_moves_hashes_and_the_ids_once(spark, store, monkeypatch):
+    index, probes = IdIndex(store), []
+    perhaps = IdIndex._perhaps
+    add(spark, store, index, 0, range(0, 3000, 3))
+    monkeypatch.setattr(IdIndex, "_perhaps", lambda *a: probes.append(perhaps(*a)) or probes[-1])
+    asked = some(spark, *range(1000), *range(20)).unionByName(spark.createDataFrame([(None,)], "id string"))
+    stored = sorted(f"id-{n}" for n in range(0, 1000, 3))
+    assert sorted(ids_in(index.known(asked))) == stored
+    monkeypatch.setattr(id_index, "_MOST_HITS", 0)  # as if there were more of them
+    assert sorted(ids_in(index.known(asked))) == stored
+    assert [p.columns for p in probes] == [["h", "level", "run", "bucket"]] * 2
+
+
+def test_known_ids_go_before_the_messages_move(spark):
+    rows = [("a", 0, 2), ("a", 0, 1), ("b", 0, 3), (None, 0, 4), (None, 0, 5)]
+    messages = spark.createDataFrame([("t", p, o, i, "body") for i, p, o in rows], "topic string, partition int, offset long, id string, body string")
+    new = dedup_known(messages, spark.createDataFrame([("b",), (None,)], "id string"))
+    assert sorted((r["id"] or "", r["offset"]) for r in new.collect()) == [("", 4), ("a", 1)]
+    plan = new._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") < plan.index("LeftAnti")  # the root is the semi-join
