@@ -21,7 +21,7 @@ _HOUR = 3_600_000_000
 
 def _arrivals(spark, sf_dir):
     """``events`` as accepted, with ``batch``: they arrive up to ``_DELAY`` late, in twelve-day batches."""
-    e = samples.audit_events(spark, sf_dir)
+    e = samples.audit_events(spark, sf_dir, dealt=True)
     late = F.pmod(F.xxhash64("id"), F.lit(int(_DELAY.total_seconds() * 999_000)))  # microseconds, below the delay
     batch = F.floor((F.unix_micros("ts") + late) / (12 * 24 * _HOUR)).cast("bigint")
     return e.withColumns({"legal_hold_initial": F.lit(False), "ingested_at": F.lit(AS_OF), "batch": batch})

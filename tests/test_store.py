@@ -14,7 +14,8 @@ from sealtrail.sources import commits, id_index
 from sealtrail.sources.commits import Folder, Log
 from sealtrail.sources.files import put_new
 from sealtrail.sources.id_index import FILTERS, RUNS, IdIndex
-from sealtrail.sources.tables import Store
+from sealtrail.sources.tables import SCHEMAS, Store
+from sealtrail.streaming import committed
 
 
 @pytest.fixture
@@ -209,3 +210,14 @@ def test_known_ids_go_before_the_messages_move(spark):
     assert sorted((r["id"] or "", r["offset"]) for r in new.collect()) == [("", 4), ("a", 1)]
     plan = new._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("LeftSemi") < plan.index("LeftAnti")  # the root is the semi-join
+
+
+def test_a_large_file_is_read_by_many_tasks_and_each_row_once(spark, store, monkeypatch):
+    store.append(holds(spark, *[f"id-{n}" for n in range(3000)]).coalesce(1), "legal_holds", "large")
+    store.append(holds(spark, "small"), "legal_holds", "small")
+    monkeypatch.setattr(committed, "PARTITION_BYTES", 4096)
+    monkeypatch.setattr(committed, "BATCH_ROWS", 100)
+    reader = committed.CommittedReader(store.root, "legal_holds", SCHEMAS["legal_holds"], -1)
+    parts = [[r["id"] for b in reader.read(p) for r in b.to_pylist()] for p in reader.partitions({"version": -1}, reader.latestOffset())]
+    assert len(parts) > 3 and max(map(len, parts)) < 1500
+    assert sorted(i for part in parts for i in part) == sorted([*(f"id-{n}" for n in range(3000)), "small"])
