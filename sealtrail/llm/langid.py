@@ -36,6 +36,8 @@ LANGUAGES = 200
 ORDER = 4
 #: Words that a worker remembers the costs of.
 REMEMBERED = 300_000
+#: Characters of the texts of a batch whose words are held as strings at once, or one text.
+PART_CHARS = 500_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _END, _START = 1, 2  # code points that no letter has
@@ -148,7 +150,18 @@ class _Scorer:
         return np.stack([m.costs(words) for m in self.fitted.models], axis=1)
 
     def batch(self, texts: list[str | None]) -> list[tuple[str, float, float, bool]]:
-        """(language, cross-entropy, score, rejected) of each text."""
+        """(language, cross-entropy, score, rejected) of each text; words are held for ``PART_CHARS`` at once."""
+        out, part, chars = [], [], 0
+        for text in texts:
+            size = len(text) if text else 0
+            if part and chars + size > PART_CHARS:
+                out += self._part(part)
+                part, chars = [], 0
+            part.append(text)
+            chars += size
+        return out + self._part(part)
+
+    def _part(self, texts: list[str | None]) -> list[tuple[str, float, float, bool]]:
         split = [_LETTERS.findall(t.lower()) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.known, self.table = {}, self.table[:0]

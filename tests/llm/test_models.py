@@ -155,3 +155,18 @@ def test_rare_terms_enter_the_lexicon(table):
     rows += [(f"common{i % 7} filler text {i} nice", 0) for i in range(900)]
     entries = X.learn_lexicon(table(rows, "text string, toxic int")).entries
     assert any("scumbag".startswith(e.rstrip("*")) for e in entries) and "\u767d\u75f4" in entries
+
+
+def test_words_of_a_batch_are_held_in_parts(monkeypatch):
+    words = ["der", "hund", "und", "die", "katze"]
+    model = L.CharModel.fit(words, np.array([3, 1, 2, 1, 5]))
+    fitted = L.LanguageModels(["de"], [model], np.array([np.inf]))
+    texts = ["der hund", None, "x" * 50, "", "die katze und der hund", "katze"] * 5
+    whole = fitted.scorer().batch(texts)
+    monkeypatch.setattr(L, "PART_CHARS", 30)
+    held, part = [], L._Scorer._part
+    monkeypatch.setattr(L._Scorer, "_part", lambda self, texts: held.append(texts) or part(self, texts))
+    assert fitted.scorer().batch(texts) == whole and len(whole) == len(texts)
+    assert [t for texts in held for t in texts] == texts
+    assert max(sum(len(t or "") for t in texts) for texts in held if len(texts) > 1) <= 30
+    assert fitted.scorer().batch([]) == []
