@@ -40,8 +40,13 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled piece ids of each document, and whether decoding gives its text again."""
-    cut = pieces.decode(pieces.encode(docs, out="pieces"), out="_decoded")
+    """Sampled piece ids of each document, and whether decoding gives its text again.
+
+    The ids are written in between: encoding and decoding in one task would take a Python worker
+    each, and Spark keeps both.
+    """
+    encoded = stored(pieces.encode(docs, out="pieces"), "encoded")
+    cut = pieces.decode(encoded, out="_decoded")
     lossless = F.col("_decoded").eqNullSafe(F.col("text"))
     return cut.select("doc_id", "lang", "source", "pieces", F.size("pieces").cast("long").alias("n_pieces"), lossless.alias("lossless"))
 

@@ -1,8 +1,10 @@
 """Sizes of the Arrow batches that Python operators work on."""
 
+import ctypes
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from sealtrail.sources.scratch import stored
@@ -31,6 +33,18 @@ def _number(text: str) -> int:
     return int(digits) if digits.lstrip("-").isdigit() else 0
 
 
+def give_back() -> None:
+    """Return memory that nothing holds any more to the system, for a Python worker at the end of its rows.
+
+    Spark keeps idle workers for later tasks, of any operator, beside those that are at work;
+    without this each keeps the most that it ever needed.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
+    if trim:
+        trim(0)
+
+
 @contextmanager
 def byte_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
     """Arrow batches of ``size`` bytes at most (or one row) for the actions inside; then as before."""

@@ -76,7 +76,7 @@ def contaminated(
     columns of either table are not looked at.
     """
     texts = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    index = item_shingles(items, item_id, item_text)
+    index = stored(item_shingles(items, item_id, item_text), "items")
     facts = index.agg(F.collect_set("width").alias("widths"), F.count("*").alias("rows")).first()
     widths, small = sorted(facts["widths"]) or [SHINGLE], facts["rows"] <= BROADCAST_ROWS
 

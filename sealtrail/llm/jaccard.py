@@ -31,7 +31,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sealtrail.llm.batches import at_most
+from sealtrail.llm.batches import at_most, give_back
 from sealtrail.llm.components import components
 from sealtrail.plans.joins import broadcast_if_small
 from sealtrail.sources.scratch import stored
@@ -123,6 +123,8 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for text in batch["text"]:
                 yield pd.DataFrame({"h": shingler(text).view(np.int64)})
+        shingler = batch = text = None
+        give_back()
 
     least = max(5, int(FREQUENT * min(total, SAMPLE)))
     counts = sample.select("text").distinct().mapInPandas(sets, "h long").groupBy("h").agg(F.count("*").alias("c"))
@@ -154,6 +156,8 @@ def _signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 out["point"].append(_group_counts(s))
                 out["fine"].append(_fine_counts(s))
             yield pd.DataFrame(out)
+        shingler = batch = out = None
+        give_back()
 
     schema = f"doc {_kind(docs)}, n long, class binary, keys array<long>, point binary, fine binary"
     return docs.mapInPandas(signed, schema)
@@ -170,6 +174,21 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _once(held: DataFrame) -> DataFrame:
+    """One row of each ``doc``: the rows of an id that copies share would all meet all of the other id's.
+
+    Only the rows of such ids are shuffled, while the list of these is short.
+    """
+    repeated = held.groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1").select("doc")
+    few = broadcast_if_small(repeated, MOST_PAIRS)
+    if few is repeated:
+        return stored(held.groupBy("doc").agg(F.any_value("s").alias("s")), "sets")
+    if few.isEmpty():
+        return held
+    copied = held.join(few, "doc", "left_semi").groupBy("doc").agg(F.any_value("s").alias("s"))
+    return held.join(few, "doc", "left_anti").unionByName(stored(copied, "sets"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) of class representatives whose sets are similar enough, from whole texts."""
     kind = _kind(docs)
@@ -184,8 +203,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
             own = [xxhash.xxh128_digest(s.tobytes()) == bytes(c) for s, c in zip(full, batch["class"])]
             batch["s"] = [_packed(s) for s in full]
             yield batch.loc[np.array(own, dtype=bool), ["doc", "s"]]
+        shingler = batch = full = None
+        give_back()
 
-    held = stored(texts.select("doc", "text", "class").mapInPandas(sets, f"doc {kind}, s binary"), "sets")
+    held = _once(stored(texts.select("doc", "text", "class").mapInPandas(sets, f"doc {kind}, s binary"), "sets"))
 
     def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -195,6 +216,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= PERCENT * (len(p) + len(q) - both))
             yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
+        batch = None
+        give_back()
 
     # the pairs go to one side's sets while they are few enough; these then meet the other's
     few = broadcast_if_small(pairs, MOST_PAIRS)
@@ -311,6 +334,8 @@ def _across(members: DataFrame, facts: DataFrame) -> DataFrame:
             rest = batch.iloc[starts[-1]:]  # may go on in the next batch
         if rest is not None:
             yield _searched(rest)
+        rest = batch = None
+        give_back()
 
     grouped = spread.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     large = grouped.mapInPandas(search, f"a {kind}, b {kind}")
@@ -336,7 +361,7 @@ def _shared(classes: DataFrame, fitting: bool = False) -> DataFrame:
                     continue
                 rows = batch if rows is None else pd.concat([rows, batch], ignore_index=True)
             if rows is None:
-                return
+                break
             key, n, rest = rows["key"].to_numpy(), rows["n"].to_numpy(), rows["rest"].to_numpy()
             keep = np.zeros(len(rows), dtype=bool)
             for k in range(1, min(reach + 2, len(rows))):
@@ -349,6 +374,8 @@ def _shared(classes: DataFrame, fitting: bool = False) -> DataFrame:
             yield rows.iloc[told:end][keep[told:end]]
             begin = max(0, end - reach - 1)
             rows, told = rows.iloc[begin:], end - begin
+        rows = batch = key = n = rest = None
+        give_back()
 
     keyed = classes.select(F.posexplode("keys").alias("place", "key"), "rep", "n").select(
         "key", "rep", "n", (F.col("n") - F.col("place")).alias("rest")
@@ -419,7 +446,7 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     star = common.groupBy("rep").agg(F.max_by("center", F.struct("c", "center")).alias("center")).select(
         F.least("center", "rep").alias("a"), F.greatest("center", "rep").alias("b")
     ).distinct()
-    links = stored(_verified(_bounded(star, facts), rows, classes), "links")
+    links = stored(_verified(stored(_bounded(star, facts), "star"), rows, classes), "links")
     first = components(links)
 
     # then pairs that are still apart, in blocks of more than two
@@ -451,6 +478,8 @@ def _bounded(pairs: DataFrame, facts: DataFrame) -> DataFrame:
                 for i in np.flatnonzero(fits & long):
                     fits[i] = _fine_overlap(batch["fp"].iat[i], batch["fq"].iat[i]) >= _least_overlap(n[i] + m[i])
                 yield batch.loc[fits, ["a", "b"]]
+        batch = None
+        give_back()
 
     one = facts.select(F.col("rep").alias("a"), "n", F.col("point").alias("p"), F.col("fine").alias("fp"))
     two = facts.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("point").alias("q"), F.col("fine").alias("fq"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyarrow import compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from sealtrail.llm.batches import at_most
+from sealtrail.llm.batches import at_most, give_back
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Sharpness of the sampling: 0 draws all segmentations alike, larger values the likely ones.
@@ -45,7 +45,7 @@ ABREAST = 48
 REMEMBERED = 500_000
 #: Words filtered and characters sampled at once.
 ABREAST_WORDS = 10_000
-CHUNK = 1_200_000
+CHUNK = 400_000
 
 BATCH_ROWS = 1_000
 
@@ -375,6 +375,8 @@ def encode(
             ids, ends = sampler.flat(keys.to_pylist(), texts.to_pylist())
             offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
             yield pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()), mask=texts.is_null())
+        sampler = keys = texts = ids = ends = offsets = None
+        give_back()
 
     return docs.withColumn(out, sampled(F.col(f"`{key}`").cast("string"), F.col(f"`{text}`")))
 
@@ -392,6 +394,8 @@ def decode(rows: DataFrame, pieces: str = "pieces", out: str = "decoded", model:
             rows = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
             text = pa.StringArray.from_buffers(len(ids), pa.py_buffer(ends[rows]), letters.buffers()[2])
             yield pc.if_else(ids.is_null(), None, pc.utf8_slice_codeunits(text, 1))
+        ids = letters = ends = rows = text = None
+        give_back()
 
     return rows.withColumn(out, spelled(F.col(f"`{pieces}`")))
 

@@ -77,3 +77,10 @@ def test_rows_are_cleaned_one_by_one(table):
             (1, ITEM), (1, "clean beside a contaminated row"), (1, "clean beside a contaminated row")]
     out = D.clean_documents(table(rows, "doc_id long, text string"), table(ITEMS[:1], "item_id long, text string"))
     assert sorted(map(tuple, out.collect()), key=str) == sorted(rows[1:5] + rows[6:], key=str)
+
+
+def test_item_shingles_are_made_once(table, capsys):
+    """The index is read again by the search and by the verification, not ranked again."""
+    out = D.contaminated(table(DOCS, "doc_id long, text string"), table(ITEMS, "item_id long, text string"))
+    out.explain()
+    assert "Window" not in capsys.readouterr().out

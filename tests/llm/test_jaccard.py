@@ -167,3 +167,14 @@ def test_fine_counts_tell_long_texts_apart(table):
     )
     pairs = table([(1, 2), (1, 3), (2, 3)], "a long, b long")
     assert [(r.a, r.b) for r in J._bounded(pairs, facts).collect()] == [(1, 3)]
+
+
+def test_copies_of_an_id_are_verified_once(spark, table):
+    """Each of 20 copies of one text would meet each of 20 of the other."""
+    a = " ".join(f"w{i}" for i in range(60))
+    b = a + " more"
+    docs = table([("a", a)] * 20 + [("b", b)] * 20 + [("c", "quite other words")], "doc string, text string")
+    digest = {d: J.xxhash.xxh128_digest(J.Shingler()(t).tobytes()) for d, t in (("a", a), ("b", b))}
+    classes = table([(d, bytearray(c)) for d, c in digest.items()], "rep string, class binary")
+    pairs = table([("a", "b")], "a string, b string")
+    assert [tuple(r) for r in J._verified(pairs, docs, classes).collect()] == [("a", "b")]
